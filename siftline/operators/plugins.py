@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +13,15 @@ from siftline.schemas import as_findings
 
 Scanner = Callable[[DataFrame], DataFrame]
 
-_RULE_SCHEMA = (
-    "file string, line_number int, severity string, type string, message string, "
-    "suggestion string, rule_no int"
-)
+_RULE_FIELDS = {
+    "file": ("string", pa.string()),
+    "line_number": ("int", pa.int32()),
+    "severity": ("string", pa.string()),
+    "type": ("string", pa.string()),
+    "message": ("string", pa.string()),
+    "suggestion": ("string", pa.string()),
+    "rule_no": ("int", pa.int32()),
+}
 
 
 class Registry:
@@ -58,19 +63,22 @@ def column_rules(rules: list[Callable[[Column, Column], Column]]) -> Scanner:
 def python_rules(rules: list[Callable[[str, str], dict | None]]) -> Scanner:
     """A scanner of Python rules: (content, path) to a dict or nothing; Arrow batches."""
 
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in _RULE_SCHEMA.split(", ")]
-        for pdf in it:
+    arrow = pa.schema([(name, kind) for name, (_, kind) in _RULE_FIELDS.items()])
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            paths, contents = (batch.column(c).to_pylist() for c in ("path", "content"))
             rows = []
-            for path, content in zip(pdf["path"], pdf["content"]):
+            for path, content in zip(paths, contents):
                 for n, rule in enumerate(rules):
                     hit = rule(content, path)
                     if hit:
                         rows.append({"file": path, "rule_no": n, **hit})
-            yield pd.DataFrame(rows, columns=names)
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     def scan(corpus: DataFrame) -> DataFrame:
-        hits = corpus.select("path", "content").mapInPandas(batches, _RULE_SCHEMA)
+        schema = ", ".join(f"{name} {kind}" for name, (kind, _) in _RULE_FIELDS.items())
+        hits = corpus.select("path", "content").mapInArrow(batches, schema)
         return as_findings(hits.withColumn("seq", F.col("rule_no").cast("bigint")))
 
     return scan

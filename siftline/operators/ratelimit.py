@@ -17,9 +17,11 @@ from __future__ import annotations
 from collections import deque
 from typing import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
 from siftline.session import checkpointed
 
@@ -48,52 +50,52 @@ def take(log: deque, now: int, max_calls: int, period: int) -> bool:
     return True
 
 
-def _fold(max_calls: int, period: int, decisions: bool):
+def _fold(max_calls: int, period: int, decisions: bool, out_schema: pa.Schema):
     """Fold rows sorted by (key, slice, t, id); a leading row carries the log of its slice."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, log, first = None, deque(), None
-        for pdf in batches:
-            out = []
-            for key, part, t, rid, carry in zip(
-                pdf["key"].tolist(), pdf["slice"].tolist(), pdf["t"].tolist(),
-                pdf["id"].tolist(), pdf["carry"].tolist(),
-            ):
+        out: list[tuple] = []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("key", "slice", "t", "id", "carry")]
+            for key, part, t, rid, carry in zip(*columns):
                 if (key, part) != current:
                     if current is not None and not decisions:
                         out.append((*current, first, list(log)))
                     current, log, first = (key, part), deque(), None
                 if carry is not None:
-                    log = deque(int(c) for c in carry)
+                    log = deque(carry)
                     continue
                 first = t if first is None else first
                 admitted = take(log, t, max_calls, period)
                 if decisions:
                     out.append((key, t, rid, admitted))
-            yield _frame(out, decisions)
+            yield _batch(out, out_schema)
+            out = []
         if current is not None and not decisions:
-            yield _frame([(*current, first, list(log))], decisions)
+            yield _batch([(*current, first, list(log))], out_schema)
 
     return run
 
 
-def _frame(rows: list, decisions: bool) -> pd.DataFrame:
-    names = ["key", "t", "id", "admitted"] if decisions else ["key", "slice", "first_t", "log"]
-    return pd.DataFrame(rows, columns=names)
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(c), type=f.type) for c, f in zip(columns, schema)], schema=schema
+    )
 
 
 def _folded(rows: DataFrame, max_calls: int, period: int, decisions: bool) -> DataFrame:
-    key_type = rows.schema["key"].dataType.simpleString()
-    id_type = rows.schema["id"].dataType.simpleString()
-    schema = (
-        f"key {key_type}, t bigint, id {id_type}, admitted boolean"
+    key, rid = rows.schema["key"].dataType, rows.schema["id"].dataType
+    fields = (
+        {"key": key, "t": LongType(), "id": rid, "admitted": BooleanType()}
         if decisions
-        else f"key {key_type}, slice bigint, first_t bigint, log array<bigint>"
-    )
-    placed = rows.repartition("key", "slice").sortWithinPartitions(
-        "key", "slice", "t", "id"
+        else {"key": key, "slice": LongType(), "first_t": LongType(), "log": ArrayType(LongType())}
     )
-    return placed.mapInPandas(_fold(max_calls, period, decisions), schema)
+    schema = StructType([StructField(n, t) for n, t in fields.items()])
+    placed = rows.repartition("key", "slice").sortWithinPartitions("key", "slice", "t", "id")
+    fold = _fold(max_calls, period, decisions, to_arrow_schema(schema))
+    return placed.mapInArrow(fold, schema)
 
 
 def _with_logs(events: DataFrame, logs: DataFrame) -> DataFrame:

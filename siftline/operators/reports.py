@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import paths as pt
 from siftline.functions import severity as sev
+from siftline.functions.text import loc
 from siftline.operators import metrics, ranking
 from siftline.schemas import SEVERITY_RANK
 
@@ -52,18 +53,13 @@ def write_markdown(findings: DataFrame, path: str, files_per_write: int | None =
 
 def text_summary(corpus: DataFrame, findings: DataFrame) -> DataFrame:
     """``part, ord, text``: file and line totals, four severity lines, one line per type."""
-    from siftline.functions.text import loc
-
     totals = corpus.agg(F.count("*").alias("f"), F.coalesce(F.sum(loc(F.col("content"))), F.lit(0)).alias("l"))
+    line = lambda i, label, c: F.struct(
+        F.lit(0).alias("part"), F.lit(i).cast("bigint").alias("ord"),
+        F.concat(F.lit(label), F.col(c).cast("string")).alias("text"),
+    )
     head = totals.select(
-        F.inline(
-            F.array(
-                F.struct(F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("ord"),
-                         F.concat(F.lit("Files Analyzed: "), F.col("f").cast("string")).alias("text")),
-                F.struct(F.lit(0), F.lit(1).cast("bigint"),
-                         F.concat(F.lit("Lines of Code: "), F.col("l").cast("string"))),
-            )
-        )
+        F.inline(F.array(line(0, "Files Analyzed: ", "f"), line(1, "Lines of Code: ", "l")))
     )
     severities = metrics.count_by_severity(findings).select(
         F.lit(1).alias("part"), F.col("ord").cast("bigint").alias("ord"),
@@ -86,22 +82,19 @@ def comment_lines(findings: DataFrame, limit: int = 10) -> DataFrame:
                  F.coalesce("line_number", F.lit(0)).cast("string"), F.lit("** - "),
                  F.coalesce("message", F.lit(""))).alias("text"),
     )
-    heads = top.filter("position = 1").select(
-        "bucket",
-        F.inline(
-            F.array(
-                F.struct(
-                    F.lit(0).alias("position"),
-                    F.concat(F.lit("### "), sev.mark(F.col("bucket")), F.lit(" "), F.upper("bucket"),
-                             F.lit(" ("), F.col("bucket_size").cast("string"), F.lit(")")).alias("text"),
-                ),
-                F.struct(
-                    F.lit(limit + 1),
-                    F.when(F.col("more") > 0, F.concat(F.lit("- ... and "), F.col("more").cast("string"),
-                                                       F.lit(" more"))),
-                ),
-            )
-        ),
-    ).filter("text IS NOT NULL")
+    title = F.concat(
+        F.lit("### "), sev.mark(F.col("bucket")), F.lit(" "), F.upper("bucket"), F.lit(" ("),
+        F.col("bucket_size").cast("string"), F.lit(")"),
+    )
+    rest = F.concat(F.lit("- ... and "), F.col("more").cast("string"), F.lit(" more"))
+    entry = lambda at, text: F.struct(F.lit(at).alias("position"), text.alias("text"))
+    heads = (
+        top.filter("position = 1")
+        .select(
+            "bucket",
+            F.inline(F.array(entry(0, title), entry(limit + 1, F.when(F.col("more") > 0, rest)))),
+        )
+        .filter("text IS NOT NULL")
+    )
     order = F.array(*[F.lit(s) for s in SEVERITY_RANK])
     return heads.unionByName(items).withColumn("ord", F.array_position(order, F.col("bucket")).cast("int"))
