@@ -28,9 +28,18 @@ def unicode_classes(pattern: str) -> str:
     )
 
 
-def regex(pattern: str, ignore_case: bool = True) -> str:
-    """A Java pattern: ``.`` stops only at a line feed, case folding is Unicode."""
-    return ("(?iud)" if ignore_case else "(?d)") + unicode_classes(pattern)
+def regex(pattern: str) -> str:
+    """Java pattern that finds on folded text what ``pattern`` finds case-insensitively.
+
+    ``.`` stops only at a line feed. Without a case flag, a leading literal is searched for
+    with skips instead of character by character.
+    """
+    return "(?d)" + unicode_classes(pattern.lower())
+
+
+def regex_any_case(pattern: str) -> str:
+    """Java pattern for the text itself, with Unicode case folding."""
+    return "(?iud)" + unicode_classes(pattern)
 
 
 def normalise_newlines(content: Column) -> Column:
@@ -48,9 +57,18 @@ def is_blank(text: Column) -> Column:
     return F.length(strip(text)) == 0
 
 
+# Letters beyond ASCII that equal an ASCII letter when case is ignored.
+CASE_VARIANTS = ("\u0130", "\u0131", "\u017f", "\u212a")
+CASE_VARIANTS_FOLDED = "iisk"
+
+
 def fold(text: Column) -> Column:
-    """Case-folded text for literal pre-checks in front of a regular expression."""
-    return F.lower(F.upper(text))
+    """Case-folded text of the same length, line by line and character by character."""
+    plain = F.when(
+        contains_any(text, CASE_VARIANTS),
+        F.translate(text, "".join(CASE_VARIANTS), CASE_VARIANTS_FOLDED),
+    ).otherwise(text)
+    return F.lower(plain)
 
 
 def split_lines(content: Column) -> Column:
@@ -64,6 +82,20 @@ def contains_any(text: Column, needles) -> Column:
     return cond
 
 
+def sql_literal(value) -> str:
+    """A Spark SQL literal; large rule sets are built as one SQL expression."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r")
+        return f"'{escaped}'"
+    return f"CAST({value} AS DOUBLE)" if isinstance(value, float) else str(value)
+
+
+def sql_contains_any(text: str, needles) -> str:
+    return "(" + " OR ".join(f"contains({text}, {sql_literal(n)})" for n in needles) + ")"
+
+
 def code_only(line: Column) -> Column:
     """A line without the contents of its string literals and without its comment."""
     bare = F.regexp_replace(line, "\"[^\"]*\"|'[^']*'", "\"\"")

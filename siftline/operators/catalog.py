@@ -307,27 +307,28 @@ def _line_checks() -> dict[str, tuple[Rule, ...]]:
         ],
         "command_injection": [
             security("line-command_injection", "critical", f"Potential command injection: {f}",
-                     literals=(f + "(",), with_any=COMMAND_JOINERS)
+                     literals=(f + "(",), with_any=COMMAND_JOINERS, needles=("(",))
             for f in COMMAND_NAMES
         ],
         "unsafe_imports": [
             security("line-unsafe_imports", "medium", f"Unsafe import: {m}",
-                     literals=(f"import {m}", f"from {m} import"))
+                     literals=(f"import {m}", f"from {m} import"), needles=("import",))
             for m in UNSAFE_IMPORTS
         ],
         "weak_crypto": [
             security("line-weak_crypto", "medium", f"Weak cryptographic algorithm: {a}",
-                     literals=(f'"{a}"', f"'{a}'"), fold_line=True)
+                     literals=(f'"{a}"', f"'{a}'"), fold_line=True, needles=(a,))
             for a in WEAK_ALGORITHMS
         ],
         "insecure_deserialization": [
             security("line-insecure_deserialization", "high", f"Insecure deserialization: {c}",
-                     literals=(c,))
+                     literals=(c,), needles=(".load",))
             for c in DESERIALIZERS
         ],
         "path_traversal": [
             security("line-path_traversal", "high", "Potential path traversal",
-                     literals=(t,), snippet_chars=50)
+                     literals=(t,), snippet_chars=50,
+                     needles=("..",) if t.startswith("..") else (t.lower(),))
             for t in TRAVERSALS
         ],
     }

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from siftline.functions import text as tx
 from siftline.operators import catalog as cat
 from siftline.operators.catalog import Rule
-from siftline.schemas import as_findings, pack_seq
+from siftline.schemas import as_findings
 
 # A carriage return cannot occur in normalised content, so it can mark where a match starts.
-MARK = "\r"
+MARK_SQL = "\\r"
 
 
 def numbered_lines(corpus: DataFrame) -> DataFrame:
@@ -23,43 +23,64 @@ def numbered_lines(corpus: DataFrame) -> DataFrame:
     ).withColumn("line_no", F.col("line_no") + 1)
 
 
-def matches_line(rule: Rule, line: Column, folded: Column) -> Column:
+def line_condition(rule: Rule) -> str:
+    """SQL condition of a rule over ``line`` and its case-folded form ``_folded``."""
     if rule.pattern is not None:
-        cond = line.rlike(tx.regex(rule.pattern))
-        return tx.contains_any(folded, rule.needles) & cond if rule.needles else cond
-    cond = tx.contains_any(F.lower(line) if rule.fold_line else line, rule.literals)
-    return cond & tx.contains_any(line, rule.with_any) if rule.with_any else cond
-
-
-def rule_struct(rule: Rule, index: int) -> Column:
-    return F.struct(
-        F.lit(rule.severity).alias("severity"),
-        F.lit(rule.type).alias("type"),
-        F.lit(rule.message).alias("message"),
-        F.lit(rule.suggestion).cast("string").alias("suggestion"),
-        F.lit(rule.confidence).cast("string").alias("confidence"),
-        F.lit(rule.confidence_score).cast("double").alias("confidence_score"),
-        F.lit(rule.stage).cast("string").alias("stage"),
-        F.lit(rule.rule_id).alias("rule_id"),
-        F.lit(rule.cwe_id).cast("string").alias("cwe_id"),
-        F.lit(rule.details).cast("string").alias("details"),
-        F.lit(rule.snippet_chars).cast("int").alias("snippet_chars"),
-        F.lit(rule.major).alias("major"),
-        F.lit(index).alias("index"),
+        return f"_folded RLIKE {tx.sql_literal(tx.regex(rule.pattern))}"
+    cond = tx.sql_contains_any("lower(line)" if rule.fold_line else "line", rule.literals)
+    return f"{cond} AND {tx.sql_contains_any('line', rule.with_any)}" if rule.with_any else cond
+
+
+def guarded(entries: list[tuple[tuple[str, ...], str]]) -> str:
+    """SQL array of the non-NULL entries; entries with equal needles share one test of them."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for needles, expression in entries:
+        groups.setdefault(needles, []).append(expression)
+    arrays = []
+    for needles, expressions in groups.items():
+        some = f"array({', '.join(expressions)})"
+        test = tx.sql_contains_any("_folded", needles) if needles else "true"
+        arrays.append(f"CASE WHEN {test} THEN {some} END")
+    return f"array_compact(flatten(array_compact(array({', '.join(arrays)}))))"
+
+
+_RULE_FIELDS = {
+    "severity": "string", "type": "string", "message": "string", "suggestion": "string",
+    "confidence": "string", "confidence_score": "double", "stage": "string",
+    "rule_id": "string", "cwe_id": "string", "details": "string", "snippet_chars": "int",
+    "major": "bigint",
+}
+
+
+def rule_table(rows: list[dict]) -> Column:
+    """A constant array of structs, indexed by rule number."""
+    structs = [
+        "named_struct("
+        + ", ".join(
+            f"'{name}', CAST({tx.sql_literal(row.get(name))} AS {kind})"
+            for name, kind in _RULE_FIELDS.items()
+        )
+        + ")"
+        for row in rows
+    ]
+    return F.expr(f"array({', '.join(structs)})")
+
+
+def _seq(major: Column, line_no: str, minor: str) -> Column:
+    return (
+        major * F.lit(1 << 53) + F.col(line_no).cast("bigint") * F.lit(1 << 22) + F.col(minor)
     )
 
 
 def scan_lines(lines: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """One finding per (line, rule) that matches. Narrow: no shuffle, no Python."""
     folded = lines.withColumn("_folded", tx.fold(F.col("line")))
-    line, fold = F.col("line"), F.col("_folded")
-    fired = F.array_compact(
-        F.array(*[F.when(matches_line(r, line, fold), F.lit(i)) for i, r in enumerate(rules)])
-    )
-    table = F.array(*[rule_struct(r, i) for i, r in enumerate(rules)])
-    hits = folded.select("file", "line_no", "line", F.explode(fired).alias("_i")).withColumn(
-        "r", F.get(table, F.col("_i"))
+    fired = guarded(
+        [(r.needles, f"CASE WHEN {line_condition(r)} THEN {i} END") for i, r in enumerate(rules)]
     )
+    hits = folded.select(
+        "file", "line_no", "line", F.expr(f"explode({fired})").alias("_i")
+    ).withColumn("r", F.get(rule_table([r.__dict__ for r in rules]), F.col("_i")))
     stripped = tx.strip(F.col("line"))
     cut = F.col("r.snippet_chars")
     return as_findings(
@@ -71,11 +92,7 @@ def scan_lines(lines: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
             F.when(cut.isNull(), stripped).otherwise(F.substring(stripped, F.lit(1), cut)).alias(
                 "code_snippet"
             ),
-            (
-                F.col("r.major").cast("bigint") * F.lit(1 << 53)
-                + F.col("line_no").cast("bigint") * F.lit(1 << 22)
-                + F.col("r.index")
-            ).alias("seq"),
+            _seq(F.col("r.major"), "line_no", "_i").alias("seq"),
         )
     )
 
@@ -96,28 +113,20 @@ def bug_patterns(corpus: DataFrame) -> DataFrame:
     return scan_lines(numbered_lines(corpus), rules)
 
 
-def match_lines(content: Column, pattern: str) -> Column:
-    """``array<struct<line_no, n, line>>``: lines on which matches start, with their number.
+def _search(number: int, pattern: str) -> str:
+    """SQL: ``array<struct<rule_no, line_no, n, line>>``, the lines on which matches start.
 
     Every match start is marked once, the text is cut at line feeds and the marks of each
     line are counted, so the cost is linear in the text whatever the number of matches.
     """
-    marked = F.split(F.regexp_replace(content, F.lit(pattern), F.lit(MARK + "$0")), "\n", -1)
-    numbered = F.transform(
-        marked, lambda l, i: F.when(F.contains(l, F.lit(MARK)), F.struct(i.alias("i"), l.alias("l")))
-    )
-    return F.transform(
-        F.array_compact(numbered),
-        lambda s: F.struct(
-            (s["i"] + 1).alias("line_no"),
-            (F.length(s["l"]) - F.length(F.replace(s["l"], F.lit(MARK), F.lit("")))).alias("n"),
-            F.replace(s["l"], F.lit(MARK), F.lit("")).alias("line"),
-        ),
-    )
-
-
-def _tagged(tag: Column, rows: Column) -> Column:
-    return F.transform(rows, lambda s: F.struct(tag, s["line_no"], s["n"], s["line"]))
+    p = tx.sql_literal(pattern)
+    marked = f"split(regexp_replace(_folded, {p}, '{MARK_SQL}$0'), '\\n', -1)"
+    # Lines without a mark become NULL and are dropped before anything else is built.
+    return f"""CASE WHEN _folded RLIKE {p} THEN array_compact(transform({marked}, (l, i) ->
+        CASE WHEN contains(l, '{MARK_SQL}') THEN
+          struct({number} AS rule_no, i + 1 AS line_no,
+                 length(l) - length(replace(l, '{MARK_SQL}', '')) AS n, get(_lines, i) AS line)
+        END)) END"""
 
 
 def scan_contents(corpus: DataFrame, searches: list[tuple[str, tuple[str, ...]]]) -> DataFrame:
@@ -127,20 +136,12 @@ def scan_contents(corpus: DataFrame, searches: list[tuple[str, tuple[str, ...]]]
     cross lines. One pass over the corpus, one row per match, no shuffle.
     """
     carried = [c for c in corpus.columns if c not in ("path", "content")]
+    content = F.col("content")
     base = corpus.select(
-        F.col("path").alias("file"), *carried,
-        tx.normalise_newlines(F.col("content")).alias("content"),
-    ).withColumn("_folded", tx.fold(F.col("content")))
-    content, folded = F.col("content"), F.col("_folded")
-    kind = "array<struct<rule_no:int,line_no:int,n:int,line:string>>"
-    found = []
-    for i, (pattern, needles) in enumerate(searches):
-        cond = content.rlike(pattern)
-        if needles:
-            cond = tx.contains_any(folded, needles) & cond
-        rows = _tagged(F.lit(i).alias("rule_no"), match_lines(content, pattern))
-        found.append(F.when(cond, rows.cast(kind)).otherwise(F.array().cast(kind)))
-    per_line = base.select("file", *carried, F.explode(F.flatten(F.array(*found))).alias("m"))
+        F.col("path").alias("file"), *carried, tx.normalise_newlines(content).alias("content")
+    ).select("file", *carried, tx.fold(content).alias("_folded"), tx.split_lines(content).alias("_lines"))
+    found = guarded([(n, _search(i, p)) for i, (p, n) in enumerate(searches)])
+    per_line = base.select("file", *carried, F.expr(f"explode(flatten({found}))").alias("m"))
     return per_line.select(
         "file", *carried, "m.rule_no", "m.line_no", "m.line",
         F.explode(F.sequence(F.lit(1), F.col("m.n"))).alias("match_no"),
@@ -151,16 +152,13 @@ def owasp(corpus: DataFrame) -> DataFrame:
     """All category patterns over whole contents, every non-overlapping match a finding."""
     flat = [(c, p, n) for c in cat.CATEGORIES for p, n in c.patterns]
     hits = scan_contents(corpus, [(tx.regex(p), n) for _, p, n in flat])
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(c.severity).alias("severity"),
-                F.lit(c.message).alias("message"),
-                F.lit(c.suggestion).alias("suggestion"),
-                F.lit(c.cwe_id).alias("cwe_id"),
-                F.lit(f"OWASP-{c.name}").alias("rule_id"),
-            )
-            for c, _, _ in flat
+    table = rule_table(
+        [
+            {
+                "severity": c.severity, "message": c.message, "suggestion": c.suggestion,
+                "cwe_id": c.cwe_id, "rule_id": f"OWASP-{c.name}", "major": i,
+            }
+            for i, (c, _, _) in enumerate(flat)
         ]
     )
     return as_findings(
@@ -173,11 +171,7 @@ def owasp(corpus: DataFrame) -> DataFrame:
             F.lit("high").alias("confidence"),
             "r.rule_id", "r.cwe_id",
             tx.strip(F.col("line")).alias("code_snippet"),
-            (
-                F.col("rule_no").cast("bigint") * F.lit(1 << 53)
-                + F.col("line_no").cast("bigint") * F.lit(1 << 22)
-                + F.col("match_no")
-            ).alias("seq"),
+            _seq(F.col("r.major"), "line_no", "match_no").alias("seq"),
         )
     )
 
@@ -190,13 +184,15 @@ def supported_checks(spark) -> DataFrame:
 def detect_secrets(texts: DataFrame, text: str = "text") -> DataFrame:
     """Secret kinds over whole texts; long matches are cut for display."""
     def matches(kind: str, pattern: str) -> Column:
-        found = F.regexp_extract_all(F.col(text), F.lit(tx.regex(pattern)), 0)
-        return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("m")))
+        found = F.regexp_extract_all(F.col(text), F.lit(tx.regex_any_case(pattern)), 0)
+        rows = F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("m")))
+        return F.when(F.col("_folded").rlike(tx.regex(pattern)), rows)
 
-    kinds = [matches(k, p) for k, p in cat.SECRET_KINDS]
+    kinds = F.array_compact(F.array(*[matches(k, p) for k, p in cat.SECRET_KINDS]))
     keep = [c for c in texts.columns if c != text]
     shown = F.col("s.m")
-    return texts.select(*keep, F.explode(F.concat(*kinds)).alias("s")).select(
+    folded = texts.withColumn("_folded", tx.fold(F.col(text)))
+    return folded.select(*keep, F.explode(F.flatten(kinds)).alias("s")).select(
         *keep,
         F.col("s.kind").alias("type"),
         F.when(F.length(shown) > 50, F.concat(F.substring(shown, 1, 50), F.lit("...")))
@@ -229,10 +225,6 @@ def learned(corpus: DataFrame, rules: DataFrame, patterns=(cat.LEARNED_SECRET, c
             F.regexp_extract("rule_id", "^learned_([^:]*):", 1).alias("type"),
             "message", "suggestion", "rule_id",
             F.lit("learned").alias("stage"), tx.strip(F.col("line")).alias("code_snippet"),
-            (
-                F.col("rule_no").cast("bigint") * F.lit(1 << 53)
-                + F.col("line_no").cast("bigint") * F.lit(1 << 22)
-                + F.col("match_no")
-            ).alias("seq"),
+            _seq(F.col("rule_no").cast("bigint"), "line_no", "match_no").alias("seq"),
         )
     )

@@ -208,12 +208,15 @@ def stage_summary(runs: DataFrame) -> DataFrame:
 
 def project_stats(files: DataFrame) -> DataFrame:
     """Totals, files per language (a fixed vocabulary), the largest and the newest file."""
-    language = F.coalesce(pt.display_language(F.col("path")), F.lit("Other"))
+    shown_as = F.coalesce(pt.display_language(F.col("path")), F.lit("Other"))
+    language = F.col("language")
     vocabulary = sorted(set(pt.DISPLAY_LANGUAGE.values())) + ["Other"]
     counters = {name: F.count_if(language == name) for name in vocabulary}
-    agg = files.agg(
+    agg = files.select(
+        "path", "size", "mtime", tx.loc(F.col("content")).alias("loc"), shown_as.alias("language")
+    ).agg(
         F.count("*").alias("total_files"),
-        F.sum(tx.loc(F.col("content"))).alias("total_lines"),
+        F.sum("loc").alias("total_lines"),
         F.max(F.struct("size", "path"))["path"].alias("largest_file"),
         F.max(F.struct("mtime", "path"))["path"].alias("newest_file"),
         F.filter(

@@ -52,7 +52,7 @@ def todo_comments(corpus: DataFrame) -> DataFrame:
     comment = F.substring(line, F.instr(line, "#") + 1, F.length(line))
     lines = numbered_lines(corpus).filter(F.contains(line, F.lit("#")))
     tagged = lines.withColumn("comment", comment).filter(
-        tx.contains_any(F.upper(F.col("comment")), COMMENT_TAGS)
+        F.upper(F.col("comment")).rlike("|".join(COMMENT_TAGS))
     )
     return _finding(
         tagged, 4, F.lit(0), severity="low", type="best_practice", confidence="high",
@@ -65,7 +65,7 @@ def secret_assignments(corpus: DataFrame) -> DataFrame:
     name = F.lower(F.regexp_extract(F.col("line"), _ASSIGN, 1))
     lines = numbered_lines(corpus).filter(F.contains(F.col("line"), F.lit("=")))
     return _finding(
-        lines.filter(tx.contains_any(name, SENSITIVE_WORDS)), 0, F.lit(0),
+        lines.filter(name.rlike("|".join(SENSITIVE_WORDS))), 0, F.lit(0),
         severity="high", type="security", confidence="high",
         message="Potential hardcoded secret detected",
         suggestion="Use environment variables or a secrets manager instead",
@@ -113,11 +113,7 @@ def code_execution(corpus: DataFrame) -> DataFrame:
 def _statements(corpus: DataFrame, pattern: str, word: str) -> DataFrame:
     lines = numbered_lines(corpus).filter(F.contains(F.col("line"), F.lit(word)))
     n = F.regexp_count(tx.code_only(F.col("line")), F.lit(pattern))
-    return (
-        lines.withColumn("n", n)
-        .filter(F.col("n") > 0)
-        .select("file", "line_no", "line", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
-    )
+    return lines.select("file", "line_no", "line", F.posexplode(F.array_repeat(F.lit(0), n)).alias("k", "_"))
 
 
 def assert_statements(corpus: DataFrame) -> DataFrame:
