@@ -101,14 +101,17 @@ def glob_regex(pattern: str) -> str:
         out, i = "", 0
         while i < len(part):
             c = part[i]
-            close = part.find("]", i + 2) if c == "[" else -1
+            inner = i + 3 if part[i : i + 2] == "[!" else i + 2
+            close = part.find("]", inner) if c == "[" else -1
             if c == "*":
                 out += "[^/]*"
             elif c == "?":
                 out += "[^/]"
             elif close > 0:
-                body = part[i + 1 : close].replace("\\", "\\\\")
-                out += "[" + ("^" + body[1:] if body.startswith("!") else body) + "]"
+                body, negated = part[i + 1 : close], part[i + 1] == "!"
+                # Only ranges keep their meaning inside the brackets.
+                members = re.sub(r"([\\\[\]&^])", r"\\\1", body[1:] if negated else body)
+                out += "[" + ("^" if negated else "") + members + "]"
                 i = close
             else:
                 out += re.escape(c)

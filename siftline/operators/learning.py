@@ -138,7 +138,16 @@ def project_summary(obs: DataFrame, patterns: DataFrame) -> DataFrame:
     key = F.when(g == 0b011, F.col("severity")).when(g == 0b101, F.col("language")).when(
         g == 0b110, F.col("pattern_key")
     ).otherwise(F.lit(""))
-    rows = counted.select(section.alias("section"), key.alias("key"), "n", "first_seq")
+    zero = obs.sparkSession.range(1).selectExpr(
+        "'total_observations' AS section", "'' AS key", "0L AS n", "CAST(NULL AS BIGINT) AS first_seq"
+    )
+    # The total is reported for an empty log too.
+    rows = (
+        counted.select(section.alias("section"), key.alias("key"), "n", "first_seq")
+        .unionByName(zero)
+        .groupBy("section", "key")
+        .agg(F.sum("n").alias("n"), F.min("first_seq").alias("first_seq"))
+    )
     w = Window.partitionBy("section").orderBy(F.desc("n"), "first_seq")
     top = (
         rows.filter("section != 'severity'")

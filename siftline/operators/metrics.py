@@ -142,7 +142,12 @@ def _distributions(findings: DataFrame) -> DataFrame:
     )
     metric = F.when(F.col("g") == 1, "severity").when(F.col("g") == 2, "type").otherwise("total_issues")
     key = F.when(F.col("g") == 1, F.col("severity")).when(F.col("g") == 2, F.col("type")).otherwise("")
-    return g.select(metric.alias("metric"), F.coalesce(key, F.lit("unknown")).alias("key"), "value")
+    counted = g.select(metric.alias("metric"), F.coalesce(key, F.lit("unknown")).alias("key"), "value")
+    # The total is reported for no findings too.
+    zero = findings.sparkSession.range(1).select(
+        F.lit("total_issues").alias("metric"), F.lit("").alias("key"), F.lit(0).cast("bigint").alias("value")
+    )
+    return counted.unionByName(zero).groupBy("metric", "key").agg(F.sum("value").alias("value"))
 
 
 def review_summary(corpus: DataFrame, findings: DataFrame) -> DataFrame:
