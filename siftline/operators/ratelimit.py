@@ -5,11 +5,12 @@ An event is admitted when fewer than ``max_calls`` events of its key were admitt
 decisions, so the events of a key are folded in time order.
 
 Keys are spread over the cluster. A key with very many events is cut into time slices that
-are folded side by side: each slice starts from the admissions it inherits from the slice
-before it. The inherited log is first taken to be empty, then replaced by what the previous
-slice really left, and only slices whose inherited log changed are folded again, until no
-log changes. Slice *n* is final after at most *n* rounds, usually after two or three,
-because a log forgets everything older than one period.
+are folded side by side. Every slice first assumes that it inherits no admissions; where the
+slice before it left other ones, it is folded again together with its neighbours, in segments
+of 2, 4, 8, … slices, until all slices agree. A log forgets what is older than a period, so
+most slices agree after a round or two; agreement is certain after log2(slices) rounds, when
+one segment holds the whole key. Folding keeps one log in memory and jumps over the events
+that arrive while the log is full.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from __future__ import annotations
 from collections import deque
 from typing import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -50,61 +53,111 @@ def take(log: deque, now: int, max_calls: int, period: int) -> bool:
     return True
 
 
-def _fold(max_calls: int, period: int, decisions: bool, out_schema: pa.Schema):
-    """Fold rows sorted by (key, slice, t, id); a leading row carries the log of its slice."""
+def _fold_run(t: np.ndarray, log: deque, max_calls: int, period: int) -> np.ndarray:
+    """Decisions for ascending times; ``log`` is left as the last event leaves it."""
+    admitted = np.zeros(len(t), dtype=bool)
+    i, n = 0, len(t)
+    while i < n:
+        now = int(t[i])
+        if take(log, now, max_calls, period):
+            admitted[i] = True
+            i += 1
+        else:
+            # Nothing is admitted before the oldest call leaves the log.
+            i = max(i + 1, int(np.searchsorted(t, log[0] + period)))
+    if n:
+        while log and int(t[-1]) - log[0] >= period:
+            log.popleft()
+    return admitted
+
+
+def _fold(max_calls: int, period: int, decisions: bool, schema: pa.Schema):
+    """Fold rows sorted by (key, segment, slice, t, id) into decisions or into slice logs.
+
+    A leading row, with a ``carry``, starts its segment from that log.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, log, first = None, deque(), None
-        out: list[tuple] = []
+        segment, current, log = None, None, deque()
+        first, inherited = None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "slice", "t", "id", "carry")]
-            for key, part, t, rid, carry in zip(*columns):
-                if (key, part) != current:
-                    if current is not None and not decisions:
-                        out.append((*current, first, list(log)))
-                    current, log, first = (key, part), deque(), None
-                if carry is not None:
-                    log = deque(carry)
+            keys, carries = batch.column("key"), batch.column("carry")
+            codes = pc.fill_null(keys.dictionary_encode().indices, -1).to_numpy()
+            segs, slices, t = (batch.column(c).to_numpy() for c in ("segment", "slice", "t"))
+            change = (np.diff(codes) != 0) | (np.diff(segs) != 0) | (np.diff(slices) != 0)
+            starts = np.concatenate([[0], np.flatnonzero(change) + 1]) if len(t) else []
+            ends = np.append(starts[1:], len(t)) if len(t) else []
+            leading = carries.is_valid().to_numpy(zero_copy_only=False)
+            admitted = np.zeros(len(t), dtype=bool)
+            closed = []
+            for a, b in zip(starts, ends):
+                key = keys[int(a)].as_py()
+                place = (key, int(segs[a]), int(slices[a]))
+                if place != current:
+                    if first is not None:
+                        closed.append((current[0], current[2], first, inherited, list(log)))
+                    if place[:2] != segment:
+                        segment, log = place[:2], deque()
+                    current, first = place, None
+                if leading[a]:
+                    log = deque(carries[int(a)].as_py())
+                    a = a + 1
+                if a == b:
                     continue
-                first = t if first is None else first
-                admitted = take(log, t, max_calls, period)
-                if decisions:
-                    out.append((key, t, rid, admitted))
-            yield _batch(out, out_schema)
-            out = []
-        if current is not None and not decisions:
-            yield _batch([(*current, first, list(log))], out_schema)
+                if first is None:
+                    first = int(t[a])
+                    inherited = [c for c in log if first - c < period]
+                admitted[a:b] = _fold_run(t[a:b], log, max_calls, period)
+            if decisions:
+                events = pa.array(~leading)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("key").filter(events), batch.column("t").filter(events),
+                        batch.column("id").filter(events), pa.array(admitted[~leading]),
+                    ],
+                    schema=schema,
+                )
+            elif closed:
+                yield _batch(closed, schema)
+        if first is not None and not decisions:
+            yield _batch([(current[0], current[2], first, inherited, list(log))], schema)
 
     return run
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = zip(*rows) if rows else [()] * len(schema)
     return pa.RecordBatch.from_arrays(
-        [pa.array(list(c), type=f.type) for c, f in zip(columns, schema)], schema=schema
+        [pa.array(list(c), type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema
     )
 
 
 def _folded(rows: DataFrame, max_calls: int, period: int, decisions: bool) -> DataFrame:
     key, rid = rows.schema["key"].dataType, rows.schema["id"].dataType
+    log = ArrayType(LongType())
     fields = (
         {"key": key, "t": LongType(), "id": rid, "admitted": BooleanType()}
         if decisions
-        else {"key": key, "slice": LongType(), "first_t": LongType(), "log": ArrayType(LongType())}
+        else {"key": key, "slice": LongType(), "first_t": LongType(), "carry": log, "log": log}
     )
     schema = StructType([StructField(n, t) for n, t in fields.items()])
-    placed = rows.repartition("key", "slice").sortWithinPartitions("key", "slice", "t", "id")
-    fold = _fold(max_calls, period, decisions, to_arrow_schema(schema))
-    return placed.mapInArrow(fold, schema)
+    placed = (
+        rows.select("key", "segment", "slice", "t", "id", "carry")
+        .repartition("key", "segment")
+        .sortWithinPartitions("key", "segment", "slice", "t", "id")
+    )
+    return placed.mapInArrow(_fold(max_calls, period, decisions, to_arrow_schema(schema)), schema)
 
 
 def _with_logs(events: DataFrame, logs: DataFrame) -> DataFrame:
-    """Events plus one leading row per slice that carries its inherited log."""
+    """Events plus one leading row per segment that carries its inherited log."""
     leading = logs.select(
-        "key", "slice", F.lit(BEFORE_ALL).alias("t"),
+        "key", "segment", "slice", F.lit(BEFORE_ALL).alias("t"),
         F.lit("0").cast(events.schema["id"].dataType).alias("id"), "carry",
     )
-    return events.withColumn("carry", F.lit(None).cast("array<bigint>")).unionByName(leading)
+    plain = events.select(
+        "key", "segment", "slice", "t", "id", F.lit(None).cast("array<bigint>").alias("carry")
+    )
+    return plain.unionByName(leading)
 
 
 def _sliced(events: DataFrame, hot: DataFrame, slice_rows: int) -> DataFrame:
@@ -128,34 +181,35 @@ def _sliced(events: DataFrame, hot: DataFrame, slice_rows: int) -> DataFrame:
 
 def _settled_logs(events: DataFrame, max_calls: int, period: int) -> DataFrame:
     """``key, slice, carry``: the log every slice inherits."""
-    state = checkpointed(
-        _folded(_with_logs(events, _no_logs(events)), max_calls, period, False).withColumn(
-            "carry", F.array().cast("array<bigint>")
-        )
+    alone = events.withColumn("segment", F.col("slice")).withColumn(
+        "carry", F.lit(None).cast("array<bigint>")
     )
+    state = checkpointed(_folded(alone, max_calls, period, False))
+    width = 1
     while True:
-        inherited = state.select("key", (F.col("slice") + 1).alias("slice"), F.col("log").alias("left"))
+        left = state.select("key", (F.col("slice") + 1).alias("slice"), F.col("log").alias("left"))
         active = F.filter(F.coalesce("left", F.array()), lambda c: F.col("first_t") - c < period)
-        linked = state.join(inherited, ["key", "slice"], "left").withColumn("next", active)
-        changed = checkpointed(
-            linked.filter(~F.col("carry").eqNullSafe(F.col("next"))).select(
-                "key", "slice", F.col("next").alias("carry")
-            )
+        linked = state.join(left, ["key", "slice"], "left").withColumn("next", active)
+        width *= 2
+        segment = F.floor((F.col("slice") - 1) / F.lit(width)).cast("bigint")
+        logs = linked.select(
+            "key", "slice", segment.alias("segment"), F.col("next").alias("carry"),
+            (F.col("carry") != F.col("next")).alias("differs"),
         )
-        if changed.isEmpty():
+        redo = checkpointed(
+            logs.groupBy("key", "segment")
+            .agg(F.bool_or("differs").alias("differs"), F.min(F.struct("slice", "carry")).alias("s"))
+            .filter("differs")
+            .select("key", "segment", "s.slice", "s.carry")
+        )
+        if redo.isEmpty():
             return state.select("key", "slice", "carry")
-        again = events.join(changed.select("key", "slice"), ["key", "slice"], "left_semi")
-        redone = _folded(_with_logs(again, changed), max_calls, period, False).join(
-            changed, ["key", "slice"]
+        again = events.withColumn("segment", segment).join(
+            redo.select("key", "segment"), ["key", "segment"], "left_semi"
         )
-        kept = state.join(changed.select("key", "slice"), ["key", "slice"], "left_anti")
-        state = checkpointed(kept.unionByName(redone))
-
-
-def _no_logs(events: DataFrame) -> DataFrame:
-    return events.select(
-        "key", "slice", F.array().cast("array<bigint>").alias("carry")
-    ).limit(0)
+        redone = _folded(_with_logs(again, redo), max_calls, period, False)
+        kept = state.withColumn("segment", segment).join(redo, ["key", "segment"], "left_anti")
+        state = checkpointed(kept.drop("segment").unionByName(redone))
 
 
 def admissions(
@@ -172,16 +226,18 @@ def admissions(
     rows = events.select(F.col(key).alias("key"), micros(ts).alias("t"), F.col(event_id).alias("id"))
     per_key = rows.groupBy("key").agg(F.count("*").alias("n"))
     hot = per_key.filter(F.col("n") > slice_rows).select("key")
-    whole = lambda df: df.withColumn("slice", F.lit(1).cast("bigint")).withColumn(
-        "carry", F.lit(None).cast("array<bigint>")
+    whole = lambda df: df.withColumns(
+        {"slice": F.lit(1).cast("bigint"), "carry": F.lit(None).cast("array<bigint>")}
     )
+    as_segments = lambda df: df.withColumn("segment", F.col("slice"))
     if hot.isEmpty():
-        return _folded(whole(rows), max_calls, period, True)
+        return _folded(as_segments(whole(rows)), max_calls, period, True)
     hot = checkpointed(hot)
     sliced = checkpointed(_sliced(rows, hot, slice_rows))
     logs = _settled_logs(sliced, max_calls, period)
-    cold = whole(rows.join(hot, "key", "left_anti"))
-    return _folded(cold.unionByName(_with_logs(sliced, logs)), max_calls, period, True)
+    cold = as_segments(whole(rows.join(hot, "key", "left_anti")))
+    parts = cold.unionByName(_with_logs(as_segments(sliced), as_segments(logs)))
+    return _folded(parts, max_calls, period, True)
 
 
 def state_at(

@@ -53,7 +53,7 @@ def stream(kind, n, seed):
 
 
 @pytest.mark.parametrize("kind", ["random", "saturated", "regular", "bursts"])
-@pytest.mark.parametrize("slice_rows", [10**9, 40, 7])
+@pytest.mark.parametrize("slice_rows", [10**9, 40])
 def test_slices_give_the_sequential_answer(spark, kind, slice_rows):
     events = stream(kind, 150, 5)
     want = limited(events, 4, 30)
