@@ -59,12 +59,12 @@ def security_scan(corpus: DataFrame, imported: DataFrame | None = None) -> DataF
     return as_findings(ranking.keep_first(own))
 
 
-def secret_severities_by_source(documents: DataFrame) -> DataFrame:
-    """Hard-coded secrets in the documents of each source, deduplicated, by severity."""
-    corpus = documents.select(
-        F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), "source"
-    )
-    lines = linescan.numbered_lines(corpus)
+def secret_severities_by_source(texts: DataFrame) -> DataFrame:
+    """Hard-coded secrets in the texts of each source, deduplicated, by severity.
+
+    ``texts`` has ``path, content, source``.
+    """
+    lines = linescan.numbered_lines(texts.select("path", "content", "source"))
     keyed = lines.withColumn("file", F.concat_ws("/", "source", "file"))
     found = ranking.keep_most_severe(
         linescan.scan_lines(keyed, cat.LINE_CHECKS["hardcoded_secrets"])

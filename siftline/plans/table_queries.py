@@ -1010,7 +1010,10 @@ SELECT source, 'high' AS severity, count(*) AS findings FROM (
 )
 def secrets_by_source(spark, sf):
     """Lines, secret rules, dedup and counts end to end on the raw documents."""
-    return plans.secret_severities_by_source(v.documents(spark, sf))
+    texts = v.documents(spark, sf).select(
+        F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), "source"
+    )
+    return plans.secret_severities_by_source(texts)
 
 
 @query(

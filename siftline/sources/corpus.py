@@ -23,7 +23,8 @@ def read_files(spark: SparkSession, root: str, errors: str = "strict", max_bytes
     """``path, content, size, mtime, language`` of the supported files below ``root``.
 
     Names are matched during listing; size and directories are filtered on metadata before
-    content is read. Undecodable files are dropped (``strict``) or repaired (``ignore``).
+    content is read. Undecodable files are dropped (``strict``) or repaired (``ignore``). The
+    file source lists no empty files; they would have no lines and no findings.
     """
     glob = "*.{" + ",".join(e[1:] for e in pt.LANGUAGE_BY_EXTENSION) + "}"
     raw = (

@@ -29,7 +29,7 @@ def names(df, root):
 
 def test_reads_supported_files_below_the_root(spark, tree):
     found = src.read_files(spark, tree)
-    assert names(found, tree) == ["a.py", "big.py", "empty.ts", "sub/b.js"]
+    assert names(found, tree) == ["a.py", "big.py", "sub/b.js"]
     first = {r.content: r.language for r in found.collect()}
     assert first["x = 1\ny = 2\nz"] == "python"
     assert first["let a"] == "javascript"
@@ -37,7 +37,7 @@ def test_reads_supported_files_below_the_root(spark, tree):
 
 def test_ignoring_decoder_and_size_limit(spark, tree):
     found = src.read_files(spark, tree, errors="ignore", max_bytes=1000)
-    assert names(found, tree) == ["a.py", "bad.rs", "empty.ts", "sub/b.js"]
+    assert names(found, tree) == ["a.py", "bad.rs", "sub/b.js"]
     assert "ok  café" in {r.content for r in found.collect()}
 
 
