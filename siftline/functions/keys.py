@@ -6,10 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def content_key(path: Column, content: Column, stage: Column, provider: str) -> Column:
-    """``path:hash:stage:provider``; a missing or empty stage is ``general``."""
+def content_digest(content: Column) -> Column:
+    return F.substring(F.sha2(content, 256), 1, 16)
+
+
+def content_key(path: Column, digest: Column, stage: Column, provider: str) -> Column:
+    """``path:digest:stage:provider``; a missing or empty stage is ``general``."""
     stage_key = F.coalesce(F.nullif(stage, F.lit("")), F.lit("general"))
-    digest = F.substring(F.sha2(content, 256), 1, 16)
     return F.concat_ws(":", path, digest, stage_key, F.lit(provider))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+from typing import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +17,28 @@ from siftline.schemas import as_findings
 MARK_SQL = "\\r"
 
 
-def numbered_lines(corpus: DataFrame) -> DataFrame:
-    """``file, line_no, line``: one row per line, counted from 1."""
-    carried = [F.col(c) for c in corpus.columns if c not in ("path", "content")]
-    lines = tx.split_lines(tx.normalise_newlines(F.col("content")))
-    return corpus.select(
-        F.col("path").alias("file"), *carried, F.posexplode(lines).alias("line_no", "line")
-    ).withColumn("line_no", F.col("line_no") + 1)
+@dataclass(frozen=True)
+class Check:
+    """One check of a line.
+
+    ``hits`` is SQL for an array of ``struct<rule_no, k, name>`` or NULL, over the columns
+    ``line``, ``_folded``, ``line_no`` and, where asked for, ``next_line`` and ``depth`` (from
+    the map of line numbers that ``depths`` makes of a content); ``{n}`` stands for the number
+    of the check. ``{}`` in texts of ``rule`` is replaced by the name of a hit.
+    """
+
+    rule: Rule
+    hits: str
+    languages: tuple[str, ...] = ()
+    uses_next_line: bool = False
+    depths: Callable[[Column], Column] | None = None
+
+    def only_for(self, *languages: str) -> "Check":
+        return replace(self, languages=languages)
+
+
+def hit(k="0", name: str = "CAST(NULL AS STRING)") -> str:
+    return f"struct({{n}} AS rule_no, CAST({k} AS INT) AS k, {name} AS name)"
 
 
 def line_condition(rule: Rule) -> str:
@@ -31,19 +49,52 @@ def line_condition(rule: Rule) -> str:
     return f"{cond} AND {tx.sql_contains_any('line', rule.with_any)}" if rule.with_any else cond
 
 
-def guarded(entries: list[tuple[tuple[str, ...], str]]) -> str:
-    """SQL array of the non-NULL entries; entries with equal needles share one test of them."""
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for needles, expression in entries:
-        groups.setdefault(needles, []).append(expression)
-    arrays = []
-    for needles, expressions in groups.items():
-        some = f"array({', '.join(expressions)})"
-        test = tx.sql_contains_any("_folded", needles) if needles else "true"
-        arrays.append(f"CASE WHEN {test} THEN {some} END")
+def line_checks(rules: tuple[Rule, ...]) -> tuple[Check, ...]:
+    """Checks that hit a line at most once, in the order of the rules."""
+    return tuple(
+        Check(r, f"CASE WHEN {_escaped(line_condition(r))} THEN array({hit(i)}) END")
+        for i, r in enumerate(rules)
+    )
+
+
+def _escaped(sql: str) -> str:
+    return sql.replace("{", "{{").replace("}", "}}")
+
+
+def numbered_lines(corpus: DataFrame, *, next_line: bool = False, depth: Column | None = None) -> DataFrame:
+    """``file, line_no, line``: one row per line, counted from 1."""
+    carried = [F.col(c) for c in corpus.columns if c not in ("path", "content")]
+    split = corpus.select(
+        F.col("path").alias("file"), *carried,
+        tx.split_lines(tx.normalise_newlines(F.col("content"))).alias("_lines"),
+        *([depth.alias("_depths")] if depth is not None else []),
+    )
+    kept = ["file", *[c for c in corpus.columns if c not in ("path", "content")]]
+    if depth is not None:
+        kept.append("_depths")
+    if not next_line:
+        exploded = split.select(*kept, F.posexplode("_lines").alias("line_no", "line"))
+    else:
+        pairs = F.expr("transform(_lines, (l, i) -> struct(l AS line, get(_lines, i + 1) AS next_line))")
+        exploded = split.select(*kept, F.posexplode(pairs).alias("line_no", "_p")).select(
+            *kept, "line_no", "_p.line", "_p.next_line"
+        )
+    return exploded.withColumn("line_no", F.col("line_no") + 1)
+
+
+def guarded(entries: list[tuple[str, str]]) -> str:
+    """SQL array of the non-NULL entries; entries with the same guard share one test of it."""
+    groups: dict[str, list[str]] = {}
+    for guard, expression in entries:
+        groups.setdefault(guard, []).append(expression)
+    arrays = [f"CASE WHEN {g} THEN array({', '.join(e)}) END" for g, e in groups.items()]
     return f"array_compact(flatten(array_compact(array({', '.join(arrays)}))))"
 
 
+def needle_guard(needles: tuple[str, ...]) -> str:
+    return tx.sql_contains_any("_folded", needles) if needles else "true"
+
+
 _RULE_FIELDS = {
     "severity": "string", "type": "string", "message": "string", "suggestion": "string",
     "confidence": "string", "confidence_score": "double", "stage": "string",
@@ -72,45 +123,74 @@ def _seq(major: Column, line_no: str, minor: str) -> Column:
     )
 
 
-def scan_lines(lines: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """One finding per (line, rule) that matches. Narrow: no shuffle, no Python."""
+def scan_lines(lines: DataFrame, checks: tuple[Check, ...]) -> DataFrame:
+    """One finding per hit. Any number of checks is one pass: no shuffle, no Python."""
+    entries = []
+    for n, c in enumerate(checks):
+        guard = needle_guard(c.rule.needles)
+        if c.languages:
+            names = ", ".join(tx.sql_literal(name) for name in c.languages)
+            guard = f"language IN ({names}) AND {guard}"
+        entries.append((guard, c.hits.format(n=n)))
     folded = lines.withColumn("_folded", tx.fold(F.col("line")))
-    fired = guarded(
-        [(r.needles, f"CASE WHEN {line_condition(r)} THEN {i} END") for i, r in enumerate(rules)]
-    )
+    if "_depths" in lines.columns:
+        folded = folded.withColumn("depth", F.try_element_at("_depths", F.col("line_no")))
     hits = folded.select(
-        "file", "line_no", "line", F.expr(f"explode({fired})").alias("_i")
-    ).withColumn("r", F.get(rule_table([r.__dict__ for r in rules]), F.col("_i")))
-    stripped = tx.strip(F.col("line"))
-    cut = F.col("r.snippet_chars")
+        "file", "line_no", "line", F.expr(f"inline(flatten({guarded(entries)}))")
+    ).withColumn("r", F.get(rule_table([c.rule.__dict__ for c in checks]), F.col("rule_no")))
+    stripped, cut, name = tx.strip(F.col("line")), F.col("r.snippet_chars"), F.col("name")
+    named = lambda field: F.when(name.isNull(), F.col(f"r.{field}")).otherwise(
+        F.replace(F.col(f"r.{field}"), F.lit("{}"), name)
+    )
     return as_findings(
         hits.select(
             "file",
             F.col("line_no").alias("line_number"),
-            "r.severity", "r.type", "r.message", "r.suggestion", "r.confidence",
-            "r.confidence_score", "r.stage", "r.rule_id", "r.cwe_id", "r.details",
+            "r.severity",
+            named("type").alias("type"),
+            named("message").alias("message"),
+            named("suggestion").alias("suggestion"),
+            "r.confidence", "r.confidence_score", "r.stage", "r.rule_id", "r.cwe_id", "r.details",
             F.when(cut.isNull(), stripped).otherwise(F.substring(stripped, F.lit(1), cut)).alias(
                 "code_snippet"
             ),
-            _seq(F.col("r.major"), "line_no", "_i").alias("seq"),
+            _seq(F.col("r.major"), "line_no", "k").alias("seq"),
         )
     )
 
 
+def scan(corpus: DataFrame, checks: tuple[Check, ...]) -> DataFrame:
+    """All checks over the lines of a corpus, in one pass."""
+    columns = ["path", "content"] + (["language"] if any(c.languages for c in checks) else [])
+    lines = numbered_lines(
+        corpus.select(*columns),
+        next_line=any(c.uses_next_line for c in checks),
+        depth=next((c.depths(F.col("content")) for c in checks if c.depths), None),
+    )
+    return scan_lines(lines, checks)
+
+
+LINE_CHECKS = {
+    name: line_checks(rules) for name, rules in cat.LINE_CHECKS.items()
+}
+LINE_PACK = line_checks(cat.LINE_PACK)
+SENSITIVE = line_checks(cat.SENSITIVE_PACK)
+BUG_PATTERNS = tuple(c for i, c in enumerate(line_checks(cat.BUG_PACK)) if i != cat.EMPTY_EXCEPT_INDEX)
+
+
 def check_lines(corpus: DataFrame, *names: str) -> DataFrame:
     """The named line checks; all of them, concatenated and not deduplicated, by default."""
-    rules = tuple(r for n in (names or cat.LINE_CHECKS) for r in cat.LINE_CHECKS[n])
-    return scan_lines(numbered_lines(corpus), rules)
+    chosen = tuple(c for n in names for c in LINE_CHECKS[n]) if names else LINE_PACK
+    return scan(corpus, chosen)
 
 
 def sensitive_assignments(corpus: DataFrame) -> DataFrame:
-    return scan_lines(numbered_lines(corpus), cat.SENSITIVE_PACK)
+    return scan(corpus, SENSITIVE)
 
 
 def bug_patterns(corpus: DataFrame) -> DataFrame:
-    """The line patterns of the bug pack; the two-line one is ``empty_except``."""
-    rules = tuple(r for i, r in enumerate(cat.BUG_PACK) if i != cat.EMPTY_EXCEPT_INDEX)
-    return scan_lines(numbered_lines(corpus), rules)
+    """The line patterns of the bug pack; the two-line one is ``empty_except_bug``."""
+    return scan(corpus, BUG_PATTERNS)
 
 
 def _search(number: int, pattern: str) -> str:
@@ -140,7 +220,7 @@ def scan_contents(corpus: DataFrame, searches: list[tuple[str, tuple[str, ...]]]
     base = corpus.select(
         F.col("path").alias("file"), *carried, tx.normalise_newlines(content).alias("content")
     ).select("file", *carried, tx.fold(content).alias("_folded"), tx.split_lines(content).alias("_lines"))
-    found = guarded([(n, _search(i, p)) for i, (p, n) in enumerate(searches)])
+    found = guarded([(needle_guard(n), _search(i, p)) for i, (p, n) in enumerate(searches)])
     per_line = base.select("file", *carried, F.expr(f"explode(flatten({found}))").alias("m"))
     return per_line.select(
         "file", *carried, "m.rule_no", "m.line_no", "m.line",

@@ -144,9 +144,22 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     )
 
 
-def with_content_key(requests: DataFrame, provider: str) -> DataFrame:
-    key = keys.content_key(F.col("path"), F.col("content"), F.col("stage"), provider)
-    return requests.withColumn("key", key)
+def requests(corpus: DataFrame, stages: list[str | None], provider: str) -> DataFrame:
+    """``path, chars, stage, key`` per file and stage.
+
+    A content is hashed once, before its row is repeated, and does not travel further: planning
+    moves keys and lengths only.
+    """
+    digested = corpus.select(
+        "path",
+        F.length("content").alias("chars"),
+        keys.content_digest(F.col("content")).alias("digest"),
+    )
+    repeated = digested.withColumn(
+        "stage", F.explode(F.array(*[F.lit(s).cast("string") for s in stages]))
+    )
+    key = keys.content_key(F.col("path"), F.col("digest"), F.col("stage"), provider)
+    return repeated.select("path", "chars", "stage", key.alias("key"))
 
 
 def plan_requests(requests: DataFrame, stored: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
@@ -158,12 +171,21 @@ def plan_requests(requests: DataFrame, stored: DataFrame, max_chars: int = MAX_C
     found = requests.join(stored.select("key", "result"), "key", "left")
     action = (
         F.when(F.col("result").isNotNull(), "reuse")
-        .when(F.length("content") > max_chars, "too_large")
+        .when(F.col("chars") > max_chars, "too_large")
         .otherwise("compute")
     )
     return found.withColumn("action", action)
 
 
+def pending(corpus: DataFrame, planned: DataFrame) -> DataFrame:
+    """Contents and stages that have to be computed: one row per file, stages as an array."""
+    todo = planned.filter("action = 'compute'").groupBy("path").agg(
+        # At most one entry per stage.
+        F.sort_array(F.collect_set("stage")).alias("stages")
+    )
+    return corpus.join(todo, "path")
+
+
 def fresh_entries(entries: DataFrame, now: str, ttl_seconds: int = 3600) -> DataFrame:
     """Latest entry per key, if it has not expired (strictly older than the limit) at ``now``."""
     latest = entries.groupBy("key").agg(F.max(F.struct("ts", "data")).alias("e"))

@@ -1,7 +1,8 @@
 """Lexical checks of Python sources.
 
-They look at statements line by line, with string literals and comments blanked out. Lines
-are folded inside the row of their file, so no check moves data between tasks.
+They look at statements line by line, with string literals and comments blanked out, and run
+in the same pass as the line patterns. What needs more than its line, the next line or the
+depth of open loops, is taken from the row of the file, so no check moves data between tasks.
 """
 
 from __future__ import annotations
@@ -11,212 +12,186 @@ from pyspark.sql import functions as F
 
 from siftline.functions import text as tx
 from siftline.operators import catalog as cat
-from siftline.operators.linescan import numbered_lines
-from siftline.schemas import as_findings, pack_seq
+from siftline.operators.catalog import Rule
+from siftline.operators.linescan import Check, _escaped, hit, scan
 
 # Words that make an assigned name sensitive, names of dangerous calls.
 SENSITIVE_WORDS = ("password", "secret", "token", "key")
 DANGEROUS_CALLS = ("eval", "exec", "compile", "__import__")
 COMMENT_TAGS = ("TODO", "FIXME", "HACK")
 
-_W, _S = tx.WORD_CLASS, tx.SPACE_CLASS
-_ASSIGN = tx.unicode_classes(
-    r"""(?d)^\s*([\p{L}_]\w*)\s*=\s*[rRuU]?(?:"[^"]+"|'[^']+')\s*(?:[;#].*)?$"""
-)
-_CALL = tx.unicode_classes(
-    r"def\s+\w+\s*\(|(?<!\w)(eval|exec|compile|__import__)\s*\("
-)
-_BARE_CALL = tx.unicode_classes(r"def\s+\w+\s*\(|(?<![.\w])(eval|exec)\s*\(")
-_ASSERT = tx.unicode_classes(r"(?:^|[:;])\s*assert(?!\w)")
-_GLOBAL = tx.unicode_classes(r"(?:^|[:;])\s*global\s+[\p{L}_]")
-_EXCEPT_HEAD = tx.unicode_classes(r"(?iud)^\s*except[^:]*:\s*$")
-_EXCEPT_BODY = tx.unicode_classes(r"(?iud)^\s*(pass|#)")
+
+def _sql(pattern: str) -> str:
+    return _escaped(tx.sql_literal(tx.unicode_classes(pattern)))
+
+
+# The line without the contents of its string literals and without its comment.
+_LITERAL = _sql(r"""("[^"]*"|'[^']*')""")
+_CODE = f"""substring_index(regexp_replace(line, {_LITERAL}, '""'), '#', 1)"""
+_ASSIGNED = _sql(r"""(?d)^\s*([\p{L}_]\w*)\s*=\s*[rRuU]?(?:"[^"]+"|'[^']+')\s*(?:[;#].*)?$""")
+_EXCEPT_HEAD = _sql(r"(?iud)^\s*except[^:]*:\s*$")
+_EXCEPT_BODY = _sql(r"(?iud)^\s*(pass|#)")
 _LOOP_HEAD = tx.unicode_classes(r"(?d)^\s*(?:async\s+)?(?:for|while)(?!\w).*:")
 _GROW = tx.unicode_classes(r"(?:\]|\.\s*[\p{L}_]\w*)\s*\+=")
 
 
-def _finding(df: DataFrame, major: int, minor: Column, **cols) -> DataFrame:
-    return as_findings(
-        df.select(
-            "file",
-            F.col("line_no").alias("line_number"),
-            pack_seq(major, "line_no", minor).alias("seq"),
-            tx.strip(F.col("line")).alias("code_snippet"),
-            *[(c if isinstance(c, Column) else F.lit(c)).alias(n) for n, c in cols.items()],
-        )
-    )
+def _calls(names: tuple[str, ...], before: str) -> str:
+    """Hits per call; definitions are consumed by the pattern and leave no name."""
+    pattern = _sql(rf"def\s+\w+\s*\(|(?<!{before})({'|'.join(names)})\s*\(")
+    found = f"filter(regexp_extract_all({_CODE}, {pattern}, 1), c -> c != '')"
+    return f"transform({found}, (c, i) -> {hit('i', 'c')})"
 
 
-def todo_comments(corpus: DataFrame) -> DataFrame:
-    line = F.col("line")
-    comment = F.substring(line, F.instr(line, "#") + 1, F.length(line))
-    lines = numbered_lines(corpus).filter(F.contains(line, F.lit("#")))
-    tagged = lines.withColumn("comment", comment).filter(
-        F.upper(F.col("comment")).rlike("|".join(COMMENT_TAGS))
+def _statements(pattern: str) -> str:
+    times = f"array_repeat(0, regexp_count({_CODE}, {_sql(pattern)}))"
+    return f"transform({times}, (z, i) -> {hit('i')})"
+
+
+ASSIGN = Check(
+    Rule("static-assign", "security", "high", "Potential hardcoded secret detected",
+         suggestion="Use environment variables or a secrets manager instead", major=0,
+         needles=SENSITIVE_WORDS),
+    f"CASE WHEN lower(regexp_extract(line, {_ASSIGNED}, 1)) RLIKE '{'|'.join(SENSITIVE_WORDS)}' "
+    f"THEN array({hit()}) END",
+)
+_HANDLER = (
+    f"CASE WHEN line RLIKE {_EXCEPT_HEAD} AND next_line RLIKE {_EXCEPT_BODY} THEN array({hit()}) END"
+)
+EMPTY_EXCEPT = Check(
+    Rule("static-empty-except", "code_smell", "medium", "Empty except block",
+         suggestion="Handle the exception or log it", major=1, needles=("except",)),
+    _HANDLER, uses_next_line=True,
+)
+EMPTY_EXCEPT_BUG = Check(cat.BUG_PACK[cat.EMPTY_EXCEPT_INDEX], _HANDLER, uses_next_line=True)
+CALLS = Check(
+    Rule("static-call", "security", "high", "Use of {}() can be dangerous",
+         suggestion="Avoid {}() if possible — use safer alternatives", major=2,
+         needles=DANGEROUS_CALLS),
+    _calls(DANGEROUS_CALLS, r"\w"),
+)
+_COMMENT = "substring(line, instr(line, '#') + 1)"
+TODO = Check(
+    Rule("static-todo", "best_practice", "low", "Found comment: {}",
+         suggestion="Address the TODO/FIXME comment", major=4, needles=("#",)),
+    f"CASE WHEN upper({_COMMENT}) RLIKE '{'|'.join(COMMENT_TAGS)}' THEN "
+    f"array({hit('0', f'btrim({_COMMENT}, {tx.sql_literal(tx.WHITESPACE)})')}) END",
+)
+
+
+def loop_depths(content: Column) -> Column:
+    """``map<line_no, depth>`` of the lines that add onto a subscript or attribute in loops.
+
+    The lines of a file are folded once with the indents of the loops that are still open.
+    """
+    candidate = F.contains(content, F.lit("+=")) & (
+        F.contains(content, F.lit("for")) | F.contains(content, F.lit("while"))
+    )
+    lines = F.transform(
+        tx.split_lines(tx.normalise_newlines(content)),
+        lambda l, i: F.struct(
+            (i + 1).alias("line_no"), l.alias("line"),
+            (F.length(l) - F.length(F.ltrim(l, F.lit(" \t")))).alias("indent"),
+            (~(tx.is_blank(l) | F.startswith(tx.strip(l), F.lit("#")))).alias("is_code"),
+        ),
     )
-    return _finding(
-        tagged, 4, F.lit(0), severity="low", type="best_practice", confidence="high",
-        message=F.concat(F.lit("Found comment: "), tx.strip(F.col("comment"))),
-        suggestion="Address the TODO/FIXME comment", rule_id="static-todo",
+    start = F.struct(
+        F.array().cast("array<int>").alias("open"),
+        F.array().cast("array<struct<line_no:int,depth:int>>").alias("hits"),
     )
 
+    def step(acc, s):
+        code = tx.code_only(s["line"])
+        still_open = F.filter(acc["open"], lambda d: d < s["indent"])
+        opened = F.when(
+            code.rlike(_LOOP_HEAD), F.concat(still_open, F.array(s["indent"]))
+        ).otherwise(still_open)
+        grows = F.contains(s["line"], F.lit("+=")) & code.rlike(_GROW) & (F.size(opened) > 0)
+        found = F.struct(s["line_no"].alias("line_no"), F.size(opened).alias("depth"))
+        return F.when(s["is_code"], F.struct(
+            opened.alias("open"),
+            F.when(grows, F.concat(acc["hits"], F.array(found))).otherwise(acc["hits"]).alias("hits"),
+        )).otherwise(acc)
 
-def secret_assignments(corpus: DataFrame) -> DataFrame:
-    name = F.lower(F.regexp_extract(F.col("line"), _ASSIGN, 1))
-    lines = numbered_lines(corpus).filter(F.contains(F.col("line"), F.lit("=")))
-    return _finding(
-        lines.filter(name.rlike("|".join(SENSITIVE_WORDS))), 0, F.lit(0),
-        severity="high", type="security", confidence="high",
-        message="Potential hardcoded secret detected",
-        suggestion="Use environment variables or a secrets manager instead",
-        rule_id="static-assign",
+    hits = F.aggregate(lines, start, step)["hits"]
+    return F.when(candidate, F.map_from_entries(hits))
+
+
+LOOPS = Check(
+    Rule("static-loop-concat", "performance", "medium",
+         "String concatenation in loop may be inefficient",
+         suggestion="Use list append and join() instead", major=3, needles=("+=",)),
+    f"CASE WHEN depth > 0 THEN transform(sequence(1, depth), d -> {hit('d')}) END",
+    depths=loop_depths,
+)
+
+
+def _execution(name: str, suggestion: str, details: str) -> Check:
+    return Check(
+        Rule("bug-eval", f"Code Injection ({name})", "critical",
+             f"{name}() executes arbitrary code", suggestion=suggestion, details=details,
+             confidence=None, confidence_score=0.95, stage=cat.BUG_STAGE, major=11,
+             needles=(name,)),
+        _calls((name,), r"[.\w]"),
     )
 
 
-def _calls(corpus: DataFrame, pattern: str, words) -> DataFrame:
-    """One row per call on a line; definitions are consumed and leave no name."""
-    lines = numbered_lines(corpus).filter(tx.contains_any(F.col("line"), words))
-    names = F.regexp_extract_all(tx.code_only(F.col("line")), F.lit(pattern), 1)
-    return lines.select(
-        "file", "line_no", "line", F.posexplode(names).alias("call_no", "name")
-    ).filter(F.col("name") != "")
+EXECUTION = (
+    _execution("eval", "Use ast.literal_eval() or safer alternatives",
+               "eval() allows arbitrary code execution - major security risk"),
+    _execution("exec", "Avoid exec(), use safer alternatives",
+               "exec() allows arbitrary code execution"),
+)
+ASSERT = Check(
+    Rule("bug-assert", "Assert Statement", "low", "Assert can be disabled with -O flag",
+         suggestion="Use proper error handling (if/raise)", confidence=None,
+         details="Not for production validation", confidence_score=0.7, stage=cat.BUG_STAGE,
+         major=12, needles=("assert",)),
+    _statements(r"(?:^|[:;])\s*assert(?!\w)"),
+)
+GLOBAL = Check(
+    Rule("bug-global", "Global Variable", "medium", "Global variables reduce testability",
+         suggestion="Use function parameters and return values", confidence=None,
+         confidence_score=0.6, stage=cat.BUG_STAGE, major=13, needles=("global",)),
+    _statements(r"(?:^|[:;])\s*global\s+[\p{L}_]"),
+)
+
+STATIC = (ASSIGN, EMPTY_EXCEPT, CALLS, LOOPS, TODO)
+BUG_STATEMENTS = (*EXECUTION, ASSERT, GLOBAL)
 
 
 def dangerous_calls(corpus: DataFrame) -> DataFrame:
-    name = F.col("name")
-    return _finding(
-        _calls(corpus, _CALL, DANGEROUS_CALLS), 2, F.col("call_no"),
-        severity="high", type="security", confidence="high", rule_id="static-call",
-        message=F.concat(F.lit("Use of "), name, F.lit("() can be dangerous")),
-        suggestion=F.concat(
-            F.lit("Avoid "), name, F.lit("() if possible — use safer alternatives")
-        ),
-    )
+    return scan(corpus, (CALLS,))
 
 
-def code_execution(corpus: DataFrame) -> DataFrame:
-    name, is_eval = F.col("name"), F.col("name") == "eval"
-    return _finding(
-        _calls(corpus, _BARE_CALL, ("eval", "exec")), 11, F.col("call_no"),
-        severity="critical", type=F.concat(F.lit("Code Injection ("), name, F.lit(")")),
-        confidence_score=0.95, stage=cat.BUG_STAGE, rule_id="bug-eval",
-        message=F.concat(name, F.lit("() executes arbitrary code")),
-        suggestion=F.when(is_eval, "Use ast.literal_eval() or safer alternatives").otherwise(
-            "Avoid exec(), use safer alternatives"
-        ),
-        details=F.when(
-            is_eval, "eval() allows arbitrary code execution - major security risk"
-        ).otherwise("exec() allows arbitrary code execution"),
-    )
+def secret_assignments(corpus: DataFrame) -> DataFrame:
+    return scan(corpus, (ASSIGN,))
 
 
-def _statements(corpus: DataFrame, pattern: str, word: str) -> DataFrame:
-    lines = numbered_lines(corpus).filter(F.contains(F.col("line"), F.lit(word)))
-    n = F.regexp_count(tx.code_only(F.col("line")), F.lit(pattern))
-    return lines.select("file", "line_no", "line", F.posexplode(F.array_repeat(F.lit(0), n)).alias("k", "_"))
+def todo_comments(corpus: DataFrame) -> DataFrame:
+    return scan(corpus, (TODO,))
 
 
-def assert_statements(corpus: DataFrame) -> DataFrame:
-    return _finding(
-        _statements(corpus, _ASSERT, "assert"), 12, F.col("k"),
-        severity="low", type="Assert Statement", confidence_score=0.7, stage=cat.BUG_STAGE,
-        message="Assert can be disabled with -O flag",
-        suggestion="Use proper error handling (if/raise)",
-        details="Not for production validation", rule_id="bug-assert",
-    )
+def code_execution(corpus: DataFrame) -> DataFrame:
+    return scan(corpus, EXECUTION)
 
 
-def global_statements(corpus: DataFrame) -> DataFrame:
-    return _finding(
-        _statements(corpus, _GLOBAL, "global"), 13, F.col("k"),
-        severity="medium", type="Global Variable", confidence_score=0.6, stage=cat.BUG_STAGE,
-        message="Global variables reduce testability",
-        suggestion="Use function parameters and return values", rule_id="bug-global",
-    )
+def assert_statements(corpus: DataFrame) -> DataFrame:
+    return scan(corpus, (ASSERT,))
 
 
-def _empty_handlers(corpus: DataFrame) -> DataFrame:
-    """Except headers whose next line is ``pass`` or a comment."""
-    lines = tx.split_lines(tx.normalise_newlines(F.col("content")))
-    withl = corpus.filter(F.contains(tx.fold(F.col("content")), F.lit("except"))).select(
-        F.col("path").alias("file"), lines.alias("lines")
-    )
-    # Only headers leave the array; the following line is looked up by position.
-    heads = F.filter(
-        F.transform(
-            F.col("lines"), lambda l, i: F.struct(
-                (i + 1).alias("line_no"), l.alias("line"),
-                F.when(l.rlike(_EXCEPT_HEAD), F.get(F.col("lines"), i + 1)).alias("body"),
-            )
-        ),
-        lambda s: s["body"].isNotNull() & s["body"].rlike(_EXCEPT_BODY),
-    )
-    return withl.select("file", F.inline(heads)).select("file", "line_no", "line")
+def global_statements(corpus: DataFrame) -> DataFrame:
+    return scan(corpus, (GLOBAL,))
 
 
 def empty_except(corpus: DataFrame) -> DataFrame:
-    return _finding(
-        _empty_handlers(corpus), 1, F.lit(0), severity="medium", type="code_smell",
-        confidence="high", message="Empty except block",
-        suggestion="Handle the exception or log it", rule_id="static-empty-except",
-    )
+    """Except headers whose next line is ``pass`` or a comment."""
+    return scan(corpus, (EMPTY_EXCEPT,))
 
 
 def empty_except_bug(corpus: DataFrame) -> DataFrame:
-    rule = cat.BUG_PACK[cat.EMPTY_EXCEPT_INDEX]
-    return _finding(
-        _empty_handlers(corpus), rule.major, F.lit(0), severity=rule.severity, type=rule.type,
-        message=rule.message, suggestion=rule.suggestion, cwe_id=rule.cwe_id,
-        confidence_score=rule.confidence_score, details=rule.details, stage=rule.stage,
-        rule_id=rule.rule_id,
-    )
+    return scan(corpus, (EMPTY_EXCEPT_BUG,))
 
 
 def loop_concatenations(corpus: DataFrame) -> DataFrame:
-    """``+=`` onto a subscript or attribute inside loops, one finding per enclosing loop.
-
-    The lines of a file are folded once with the indents of the loops that are still open.
-    """
-    content = F.col("content")
-    candidates = corpus.filter(
-        F.contains(content, F.lit("+=")) & (F.contains(content, F.lit("for")) | F.contains(content, F.lit("while")))
-    )
-    lines = candidates.select(
-        F.col("path").alias("file"),
-        F.transform(
-            tx.split_lines(tx.normalise_newlines(content)), lambda l, i: F.struct(
-                (i + 1).alias("line_no"), l.alias("line"),
-                (F.length(l) - F.length(F.ltrim(l, F.lit(" \t")))).alias("indent"),
-                (~(tx.is_blank(l) | F.startswith(tx.strip(l), F.lit("#")))).alias("is_code"),
-            ),
-        ).alias("lines"),
-    )
-    start = F.struct(
-        F.array().cast("array<int>").alias("open"),
-        F.array().cast("array<struct<line_no:int,line:string,depth:int>>").alias("hits"),
-    )
-
-    def step(acc, s):
-        code = tx.code_only(s["line"])
-        still_open = F.filter(acc["open"], lambda d: d < s["indent"])
-        opened = F.when(
-            code.rlike(_LOOP_HEAD), F.concat(still_open, F.array(s["indent"]))
-        ).otherwise(still_open)
-        grows = F.contains(s["line"], F.lit("+=")) & code.rlike(_GROW) & (F.size(opened) > 0)
-        hit = F.struct(
-            s["line_no"].alias("line_no"), s["line"].alias("line"), F.size(opened).alias("depth")
-        )
-        return F.when(s["is_code"], F.struct(
-            opened.alias("open"),
-            F.when(grows, F.concat(acc["hits"], F.array(hit))).otherwise(acc["hits"]).alias("hits"),
-        )).otherwise(acc)
-
-    folded = F.aggregate(F.col("lines"), start, step)
-    hits = lines.select("file", F.inline(folded["hits"])).select(
-        "file", "line_no", "line", F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("k")
-    )
-    return _finding(
-        hits, 3, F.col("k"), severity="medium", type="performance", confidence="high",
-        message="String concatenation in loop may be inefficient",
-        suggestion="Use list append and join() instead", rule_id="static-loop-concat",
-    )
+    """``+=`` onto a subscript or attribute inside loops, one finding per enclosing loop."""
+    return scan(corpus, (LOOPS,))

@@ -6,48 +6,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.operators import catalog as cat
-from siftline.operators import linescan, metrics, ranking, structure
-from siftline.schemas import FINDINGS, as_findings
+from siftline.operators import linescan, ranking, structure
+from siftline.schemas import as_findings
+
+
+# Static checks and bug statements are for Python files, bug patterns for every file.
+STATIC = tuple(c.only_for("python") for c in structure.STATIC)
+BUGS = (
+    *linescan.BUG_PATTERNS,
+    structure.EMPTY_EXCEPT_BUG,
+    *(c.only_for("python") for c in structure.BUG_STATEMENTS),
+)
 
 
 def static_findings(corpus: DataFrame) -> DataFrame:
-    """The static checks, on Python files."""
-    python = corpus.filter(F.col("language") == "python")
-    return ranking.union_all(
-        [
-            structure.secret_assignments(python),
-            structure.empty_except(python),
-            structure.dangerous_calls(python),
-            structure.loop_concatenations(python),
-            structure.todo_comments(python),
-        ]
-    )
+    return linescan.scan(corpus, STATIC)
 
 
 def bug_findings(corpus: DataFrame) -> DataFrame:
-    """The bug pack: patterns on every file, statements of Python files, last duplicate wins."""
-    python = corpus.filter(F.col("language") == "python")
-    return ranking.keep_last(
-        ranking.union_all(
-            [
-                linescan.bug_patterns(corpus),
-                structure.empty_except_bug(corpus),
-                structure.code_execution(python),
-                structure.assert_statements(python),
-                structure.global_statements(python),
-            ]
-        )
-    )
+    """The bug pack; the last of equal findings stays."""
+    return ranking.keep_last(linescan.scan(corpus, BUGS))
 
 
 def review(corpus: DataFrame, stage_findings: DataFrame | None = None, bug_pack: bool = True) -> DataFrame:
-    """Static checks, model stages and the bug pack, merged and deduplicated."""
-    empty = corpus.sparkSession.createDataFrame([], FINDINGS)
-    merged = ranking.merge(
-        static_findings(corpus),
-        empty if stage_findings is None else stage_findings,
-        bug_findings(corpus) if bug_pack else empty,
+    """Static checks, model stages and the bug pack, merged and deduplicated.
+
+    Both packs are one pass over the corpus. Equal findings inside the bug pack come from one
+    rule and differ only in position, so the final deduplication covers them.
+    """
+    found = linescan.scan(corpus, STATIC + (BUGS if bug_pack else ()))
+    is_bug = F.col("stage").eqNullSafe(cat.BUG_STAGE)
+    merged = found.withColumn("branch", F.when(is_bug, 2).otherwise(0)).withColumn(
+        "stage", F.coalesce("stage", F.lit("static"))
     )
+    if stage_findings is not None:
+        merged = merged.unionByName(stage_findings.withColumn("branch", F.lit(1)))
     return ranking.keep_most_severe(merged)
 
 
@@ -67,7 +60,7 @@ def secret_severities_by_source(texts: DataFrame) -> DataFrame:
     lines = linescan.numbered_lines(texts.select("path", "content", "source"))
     keyed = lines.withColumn("file", F.concat_ws("/", "source", "file"))
     found = ranking.keep_most_severe(
-        linescan.scan_lines(keyed, cat.LINE_CHECKS["hardcoded_secrets"])
+        linescan.scan_lines(keyed, linescan.LINE_CHECKS["hardcoded_secrets"])
     )
     source = F.substring_index("file", "/", 1).alias("source")
     return found.groupBy(source, "severity").agg(F.count("*").alias("findings"))

@@ -166,9 +166,8 @@ SELECT path, stage, path || ':' || left(sha256(content), 16) || ':' || (CASE WHE
 FROM files, (VALUES ('security'), (''), (NULL)) s(stage)"""),
 )
 def c_hashkey(spark, sf):
-    stages = F.array(F.lit("security"), F.lit(""), F.lit(None).cast("string"))
-    requests = v.files(spark, sf).select("path", "content", F.explode(stages).alias("stage"))
-    return reviews.with_content_key(requests, _PROVIDER).select("path", "stage", "key")
+    asked = reviews.requests(v.files(spark, sf), ["security", "", None], _PROVIDER)
+    return asked.select("path", "stage", "key")
 
 
 @query("c_patkey", observations_sql("SELECT seq, pattern_key FROM observations"))
@@ -329,9 +328,10 @@ def _stored_results(spark, sf) -> DataFrame:
     """Results an earlier run stored: security reviews of the documents labelled good."""
     good = v.table(spark, sf, "labels").filter("quality = 1").select("doc_id")
     docs = v.documents(spark, sf).join(good, "doc_id", "left_semi")
-    requests = docs.select("doc_id", v._path().alias("path"), F.col("text").alias("content"), F.lit("security").alias("stage"))
-    return reviews.with_content_key(requests, _PROVIDER).select(
-        "key", F.concat(F.lit("stored "), F.col("doc_id")).alias("result")
+    files = docs.select(v._path().alias("path"), F.col("text").alias("content"))
+    doc_id = F.regexp_extract("path", "([0-9]+)[.][a-z]+$", 1)
+    return reviews.requests(files, ["security"], _PROVIDER).select(
+        "key", F.concat(F.lit("stored "), doc_id).alias("result")
     )
 
 
@@ -342,9 +342,8 @@ SELECT path, stage, CASE WHEN result IS NOT NULL THEN 'reuse' WHEN length(conten
   ELSE 'compute' END AS action, result FROM keyed LEFT JOIN stored USING (key)"""),
 )
 def j_reuse(spark, sf):
-    files = v.files(spark, sf).select("path", "content")
-    requests = reviews.with_content_key(reviews.fan_out(files, ["security", "bugs"]), _PROVIDER)
-    return reviews.plan_requests(requests, _stored_results(spark, sf), 4000).select(
+    asked = reviews.requests(v.files(spark, sf), ["security", "bugs"], _PROVIDER)
+    return reviews.plan_requests(asked, _stored_results(spark, sf), 4000).select(
         "path", "stage", "action", "result"
     )
 

@@ -54,12 +54,3 @@ def as_findings(df: DataFrame) -> DataFrame:
             for f in FINDINGS.fields
         ]
     )
-
-
-def pack_seq(major, line_no, minor):
-    """Emission order inside a file: 10 bits of rule order, 31 of line, 22 of match index."""
-    return (
-        F.lit(major).cast("bigint") * F.lit(1 << 53)
-        + F.col(line_no).cast("bigint") * F.lit(1 << 22)
-        + minor.cast("bigint")
-    )

@@ -72,16 +72,20 @@ def test_prompts(spark, corpus):
 
 
 def test_reuse_comes_before_the_size_guard(spark):
-    requests = spark.createDataFrame(
-        [("a", "x" * 20, "bugs"), ("b", "y" * 20, None), ("c", "z", "")], "path string, content string, stage string"
-    )
-    keyed = reviews.with_content_key(requests, "p")
+    files = spark.createDataFrame([("a", "x" * 20), ("b", "y" * 20), ("c", "z")], "path string, content string")
+    asked = reviews.requests(files, ["bugs", "", None], "p")
     digest = hashlib.sha256(("x" * 20).encode()).hexdigest()[:16]
-    assert rows(keyed, "path", "key")[0] == ("a", f"a:{digest}:bugs:p")
-    assert all(":general:p" in k for p, k in rows(keyed, "path", "key") if p != "a")
-    stored = keyed.filter("path = 'a'").select("key", F.lit("old").alias("result"))
-    planned = reviews.plan_requests(keyed, stored, max_chars=10)
-    assert rows(planned, "path", "action") == [("a", "reuse"), ("b", "too_large"), ("c", "compute")]
+    assert rows(asked.filter("path = 'a'"), "key") == [
+        (f"a:{digest}:bugs:p",), (f"a:{digest}:general:p",), (f"a:{digest}:general:p",),
+    ]
+    asked = reviews.requests(files, ["bugs", "style"], "p")
+    stored = asked.filter("path = 'a' AND stage = 'bugs'").select("key", F.lit("old").alias("result"))
+    planned = reviews.plan_requests(asked, stored, max_chars=10)
+    assert rows(planned, "path", "stage", "action") == [
+        ("a", "bugs", "reuse"), ("a", "style", "too_large"), ("b", "bugs", "too_large"),
+        ("b", "style", "too_large"), ("c", "bugs", "compute"), ("c", "style", "compute"),
+    ]
+    assert rows(reviews.pending(files, planned), "path", "content", "stages") == [("c", "z", ["bugs", "style"])]
 
 
 def test_ttl_expires_strictly_after_the_limit(spark):
