@@ -63,21 +63,19 @@ def _escaped(sql: str) -> str:
 
 def numbered_lines(corpus: DataFrame, *, next_line: bool = False, depth: Column | None = None) -> DataFrame:
     """``file, line_no, line``: one row per line, counted from 1."""
-    carried = [F.col(c) for c in corpus.columns if c not in ("path", "content")]
-    split = corpus.select(
-        F.col("path").alias("file"), *carried,
-        tx.split_lines(tx.normalise_newlines(F.col("content"))).alias("_lines"),
-        *([depth.alias("_depths")] if depth is not None else []),
-    )
-    kept = ["file", *[c for c in corpus.columns if c not in ("path", "content")]]
+    carried = [c for c in corpus.columns if c not in ("path", "content")]
+    named = corpus.withColumnRenamed("path", "file")
     if depth is not None:
-        kept.append("_depths")
+        named, carried = named.withColumn("_depths", depth), [*carried, "_depths"]
+    lines = tx.split_lines(tx.normalise_newlines(F.col("content")))
     if not next_line:
-        exploded = split.select(*kept, F.posexplode("_lines").alias("line_no", "line"))
+        exploded = named.select("file", *carried, F.posexplode(lines).alias("line_no", "line"))
     else:
         pairs = F.expr("transform(_lines, (l, i) -> struct(l AS line, get(_lines, i + 1) AS next_line))")
-        exploded = split.select(*kept, F.posexplode(pairs).alias("line_no", "_p")).select(
-            *kept, "line_no", "_p.line", "_p.next_line"
+        exploded = (
+            named.select("file", *carried, lines.alias("_lines"))
+            .select("file", *carried, F.posexplode(pairs).alias("line_no", "_p"))
+            .select("file", *carried, "line_no", "_p.line", "_p.next_line")
         )
     return exploded.withColumn("line_no", F.col("line_no") + 1)
 
