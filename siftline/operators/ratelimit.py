@@ -251,16 +251,28 @@ def state_at(
     The reset is measured from the oldest call in the log as the last attempt left it.
     """
     period = period_seconds * 1_000_000
-    past = decided.filter(F.col("t") <= now_micros)
-    last = past.groupBy("key").agg(F.max("t").alias("last_t"))
-    admitted = past.filter("admitted")
-    log = admitted.join(last, "key").groupBy("key").agg(
-        F.count_if(F.lit(now_micros) - F.col("t") < period).alias("active"),
-        F.min(F.when(F.col("last_t") - F.col("t") < period, F.col("t"))).alias("oldest"),
+    # A bucket as long as a period holds at most max_calls admissions, and both the log and the
+    # calls still counted lie in the last two buckets with attempts.
+    buckets = (
+        decided.filter(F.col("t") <= now_micros)
+        .groupBy("key", F.floor(F.col("t") / F.lit(period)).alias("bucket"))
+        .agg(
+            F.max("t").alias("last_t"),
+            F.collect_list(F.when(F.col("admitted"), F.col("t"))).alias("calls"),
+        )
+    )
+    latest = Window.partitionBy("key").orderBy(F.desc("bucket"))
+    keys = (
+        buckets.withColumn("rn", F.row_number().over(latest))
+        .filter("rn <= 2")
+        .groupBy("key")
+        .agg(F.max("last_t").alias("last_t"), F.flatten(F.collect_list("calls")).alias("calls"))
     )
-    waited = F.lit(now_micros) - F.col("oldest")
-    return log.select(
-        "key", "active",
-        F.greatest(F.lit(0), F.lit(max_calls) - F.col("active")).alias("remaining"),
+    within = lambda now: F.filter("calls", lambda t: now - t < period)
+    active = F.size(within(F.lit(now_micros))).cast("bigint")
+    waited = F.lit(now_micros) - F.array_min(within(F.col("last_t")))
+    return keys.select(
+        "key", active.alias("active"),
+        F.greatest(F.lit(0), F.lit(max_calls) - active).alias("remaining"),
         (F.greatest(F.lit(0), F.lit(period) - waited) / F.lit(1e6)).alias("reset_seconds"),
     )

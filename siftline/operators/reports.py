@@ -75,26 +75,26 @@ def text_summary(corpus: DataFrame, findings: DataFrame) -> DataFrame:
 
 def comment_lines(findings: DataFrame, limit: int = 10) -> DataFrame:
     """``bucket, position, text``: per severity a heading, its first findings and the remainder."""
-    top = ranking.top_per_severity(findings, limit)
-    items = top.select(
-        "bucket", F.col("position").cast("int").alias("position"),
-        F.concat(F.lit("- **"), pt.basename(F.coalesce("file", F.lit(""))), F.lit(":"),
-                 F.coalesce("line_number", F.lit(0)).cast("string"), F.lit("** - "),
-                 F.coalesce("message", F.lit(""))).alias("text"),
-    )
     title = F.concat(
         F.lit("### "), sev.mark(F.col("bucket")), F.lit(" "), F.upper("bucket"), F.lit(" ("),
         F.col("bucket_size").cast("string"), F.lit(")"),
     )
+    item = F.concat(
+        F.lit("- **"), pt.basename(F.coalesce("file", F.lit(""))), F.lit(":"),
+        F.coalesce("line_number", F.lit(0)).cast("string"), F.lit("** - "),
+        F.coalesce("message", F.lit("")),
+    )
     rest = F.concat(F.lit("- ... and "), F.col("more").cast("string"), F.lit(" more"))
-    entry = lambda at, text: F.struct(F.lit(at).alias("position"), text.alias("text"))
-    heads = (
-        top.filter("position = 1")
-        .select(
-            "bucket",
-            F.inline(F.array(entry(0, title), entry(limit + 1, F.when(F.col("more") > 0, rest)))),
+    entry = lambda at, text: F.struct(at.cast("int").alias("position"), text.alias("text"))
+    first = F.col("position") == 1
+    # The first finding of a severity brings the heading and the closing line with it.
+    lines = F.array_compact(
+        F.array(
+            F.when(first, entry(F.lit(0), title)),
+            entry(F.col("position"), item),
+            F.when(first & (F.col("more") > 0), entry(F.lit(limit + 1), rest)),
         )
-        .filter("text IS NOT NULL")
     )
+    top = ranking.top_per_severity(findings, limit).select("bucket", F.inline(lines))
     order = F.array(*[F.lit(s) for s in SEVERITY_RANK])
-    return heads.unionByName(items).withColumn("ord", F.array_position(order, F.col("bucket")).cast("int"))
+    return top.withColumn("ord", F.array_position(order, F.col("bucket")).cast("int"))
