@@ -21,7 +21,7 @@ from typing import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
@@ -39,7 +39,10 @@ _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
 def micros(column: str = "ts"):
-    """Microseconds since 1970, independent of the session time zone."""
+    """Microseconds since 1970 of a wall-clock time, independent of the session time zone."""
+    zone = SparkSession.active().conf.get("spark.sql.session.timeZone")
+    if zone in ("UTC", "Etc/UTC", "GMT"):
+        return F.unix_micros(F.col(column).cast("timestamp"))
     return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), F.col(column).cast("timestamp_ntz"))
 
 
@@ -74,20 +77,20 @@ def _fold_run(t: np.ndarray, log: deque, max_calls: int, period: int) -> np.ndar
 def _fold(max_calls: int, period: int, decisions: bool, schema: pa.Schema):
     """Fold rows sorted by (key, segment, slice, t, id) into decisions or into slice logs.
 
-    A leading row, with a ``carry``, starts its segment from that log.
+    Leading rows, those with a ``call``, are the admissions a segment inherits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment, current, log = None, None, deque()
         first, inherited = None, []
         for batch in batches:
-            keys, carries = batch.column("key"), batch.column("carry")
+            keys, calls = batch.column("key"), batch.column("call")
             codes = pc.fill_null(keys.dictionary_encode().indices, -1).to_numpy()
             segs, slices, t = (batch.column(c).to_numpy() for c in ("segment", "slice", "t"))
             change = (np.diff(codes) != 0) | (np.diff(segs) != 0) | (np.diff(slices) != 0)
             starts = np.concatenate([[0], np.flatnonzero(change) + 1]) if len(t) else []
             ends = np.append(starts[1:], len(t)) if len(t) else []
-            leading = carries.is_valid().to_numpy(zero_copy_only=False)
+            leading = calls.is_valid().to_numpy(zero_copy_only=False)
             admitted = np.zeros(len(t), dtype=bool)
             closed = []
             for a, b in zip(starts, ends):
@@ -99,9 +102,9 @@ def _fold(max_calls: int, period: int, decisions: bool, schema: pa.Schema):
                     if place[:2] != segment:
                         segment, log = place[:2], deque()
                     current, first = place, None
-                if leading[a]:
-                    log = deque(carries[int(a)].as_py())
-                    a = a + 1
+                n = int(leading[a:b].sum())
+                log.extend(calls[int(a) : int(a) + n].to_pylist())
+                a = a + n
                 if a == b:
                     continue
                 if first is None:
@@ -141,23 +144,26 @@ def _folded(rows: DataFrame, max_calls: int, period: int, decisions: bool) -> Da
     )
     schema = StructType([StructField(n, t) for n, t in fields.items()])
     placed = (
-        rows.select("key", "segment", "slice", "t", "id", "carry")
+        rows.select("key", "segment", "slice", "t", "id", "call")
         .repartition("key", "segment")
-        .sortWithinPartitions("key", "segment", "slice", "t", "id")
+        .sortWithinPartitions("key", "segment", "slice", "t", "call", "id")
     )
     return placed.mapInArrow(_fold(max_calls, period, decisions, to_arrow_schema(schema)), schema)
 
 
 def _with_logs(events: DataFrame, logs: DataFrame) -> DataFrame:
-    """Events plus one leading row per segment that carries its inherited log."""
+    """Events plus leading rows for the calls in the log a segment inherits."""
     leading = logs.select(
         "key", "segment", "slice", F.lit(BEFORE_ALL).alias("t"),
-        F.lit("0").cast(events.schema["id"].dataType).alias("id"), "carry",
+        F.lit("0").cast(events.schema["id"].dataType).alias("id"), F.explode("carry").alias("call"),
     )
-    plain = events.select(
-        "key", "segment", "slice", "t", "id", F.lit(None).cast("array<bigint>").alias("carry")
+    return _plain(events).unionByName(leading)
+
+
+def _plain(events: DataFrame) -> DataFrame:
+    return events.select(
+        "key", "segment", "slice", "t", "id", F.lit(None).cast("bigint").alias("call")
     )
-    return plain.unionByName(leading)
 
 
 def _sliced(events: DataFrame, hot: DataFrame, slice_rows: int) -> DataFrame:
@@ -181,9 +187,7 @@ def _sliced(events: DataFrame, hot: DataFrame, slice_rows: int) -> DataFrame:
 
 def _settled_logs(events: DataFrame, max_calls: int, period: int) -> DataFrame:
     """``key, slice, carry``: the log every slice inherits."""
-    alone = events.withColumn("segment", F.col("slice")).withColumn(
-        "carry", F.lit(None).cast("array<bigint>")
-    )
+    alone = _plain(events.withColumn("segment", F.col("slice")))
     state = checkpointed(_folded(alone, max_calls, period, False))
     width = 1
     while True:
@@ -226,16 +230,14 @@ def admissions(
     rows = events.select(F.col(key).alias("key"), micros(ts).alias("t"), F.col(event_id).alias("id"))
     per_key = rows.groupBy("key").agg(F.count("*").alias("n"))
     hot = per_key.filter(F.col("n") > slice_rows).select("key")
-    whole = lambda df: df.withColumns(
-        {"slice": F.lit(1).cast("bigint"), "carry": F.lit(None).cast("array<bigint>")}
-    )
     as_segments = lambda df: df.withColumn("segment", F.col("slice"))
+    whole = lambda df: _plain(as_segments(df.withColumn("slice", F.lit(1).cast("bigint"))))
     if hot.isEmpty():
-        return _folded(as_segments(whole(rows)), max_calls, period, True)
+        return _folded(whole(rows), max_calls, period, True)
     hot = checkpointed(hot)
     sliced = checkpointed(_sliced(rows, hot, slice_rows))
     logs = _settled_logs(sliced, max_calls, period)
-    cold = as_segments(whole(rows.join(hot, "key", "left_anti")))
+    cold = whole(rows.join(hot, "key", "left_anti"))
     parts = cold.unionByName(_with_logs(as_segments(sliced), as_segments(logs)))
     return _folded(parts, max_calls, period, True)
 
