@@ -15,7 +15,7 @@ from siftline.operators import filters, learning, linescan, structure
 from siftline.operators.ratelimit import micros
 from siftline.plans import views as v
 from siftline.plans.registry import (
-    corpus_sql, files_sql, findings_sql, learning_sql, query, rank_sql, re_sql, strip_sql,
+    corpus_sql, files_sql, findings_sql, query, rank_sql, re_sql, strip_sql,
     text_sql, with_,
 )
 from siftline.session import checkpoint_dir

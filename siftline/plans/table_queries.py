@@ -16,7 +16,7 @@ from siftline.operators.ratelimit import micros
 from siftline.plans import review as plans
 from siftline.plans import views as v
 from siftline.plans.registry import (
-    corpus_sql, files_sql, findings_sql, learning_sql, observations_sql, query, rank_sql, re_sql,
+    ORACLE, corpus_sql, files_sql, findings_sql, learning_sql, observations_sql, query, rank_sql, re_sql,
     responses_sql, strip_sql, text_sql, with_,
 )
 from siftline.plans.scan_queries import (
@@ -919,7 +919,7 @@ def t_obs(spark, sf):
     )
     obs = raw.select("ts", keys.pattern_key(F.col("type"), F.col("message")).alias("pattern_key"))
     counts = jobs.run_to_end(jobs.pattern_counts(obs), mode="complete")
-    return counts.select(micros("day").alias("day_us"), "pattern_key", "count")
+    return counts.select(F.unix_micros("day").alias("day_us"), "pattern_key", "count")
 
 
 def _expr(select: str, name: str) -> str:
@@ -1027,7 +1027,25 @@ def security_scan(spark, sf):
     return found.groupBy("severity", "message", "cwe_id").agg(F.count("*").alias("findings"))
 
 
-@query("review")
+_FIELDS = "file, line_number, severity, type, message"
+
+
+def _found_sql(names: list[str], where: str, stage: str, branch: int) -> str:
+    parts = " UNION ALL ".join(f"SELECT {_FIELDS} FROM ({ORACLE[n]})" for n in names)
+    return f"SELECT *, '{stage}' AS stage, {branch} AS branch FROM ({parts}) WHERE {where}"
+
+
+@query(
+    "review",
+    f"""
+SELECT {_FIELDS}, stage FROM (
+  {_found_sql(["r_assign", "r_call", "r_loopcat", "r_todo", "r_emptyex"], "file LIKE '%.py' AND type <> 'Empty Except Block'", "static", 0)}
+  UNION ALL {_found_sql(["c_parse"], "true", "bugs", 1)}
+  UNION ALL {_found_sql(["r_bug"], "true", "codex-bug", 2)}
+  UNION ALL {_found_sql(["r_emptyex"], "type = 'Empty Except Block'", "codex-bug", 2)}
+  UNION ALL {_found_sql(["r_eval", "r_assert", "r_global"], "file LIKE '%.py'", "codex-bug", 2)})
+QUALIFY row_number() OVER (PARTITION BY file, line_number, message ORDER BY {rank_sql('severity')} DESC, branch) = 1""",
+)
 def review(spark, sf):
     """The whole review: static checks, model answers, bug pack, merged and deduplicated."""
     answers = v.responses(spark, sf).withColumn("stage", F.lit("bugs"))

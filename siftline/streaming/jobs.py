@@ -53,14 +53,9 @@ def limited(
     lateness: str = "1 hour",
 ) -> DataFrame:
     """Streaming counterpart of the batch limiter; late events are dropped by the watermark."""
-    rows = (
-        events.withColumn(ts, F.col(ts).cast("timestamp"))
-        .withWatermark(ts, lateness)
-        .select(
-            F.col(key).alias("key"), F.col(ts).alias("event_time"),
-            F.unix_micros(ts).alias("t"), F.col(event_id).alias("id"),
-        )
-    )
+    rows = events.select(
+        F.col(key).alias("key"), micros(ts).alias("t"), F.col(event_id).alias("id")
+    ).withColumn("event_time", F.timestamp_micros("t")).withWatermark("event_time", lateness)
     return rows.groupBy("key").transformWithStateInPandas(
         Limiter(max_calls, period_seconds * 1_000_000),
         "key bigint, t bigint, id bigint, admitted boolean",
@@ -73,7 +68,7 @@ def new_contents(files: DataFrame, ts: str = "mtime", lateness: str = "1 day") -
     """Arriving files whose content has not been seen within the watermark."""
     normal = files.withColumn("content", normalise_newlines(F.col("content")))
     return (
-        normal.withColumn(ts, F.col(ts).cast("timestamp"))
+        normal.withColumn(ts, F.timestamp_micros(micros(ts)))
         .withColumn("content_hash", F.sha2("content", 256))
         .withWatermark(ts, lateness)
         .dropDuplicatesWithinWatermark(["content_hash"])
@@ -88,7 +83,7 @@ def scanned(files: DataFrame, scan: Callable[[DataFrame], DataFrame]) -> DataFra
 def pattern_counts(observations: DataFrame, window: str = "1 day") -> DataFrame:
     """Observations per pattern and day; a day stays open for the retention time."""
     return (
-        observations.withColumn("ts", F.col("ts").cast("timestamp"))
+        observations.withColumn("ts", F.timestamp_micros(micros("ts")))
         .withWatermark("ts", f"{learning.RETENTION_DAYS} days")
         .groupBy(F.window("ts", window).alias("w"), "pattern_key")
         .agg(F.count("*").alias("count"))

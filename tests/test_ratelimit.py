@@ -2,8 +2,6 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
-
 from siftline.operators import ratelimit
 
 START = datetime(2024, 1, 1)

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from conftest import rows
-from siftline.operators import learning, linescan, ratelimit
+from siftline.operators import linescan, ratelimit
 from siftline.sources.store import LearningStore
 from siftline.streaming import jobs
 from test_learning import OBS, START, as_dict, grouped, log
