@@ -196,3 +196,15 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def kept(docs: DataFrame, labels: DataFrame, least: float, label: str = "quality") -> DataFrame:
+    """The documents, all columns, whose score is ``least`` or more; learns from all labels."""
+    known = document_statistics(docs).join(common.label_rows(labels, label), "doc_id")
+    kernel = docs.sparkSession.sparkContext.broadcast(fit(common.stored(known, "statistics")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.text_slices(batches, "text"):
+            yield part.filter(pa.array(kernel.value.scores(statistics(part.column("text"))) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
