@@ -164,7 +164,7 @@ def _begin() -> list[int]:
 
 
 def _chained(found: list) -> tuple[dict, dict]:
-    """Costs that the first run of each part begins with, and the end of each run that goes on or came in.
+    """State (as costs) that the first run of each part begins in, and the end of each run that goes on or came in.
 
     Parts hold ranges of conversations in order, so a run goes on when the next part begins with the
     same conversation.
@@ -184,10 +184,10 @@ def _chained(found: list) -> tuple[dict, dict]:
             costs = (costs[:, None] + matrix).min(axis=0)
         end = min(range(4), key=lambda s: costs[s] + _END[s])
         for (part, name, matrix), costs in zip(reversed(chain), reversed(before), strict=True):
-            if part != chain[0][0]:
-                entry[part] = costs.tolist()
             leave[part, name] = (end, part == chain[-1][0])
             end = int((costs + matrix[:, end]).argmin())
+            if part != chain[0][0]:
+                entry[part] = [0 if state == end else _FAR for state in range(4)]
 
     for run in runs:
         if chain and chain[-1][1] != run[1]:

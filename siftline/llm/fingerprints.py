@@ -270,7 +270,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     part_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    dealt = rows.repartitionByRange(len(used), "range").sortWithinPartitions(
+    dealt = rows.repartitionByRange(max(1, len(used)), "range").sortWithinPartitions(
         "range", "guest", F.desc_nulls_last("doc_id"), "tie"
     )
     schema = (
