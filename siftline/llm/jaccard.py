@@ -6,9 +6,9 @@ one. A large set scans inverted lists: every pair above the threshold shares one
 rarest shingles, in one order for all sets. The boundary is where listing subsets stops being
 cheaper than scanning.
 
-Neither step pairs all members of a list. First each list pairs its smallest set with the others;
-pairs that hold are contracted to components, and then only members of one list that are still in
-different components are paired. Every pair that could add a link between components is verified on
+Neither step pairs all members of a list. First each list pairs one set of each range of sizes with
+the others of that range; pairs that hold are contracted to components, and then only members of one
+list that are still in different components are paired. Histograms of the sets rule out most pairs. Every pair that could add a link between components is verified on
 the whole sets, so the components are exact up to equal 64-bit hashes of different shingles.
 """
 
@@ -30,6 +30,10 @@ from siftline.llm.links import components
 COUNTERS = 1 << 20
 #: Subsets a set may list at most before lists are always taken to be cheaper.
 MOST_SUBSETS = 5_000
+#: Buckets of the histogram of a set's elements, which bounds what two sets can have in common.
+BUCKETS = 256
+#: Bits of the filter that says which texts are worth hashing again; a fixed number.
+FILTER_BITS = 1 << 24
 #: Set ids that a task remembers in order to send equal sets once.
 REMEMBERED = 500_000
 
@@ -98,7 +102,7 @@ def set_id(own: np.ndarray) -> int:
 
 
 def _survey(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """Size and id of each row's set, and the shingle frequencies (summed into fixed counters)."""
+    """Size, id and histogram of each row's set, and the shingle frequencies in fixed counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(COUNTERS, np.int64)
@@ -108,17 +112,16 @@ def _survey(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
             places = np.concatenate(sets) & np.uint64(COUNTERS - 1)
             counters += np.bincount(places.astype(np.int64), minlength=COUNTERS)
             kind = part.column("row").type
-            yield batch(part.column("row"), [len(s) for s in sets], [set_id(s) for s in sets], None)
+            found = [_histogram(s) for s in sets]
+            yield batch(part.column("row"), [len(s) for s in sets], [set_id(s) for s in sets], found)
         if kind is not None:
             cuts = np.array_split(counters, 64)
             for i, cut in enumerate(cuts):
-                yield batch(pa.nulls(1, kind), [-1 - i], [0], cut.astype(np.int32).tobytes())
+                yield batch(pa.nulls(1, kind), [-1 - i], [0], [cut.astype(np.int32).tobytes()])
 
-    def batch(row: pa.Array, n: list[int], sid: list[int], cut: bytes | None) -> pa.RecordBatch:
-        cuts = pa.array([cut] if cut else [None] * len(n), pa.binary())
-        return pa.RecordBatch.from_arrays(
-            [row, pa.array(n, pa.int32()), pa.array(sid, pa.int64()), cuts], names=["row", "n", "sid", "cut"]
-        )
+    def batch(row: pa.Array, n: list[int], sid: list[int], cuts: list[bytes | None]) -> pa.RecordBatch:
+        columns = [row, pa.array(n, pa.int32()), pa.array(sid, pa.int64()), pa.array(cuts, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["row", "n", "sid", "cut"])
 
     kind = docs.schema["row"].dataType.simpleString()
     seen = common.stored(docs.mapInArrow(run, f"row {kind}, n int, sid long, cut binary"), "sets")
@@ -135,7 +138,13 @@ def _survey(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     cuts = seen.where("n < 0").select("n", "cut").repartition(16, "n").mapInArrow(add, "n int, cut binary").collect()
     parts = [np.frombuffer(r["cut"], np.int64) for r in sorted(cuts, key=lambda r: -r["n"])]
     counters = np.concatenate(parts) if parts else np.zeros(COUNTERS, np.int64)
-    return seen.where("n >= 0").select("row", "n", "sid"), counters
+    return seen.where("n >= 0").withColumnRenamed("cut", "histogram"), counters
+
+
+def _histogram(own: np.ndarray) -> bytes | None:
+    """Elements in each bucket; None where a bucket holds more than a byte can say."""
+    counts = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=BUCKETS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
 
 
 def _emitted(docs: DataFrame, k: int, percent: int, small: int, counters: np.ndarray) -> DataFrame:
@@ -197,19 +206,47 @@ def _emitted(docs: DataFrame, k: int, percent: int, small: int, counters: np.nda
     return docs.select("text").mapInArrow(run, _ROW)
 
 
-def _arrays(docs: DataFrame, k: int) -> DataFrame:
-    """``sid`` and the shingles of each row."""
+def _marks(wanted: DataFrame) -> np.ndarray:
+    """A filter of fixed size over the wanted rows' marks; it may let others through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.text_slices(batches, "text"):
-            sets = shingles(part.column("text"), k)
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            flat = np.concatenate(sets).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("sid"), pa.ListArray.from_arrays(ends, flat)], names=["sid", "own"]
-            )
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            bits[np.asarray(batch.column("mark")) & (FILTER_BITS - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()])], names=["bits"])
+
+    total = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in wanted.select("mark").coalesce(8).mapInArrow(run, "bits binary").collect():
+        total |= np.frombuffer(r["bits"], np.uint8)
+    return total
+
 
-    return docs.select("sid", "text").mapInArrow(run, "sid long, own array<long>")
+def _arrays(source: DataFrame, k: int, sids: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``sid`` and the shingles of the sets named in ``sids``, stored.
+
+    Each set is hashed again from the one row chosen for it; the texts stay where they are read, and
+    only the shingles of wanted rows travel.
+    """
+    wanted = sids.join(chosen, "sid").select("sid", F.col("row").alias("w_row"), F.xxhash64("row").alias("mark"))
+    marks = source.sparkSession.sparkContext.broadcast(_marks(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.text_slices(batches, "text"):
+            place = np.asarray(part.column("mark")) & (FILTER_BITS - 1)
+            part = part.filter(pa.array((marks.value[place >> 3] >> (7 - (place & 7)) & 1).astype(bool)))
+            if part.num_rows:
+                sets = shingles(part.column("text"), k)
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(ends, np.concatenate(sets).astype(np.int64))
+                ids = pa.array([set_id(s) if len(s) else 0 for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("mark"), ids, lists], names=["mark", "sid", "own"])
+
+    marked = source.select(F.xxhash64("row").alias("mark"), "text")
+    made = marked.mapInArrow(run, "mark long, sid long, own array<long>")
+    once = Window.partitionBy("sid").orderBy("mark")
+    made = made.join(wanted.select("sid", "mark"), ["sid", "mark"], "left_semi")
+    made = made.withColumn("nth", F.row_number().over(once)).where("nth = 1").select("sid", "own")
+    return common.stored(made, "shingles")
 
 
 def _could(n: Column, m: Column, i: Column, j: Column, percent: int) -> Column:
@@ -233,35 +270,29 @@ def groups(docs: DataFrame, k: int, percent: int, row: str = "doc_id", text: str
     length = max(1.0, (float((counters.astype(float) ** 2).sum()) - total * total / COUNTERS) / max(total, 1.0))
     small = boundary(sizes, length, percent)
     emitted = _emitted(source, k, percent, small, counters).repartition("key").distinct()
-    first = F.min(F.struct("n", "sid", "place"))
-    lists = emitted.groupBy("key").agg(
-        first.alias("first"),
+    # of each list, the sets of about one size; subset classes are taken whole
+    emitted = emitted.withColumn("band", F.when(F.col("side") < 0, F.floor(F.log("n") * 20)).otherwise(-1))
+    lists = emitted.groupBy("key", "band").agg(
+        F.min(F.struct("sid", "n", "place")).alias("first"),
         F.min(F.when(F.col("side") == 1, F.col("sid"))).alias("smaller"),
         F.min(F.when(F.col("side") == 2, F.col("sid"))).alias("larger"),
-        F.count("*").alias("members"),
+        F.count("*").alias("here"),
     )
-    lists = lists.where("members > 1")
-    met = common.stored(emitted.join(lists, "key"), "lists")
+    lists = lists.withColumn("members", F.sum("here").over(Window.partitionBy("key"))).where("members > 1")
+    met = common.stored(emitted.join(lists.drop("here", "members"), ["key", "band"]), "lists")
+    chosen = sets.where("n > 0").groupBy("sid").agg(F.min(F.struct("row", "histogram")).alias("one"))
+    chosen = common.stored(chosen.select("sid", "one.row", "one.histogram"), "classes")
 
     partner = (
         F.when(F.col("side") == 1, F.col("larger")).when(F.col("side") == 2, F.col("smaller")).otherwise(F.col("first.sid"))
     )
     possible = (F.col("side") >= 0) | _could(F.col("first.n"), F.col("n"), F.col("first.place"), F.col("place"), percent)
     pairs = met.withColumn("a", partner).where("a is not null and a <> sid").where(possible)
-    pairs = _ordered(pairs.select("a", F.col("sid").alias("b")))
-
-    chosen = sets.where("n > 0").groupBy("sid").agg(F.min("row").alias("row"))
-    wanted = met.select("sid").distinct().join(chosen, "sid")
-    texts = source.alias("l").join(wanted.alias("r"), F.col("l.row").eqNullSafe(F.col("r.row"))).select("sid", "text")
-    arrays = _arrays(texts, k).dropDuplicates(["sid"])
-    arrays = common.stored(arrays, "shingles")
-
-    links = common.stored(_verified(pairs, arrays, percent), "links")
-    found = components(links)
-    named = met.where("side < 0").select("key", "n", "sid", "place").join(
-        found.withColumnRenamed("node", "sid"), "sid", "left"
-    )
-    named = named.withColumn("component", F.coalesce("component", "sid"))
+    pairs = _likely(_ordered(pairs.select("a", F.col("sid").alias("b"))), chosen, percent)
+    links = _verified(pairs, _arrays(source, k, _ends(pairs), chosen), percent)
+
+    named = met.where("side < 0").select("key", "n", "sid", "place")
+    named = _with_components(named, "sid", "component", common.stored(components(links), "components"))
     in_list = named.groupBy("key", "component").agg(F.count("*").alias("c"))
     mixed = in_list.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.count("*").alias("parts"))
     mixed = mixed.where("parts > 1").select("key", F.col("most.component").alias("main"))
@@ -275,9 +306,49 @@ def groups(docs: DataFrame, k: int, percent: int, row: str = "doc_id", text: str
         & _could(F.col("a_n"), F.col("b_n"), F.col("a_place"), F.col("b_place"), percent)
     )
     across = _ordered(across.select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")))
-    more = common.stored(_verified(across, arrays, percent), "more")
-    whole = components(links.union(more))
-    return _named(sets, whole)
+    across = _likely(across, chosen, percent)
+    arrays = _arrays(source, k, _ends(across), chosen)
+    # one partner of each set first: most of the others then are in its component already
+    some = across.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = links.union(_verified(some, arrays, percent))
+    others = across.join(some, ["a", "b"], "left_anti")
+    found = common.stored(components(links), "components")
+    others = _with_components(_with_components(others, "a", "ca", found), "b", "cb", found)
+    links = links.union(_verified(others.where("ca <> cb").select("a", "b"), arrays, percent))
+    return _named(sets, components(links))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+
+
+def _with_components(rows: DataFrame, node: str, name: str, found: DataFrame) -> DataFrame:
+    """The rows with the component of a column's set; a set without links is its own."""
+    rows = rows.join(found.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left")
+    return rows.withColumn(name, F.coalesce(name, node))
+
+
+def _likely(pairs: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose histograms allow enough common elements, stored; no pair above the threshold is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            keep = np.ones(batch.num_rows, bool)
+            known = [i for i in range(batch.num_rows) if x[i] is not None and y[i] is not None]
+            if known:
+                left, right = (
+                    np.frombuffer(b"".join(h[i] for i in known), np.uint8).reshape(-1, BUCKETS).astype(np.int32)
+                    for h in (x, y)
+                )
+                both = np.minimum(left, right).sum(axis=1)
+                sizes = left.sum(axis=1) + right.sum(axis=1)
+                keep[known] = (100 + percent) * both >= percent * sizes
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    pairs = pairs.join(chosen.select(F.col("sid").alias("a"), F.col("histogram").alias("x")), "a")
+    pairs = pairs.join(chosen.select(F.col("sid").alias("b"), F.col("histogram").alias("y")), "b")
+    return common.stored(pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "likely")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -285,11 +356,12 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough."""
+    """The pairs whose whole sets are similar enough, stored."""
     pairs = pairs.join(arrays.select(F.col("sid").alias("a"), F.col("own").alias("x")), "a")
     pairs = pairs.join(arrays.select(F.col("sid").alias("b"), F.col("own").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+    close = 100 * both >= percent * (F.size("x") + F.size("y") - both)
+    return common.stored(pairs.where(close).select("a", "b"), "links")
 
 
 def _named(sets: DataFrame, whole: DataFrame) -> DataFrame:
