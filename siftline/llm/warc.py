@@ -11,7 +11,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siftline.llm import common
 
@@ -24,10 +23,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-dig
 ARCHIVE_DATE = "20240101000000"
 
 _CHUNK = 1 << 20
-_PARSED = (
-    "record_id string, page_id {kind}, uri string, date string, mime string, http binary, payload binary, "
-    "payload_bytes long, payload_digest string, block_digest string"
-)
+_PARSED = "file string, offset long, page_id {kind}, record_id string, payload_bytes long, payload_digest string"
 
 
 def _first_row() -> Column:
@@ -149,47 +145,45 @@ def arc_records(packed: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
         yield dict(zip(fields, [" ".join(values[:cut]), *values[cut:]], strict=True)), body, offset
 
 
-def read_arc(spark: SparkSession, path: str, page_id_type: str, payload: bool) -> DataFrame:
-    """The records of ARC archives with the WARC identifiers, dates and digests made from them.
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.substring_index("path", "/", -1).alias("file"), "content")
+
+
+def _parsed(name: str, packed: bytes) -> Iterator[tuple]:
+    """Offset, id, fields, HTTP head, payload and page id (as text) of each record of an ARC file.
 
     Ids are name-based: the file and the offset of a record decide them, so a task that runs again
-    makes the same. ``http`` and ``payload`` are null unless ``payload`` is set.
+    makes the same.
     """
+    for fields, block, offset in arc_records(packed):
+        head, sep, body = block.partition(b"\r\n\r\n")
+        record_id = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{name}#{offset}"))
+        yield offset, record_id, fields, head + sep, body, _headers(head).get("x-page-id")
+
+
+def read_arc(spark: SparkSession, path: str, page_id_type: str) -> DataFrame:
+    """The records of ARC archives: place, page, WARC id, and size and digest of the payload."""
     schema = _PARSED.format(kind=page_id_type)
-    names = [f.name for f in T._parse_datatype_string(schema).fields]
+    names = [part.split()[0] for part in schema.split(", ")]
 
     def rows(name: str, packed: bytes) -> Iterator[tuple]:
-        for fields, block, offset in arc_records(packed):
-            head, sep, body = block.partition(b"\r\n\r\n")
-            head += sep
-            said, when = _headers(head).get("x-page-id"), fields["Archive-date"]
-            yield (
-                str(uuid.uuid5(uuid.NAMESPACE_URL, f"{name}#{offset}")),
-                said,
-                fields["URL"],
-                f"{when[:4]}-{when[4:6]}-{when[6:8]}T{when[8:10]}:{when[10:12]}:{when[12:14]}Z",
-                fields["Content-type"],
-                head if payload else None,
-                body if payload else None,
-                len(body),
-                _base32(body),
-                _base32(block),
-            )
+        for offset, record_id, _, _, body, page in _parsed(name, packed):
+            yield name, offset, page, record_id, len(body), _base32(body)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                name = batch.column("path")[i].as_py().rsplit("/", 1)[-1]
-                yield from _batches(rows(name, batch.column("content")[i].as_py()), names, schema, page_id_type)
+                found = rows(batch.column("file")[i].as_py(), batch.column("content")[i].as_py())
+                yield from _batches(found, names, schema)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, schema)
+    return _files(spark, path).mapInArrow(run, schema)
 
 
 _ARROW = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64(), "bigint": pa.int64(), "int": pa.int32()}
 
 
-def _batches(rows: Iterator[tuple], names: list[str], schema: str, id_type: str) -> Iterator[pa.RecordBatch]:
+def _batches(rows: Iterator[tuple], names: list[str], schema: str) -> Iterator[pa.RecordBatch]:
     """Record batches of about a slice of bytes; ids come as text and get their type."""
     kinds = [_ARROW[part.split()[1]] for part in schema.split(", ")]
     held, size = [], 0
@@ -211,45 +205,58 @@ def _batches(rows: Iterator[tuple], names: list[str], schema: str, id_type: str)
         yield batch()
 
 
-def convert(records: DataFrame, decisions: DataFrame, path: str) -> None:
-    """WARC archives of parsed ARC records, a file per partition.
+def _warc(fields: list[tuple[str, str]], *block: bytes) -> bytes:
+    """One record without its last line feed, which the text writer adds."""
+    fields.append(("Content-Length", str(sum(map(len, block)))))
+    head = "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
+    return b"".join((head.encode(), *block, b"\r\n\r"))
+
+
+def convert(spark: SparkSession, arc: str, decisions: DataFrame, path: str) -> None:
+    """The ARC archives below ``arc`` as WARC archives below ``path``, a file for each task.
 
-    ``decisions`` has a row for each record that revisits another: ``record_id``, ``refers_id``
-    and ``refers_to``. A revisit keeps the HTTP head and leaves out the payload.
+    ``decisions`` has a row for each record that revisits another: ``file`` and ``offset`` of the
+    record, ``refers_id`` and ``refers_to``. The decisions of a file travel to its archive, so no
+    payload is shuffled unpacked. A revisit keeps the HTTP head and leaves out the payload.
     """
-    crlf = "\r\n"
-    revisit = F.col("refers_id").isNotNull()
-    info = F.lit("software: siftline\r\nformat: WARC File Format 1.0\r\n")
-    warcinfo = F.concat(
-        F.lit(f"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:"),
-        F.regexp_replace(F.md5(F.concat(F.lit("info"), F.col("record_id"))), r"^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"),
-        F.concat(F.lit(">\r\nWARC-Date: "), F.col("date"), F.lit("\r\nContent-Type: application/warc-fields\r\n")),
-        F.format_string("Content-Length: %d\r\n\r\n%s\r\n\r\n", F.octet_length(info), info),
-    )
-    block = F.when(revisit, F.col("http")).otherwise(F.concat("http", "payload"))
-    field = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(crlf))
-    head = F.concat(
-        F.when(_first_row(), warcinfo).otherwise(""),
-        F.lit("WARC/1.0\r\n"),
-        field("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        field("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), "record_id", F.lit(">"))),
-        field("WARC-Date", F.col("date")),
-        field("WARC-Target-URI", F.col("uri")),
-        field("Content-Type", F.lit("application/http; msgtype=response")),
-        field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")),
-        F.when(
-            revisit,
-            F.concat(
-                field("WARC-Profile", F.lit(REVISIT_PROFILE)),
-                field("WARC-Refers-To", F.concat(F.lit("<urn:uuid:"), "refers_id", F.lit(">"))),
-                F.coalesce(field("X-Refers-To-Page-Id", F.col("refers_to").cast("string")), F.lit("")),
-            ),
-        ).otherwise(field("WARC-Block-Digest", F.concat(F.lit("sha1:"), "block_digest"))),
-        field("Content-Length", F.octet_length(block).cast("string")),
-        F.lit(crlf),
-    )
-    record = F.concat(head.cast("binary"), block, F.lit("\r\n\r").cast("binary"))
-    _write(record, records.join(decisions, "record_id", "left"), path)
+    per_file = decisions.groupBy("file").agg(F.collect_list(F.struct("offset", "refers_id", "refers_to")).alias("known"))
+    files = _files(spark, arc).join(per_file, "file", "left").select("file", "content", "known")
+
+    def records(name: str, packed: bytes, known: dict) -> Iterator[tuple[bytes]]:
+        info = b"software: siftline\r\nformat: WARC File Format 1.0\r\n"
+        stamp = str(uuid.uuid5(uuid.NAMESPACE_URL, name))
+        about = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{stamp}>"), ("WARC-Date", _date(ARCHIVE_DATE))]
+        yield (_warc([*about, ("Content-Type", "application/warc-fields")], info),)
+        for offset, record_id, arc_fields, head, body, _ in _parsed(name, packed):
+            other = known.get(offset)
+            fields = [
+                ("WARC-Type", "revisit" if other else "response"),
+                ("WARC-Record-ID", f"<urn:uuid:{record_id}>"),
+                ("WARC-Date", _date(arc_fields["Archive-date"])),
+                ("WARC-Target-URI", arc_fields["URL"]),
+                ("Content-Type", "application/http; msgtype=response"),
+                ("WARC-Payload-Digest", f"sha1:{_base32(body)}"),
+            ]
+            if other:
+                fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:uuid:{other['refers_id']}>")]
+                if other["refers_to"] is not None:
+                    fields.append(("X-Refers-To-Page-Id", str(other["refers_to"])))
+                yield (_warc(fields, head),)
+            else:
+                yield (_warc([*fields, ("WARC-Block-Digest", f"sha1:{_base32(head + body)}")], head, body),)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                known = {d["offset"]: d for d in batch.column("known")[i].as_py() or ()}
+                made = records(batch.column("file")[i].as_py(), batch.column("content")[i].as_py(), known)
+                yield from _batches(made, ["record"], "record binary")
+
+    _write(F.col("record"), files.mapInArrow(run, "record binary"), path)
+
+
+def _date(stamp: str) -> str:
+    return f"{stamp[:4]}-{stamp[4:6]}-{stamp[6:8]}T{stamp[8:10]}:{stamp[10:12]}:{stamp[12:14]}Z"
 
 
 def warc_records(packed: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -273,7 +280,7 @@ def read_warc(spark: SparkSession, path: str, page_id_type: str) -> DataFrame:
         f"page_id {page_id_type}, payload_bytes long, payload_digest string, record_type string, "
         f"refers_to {page_id_type}, record_id string"
     )
-    names = [f.name for f in T._parse_datatype_string(schema).fields]
+    names = [part.split()[0] for part in schema.split(", ")]
 
     def rows(packed: bytes) -> Iterator[tuple]:
         for fields, block in warc_records(packed):
@@ -296,7 +303,7 @@ def read_warc(spark: SparkSession, path: str, page_id_type: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                yield from _batches(rows(batch.column("content")[i].as_py()), names, schema, page_id_type)
+                yield from _batches(rows(batch.column("content")[i].as_py()), names, schema)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
 
@@ -313,17 +320,15 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None, min_bytes: i
     folder = folder or common.shared_folder(spark, "warc")
     kind = pages.schema["page_id"].dataType.simpleString()
     write_arc(pages, f"{folder}/arc", "page_id", "url", "html")
-    slim = read_arc(spark, f"{folder}/arc", kind, payload=False)
-    slim = slim.where(F.col("payload_bytes") >= min_bytes).select("record_id", "page_id", "payload_digest")
+    slim = read_arc(spark, f"{folder}/arc", kind).where(F.col("payload_bytes") >= min_bytes)
     first = (
         slim.groupBy("payload_digest")
         .agg(F.count("*").alias("n"), F.min(F.struct(F.col("page_id").isNull().alias("no"), "page_id", "record_id")).alias("f"))
         .where("n > 1")
         .select("payload_digest", F.col("f.record_id").alias("refers_id"), F.col("f.page_id").alias("refers_to"))
     )
-    decisions = slim.join(first, "payload_digest").where("record_id <> refers_id")
-    decisions = decisions.select("record_id", "refers_id", "refers_to")
-    convert(read_arc(spark, f"{folder}/arc", kind, payload=True), decisions, f"{folder}/warc")
+    decisions = slim.select("file", "offset", "record_id", "payload_digest").join(first, "payload_digest")
+    convert(spark, f"{folder}/arc", decisions.where("record_id <> refers_id"), f"{folder}/warc")
     return read_warc(spark, f"{folder}/warc", kind).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
