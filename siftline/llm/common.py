@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from siftline.session import checkpoint_dir
 
 #: Bytes of text that the array kernels take at once; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True

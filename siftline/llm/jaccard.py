@@ -38,7 +38,7 @@ FILTER_BITS = 1 << 24
 REMEMBERED = 500_000
 
 _KEY, _SIZE, _PLACE = "__siftline_key", "__siftline_size", "__siftline_place"
-_ROW = "key long, side int, n int, sid long, place int"
+_ROW = "key long, side int, band int, n int, sid long, place int"
 
 
 def needed(n: int, m: int, percent: int) -> int:
@@ -112,19 +112,20 @@ def _survey(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
             places = np.concatenate(sets) & np.uint64(COUNTERS - 1)
             counters += np.bincount(places.astype(np.int64), minlength=COUNTERS)
             kind = part.column("row").type
-            found = [_histogram(s) for s in sets]
-            yield batch(part.column("row"), [len(s) for s in sets], [set_id(s) for s in sets], found)
+            sizes, ids = [len(s) for s in sets], [set_id(s) for s in sets]
+            yield batch(part.column("row"), sizes, ids, [_histogram(s) for s in sets], [_levels(s) for s in sets])
         if kind is not None:
             cuts = np.array_split(counters, 64)
             for i, cut in enumerate(cuts):
-                yield batch(pa.nulls(1, kind), [-1 - i], [0], [cut.astype(np.int32).tobytes()])
+                yield batch(pa.nulls(1, kind), [-1 - i], [0], [cut.astype(np.int32).tobytes()], [None])
 
-    def batch(row: pa.Array, n: list[int], sid: list[int], cuts: list[bytes | None]) -> pa.RecordBatch:
+    def batch(row: pa.Array, n: list[int], sid: list[int], cuts: list, levels: list) -> pa.RecordBatch:
         columns = [row, pa.array(n, pa.int32()), pa.array(sid, pa.int64()), pa.array(cuts, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["row", "n", "sid", "cut"])
+        columns.append(pa.array(levels, pa.list_(pa.int64())))
+        return pa.RecordBatch.from_arrays(columns, names=["row", "n", "sid", "cut", "levels"])
 
     kind = docs.schema["row"].dataType.simpleString()
-    seen = common.stored(docs.mapInArrow(run, f"row {kind}, n int, sid long, cut binary"), "sets")
+    seen = common.stored(docs.mapInArrow(run, f"row {kind}, n int, sid long, cut binary, levels array<long>"), "sets")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -141,6 +142,16 @@ def _survey(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     return seen.where("n >= 0").withColumnRenamed("cut", "histogram"), counters
 
 
+def _levels(own: np.ndarray) -> list[int]:
+    """Bits for 128 coarser buckets: whether one holds more than 0, 1, 2 and 3 elements, two longs each.
+
+    Common bits of two sets count the elements they can share, but for those above the fourth.
+    """
+    counts = np.bincount((own >> np.uint64(49) & np.uint64(127)).astype(np.int64), minlength=128)
+    bits = np.concatenate([counts > level for level in range(4)])
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 def _histogram(own: np.ndarray) -> bytes | None:
     """Elements in each bucket; None where a bucket holds more than a byte can say."""
     counts = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=BUCKETS)
@@ -196,11 +207,14 @@ def _emitted(docs: DataFrame, k: int, percent: int, small: int, counters: np.nda
                     sizes.append(np.full(len(key), n))
                     sids.append(np.full(len(key), sid))
             if keys:
-                columns = [np.concatenate(keys).astype(np.int64), *map(np.concatenate, (sides, sizes, sids, spots))]
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+                side, size = np.concatenate(sides), np.concatenate(sizes)
+                # lists are looked at by sets of about one size; subset classes are taken whole
+                band = np.where(side < 0, np.floor(np.log(size) * 20), -1)
+                columns = [np.concatenate(keys), side, band, size, np.concatenate(sids), np.concatenate(spots)]
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, kinds, strict=True)],
-                    names=["key", "side", "n", "sid", "place"],
+                    names=["key", "side", "band", "n", "sid", "place"],
                 )
 
     return docs.select("text").mapInArrow(run, _ROW)
@@ -270,18 +284,17 @@ def groups(docs: DataFrame, k: int, percent: int, row: str = "doc_id", text: str
     length = max(1.0, (float((counters.astype(float) ** 2).sum()) - total * total / COUNTERS) / max(total, 1.0))
     small = boundary(sizes, length, percent)
     emitted = _emitted(source, k, percent, small, counters).repartition("key").distinct()
-    # of each list, the sets of about one size; subset classes are taken whole
-    emitted = emitted.withColumn("band", F.when(F.col("side") < 0, F.floor(F.log("n") * 20)).otherwise(-1))
+    # another first set in every list, so that a set is held against many of its group
     lists = emitted.groupBy("key", "band").agg(
-        F.min(F.struct("sid", "n", "place")).alias("first"),
+        F.min(F.struct(F.xxhash64("sid", "key").alias("draw"), "sid", "n", "place")).alias("first"),
         F.min(F.when(F.col("side") == 1, F.col("sid"))).alias("smaller"),
         F.min(F.when(F.col("side") == 2, F.col("sid"))).alias("larger"),
         F.count("*").alias("here"),
     )
     lists = lists.withColumn("members", F.sum("here").over(Window.partitionBy("key"))).where("members > 1")
     met = common.stored(emitted.join(lists.drop("here", "members"), ["key", "band"]), "lists")
-    chosen = sets.where("n > 0").groupBy("sid").agg(F.min(F.struct("row", "histogram")).alias("one"))
-    chosen = common.stored(chosen.select("sid", "one.row", "one.histogram"), "classes")
+    chosen = sets.where("n > 0").groupBy("sid").agg(F.min(F.struct("row", "histogram", "levels")).alias("one"))
+    chosen = common.stored(chosen.select("sid", "one.row", "one.histogram", "one.levels"), "classes")
 
     partner = (
         F.when(F.col("side") == 1, F.col("larger")).when(F.col("side") == 2, F.col("smaller")).otherwise(F.col("first.sid"))
@@ -296,14 +309,16 @@ def groups(docs: DataFrame, k: int, percent: int, row: str = "doc_id", text: str
     in_list = named.groupBy("key", "component").agg(F.count("*").alias("c"))
     mixed = in_list.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.count("*").alias("parts"))
     mixed = mixed.where("parts > 1").select("key", F.col("most.component").alias("main"))
-    open_lists = common.stored(named.join(mixed, "key"), "open")
+    open_lists = named.join(mixed, "key").join(chosen.select("sid", "levels"), "sid")
+    open_lists = common.stored(open_lists, "open")
     rest = open_lists.where("component <> main")
-    a = rest.select("key", *(F.col(c).alias(f"a_{c}") for c in ("n", "sid", "place", "component")))
-    b = open_lists.select("key", *(F.col(c).alias(f"b_{c}") for c in ("n", "sid", "place", "component", "main")))
+    a = rest.select("key", *(F.col(c).alias(f"a_{c}") for c in ("n", "sid", "place", "component", "levels")))
+    b = open_lists.select("key", *(F.col(c).alias(f"b_{c}") for c in ("n", "sid", "place", "component", "levels", "main")))
     across = a.join(b, "key").where(
         (F.col("a_component") != F.col("b_component"))
         & ((F.col("b_component") == F.col("b_main")) | (F.col("a_sid") < F.col("b_sid")))
         & _could(F.col("a_n"), F.col("b_n"), F.col("a_place"), F.col("b_place"), percent)
+        & _could_share(percent)
     )
     across = _ordered(across.select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")))
     across = _likely(across, chosen, percent)
@@ -318,6 +333,16 @@ def groups(docs: DataFrame, k: int, percent: int, row: str = "doc_id", text: str
     return _named(sets, components(links))
 
 
+def _could_share(percent: int) -> Column:
+    """Whether the levels of two sets allow enough common elements."""
+    ones = lambda side: sum((F.bit_count(F.col(side)[i]) for i in range(1, 8)), F.bit_count(F.col(side)[0]))
+    shared = F.bit_count(F.col("a_levels")[0].bitwiseAND(F.col("b_levels")[0]))
+    for i in range(1, 8):
+        shared += F.bit_count(F.col("a_levels")[i].bitwiseAND(F.col("b_levels")[i]))
+    beyond = F.least(F.col("a_n") - ones("a_levels"), F.col("b_n") - ones("b_levels"))
+    return (100 + percent) * (shared + beyond) >= percent * (F.col("a_n") + F.col("b_n"))
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
 

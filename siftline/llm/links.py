@@ -1,42 +1,78 @@
-"""Connected components of a link table by alternating star contraction."""
+"""Connected components of a link table, by rounds of union-find inside tasks."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.session import checkpointed
 
+#: Links that a task contracts at once; more are contracted in several runs.
+RUN_LINKS = 500_000
+
+
+def _stars(u: list, v: list) -> dict:
+    """Every node that is not the smallest of its group, with the smallest."""
+    above: dict = {}
+
+    def root(x):
+        top = x
+        while (up := above.get(top, top)) != top:
+            top = up
+        while x != top:
+            above[x], x = top, above[x]
+        return top
+
+    for a, b in zip(u, v, strict=True):
+        a, b = root(a), root(b)
+        if a != b:
+            above[max(a, b)] = min(a, b)
+    return {x: root(x) for x in list(above)}
+
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node`` and ``component`` (smallest node reachable) for every node of the links ``a``-``b``.
 
-    Each round hangs every node's larger and then smaller neighbours under its smallest one, which
-    halves the depth of any chain; it ends when a round changes nothing. Links in any direction,
-    repeated links and loops are allowed; nulls link nothing. Only sums of the links come to the
-    driver. A table without links gives no rows.
+    Each round deals every link to both its nodes; a task hangs what it sees together under the
+    smallest node, in runs of bounded size, so a node with very many links needs no memory for them.
+    What is connected stays so, chains shrink by a power, and a forest of stars no longer changes:
+    then it ends. Links in any direction, repeated links and loops are allowed; nulls link nothing.
+    Only sums of the links come to the driver. A table without links gives no rows.
     """
+    kind = links.schema["a"].dataType.simpleString()
     edges = links.where("a is not null and b is not null and a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     )
-    edges = checkpointed(edges.distinct())
+
+    def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, v = [], []
+        for batch in batches:
+            u += batch.column("u").to_pylist()
+            v += batch.column("v").to_pylist()
+            if len(u) >= RUN_LINKS:
+                yield out(_stars(u, v), batch.schema)
+                u, v = [], []
+            schema = batch.schema
+        if u:
+            yield out(_stars(u, v), schema)
+
+    def out(stars: dict, schema: pa.Schema) -> pa.RecordBatch:
+        columns = [pa.array(list(stars), schema.field("u").type), pa.array(list(stars.values()), schema.field("v").type)]
+        return pa.RecordBatch.from_arrays(columns, names=["u", "v"])
+
     state = None
     for _ in range(most_rounds):
-        # the larger neighbours of each node go under its smallest neighbour
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # then the smaller ones, and the node itself
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.union(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = checkpointed(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        both = edges.withColumn("key", F.explode(F.array("u", "v"))).repartition("key").select("u", "v")
+        edges = checkpointed(both.mapInArrow(contracted, f"u {kind}, v {kind}"))
+        whole = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+        now = edges.distinct().agg(F.count("*"), whole).first()
         if now == state:
             break
         state = now
     else:
         raise RuntimeError(f"links did not settle in {most_rounds} rounds")
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    named = F.array(F.struct(F.col("u").alias("n"), F.col("v").alias("c")), F.struct(F.col("v").alias("n"), F.col("v").alias("c")))
+    return edges.select(F.explode(named).alias("x")).select(F.col("x.n").alias("node"), F.col("x.c").alias("component")).distinct()
