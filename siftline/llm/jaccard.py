@@ -283,7 +283,9 @@ def groups(docs: DataFrame, k: int, percent: int, row: str = "doc_id", text: str
     total = float(counters.sum())
     length = max(1.0, (float((counters.astype(float) ** 2).sum()) - total * total / COUNTERS) / max(total, 1.0))
     small = boundary(sizes, length, percent)
-    emitted = _emitted(source, k, percent, small, counters).repartition("key").distinct()
+    emitted = _emitted(source, k, percent, small, counters)
+    # the filter stands here so that both uses below have the same plan, and the rows are dealt once
+    emitted = emitted.where("key is not null and band is not null").repartition("key").distinct()
     # another first set in every list, so that a set is held against many of its group
     lists = emitted.groupBy("key", "band").agg(
         F.min(F.struct(F.xxhash64("sid", "key").alias("draw"), "sid", "n", "place")).alias("first"),
