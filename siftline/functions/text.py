@@ -6,6 +6,8 @@ Unicode sets, independent of the engine's default.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,14 +20,18 @@ WHITESPACE = (
 SPACE_CLASS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 DIGIT_CLASS = r"\p{Nd}"
 WORD_CLASS = r"[\p{L}\p{N}_]"
+_CLASSES = {
+    r"\s": SPACE_CLASS, r"\d": DIGIT_CLASS, r"\w": WORD_CLASS,
+    r"\S": "[^" + SPACE_CLASS[1:], r"\D": r"\P{Nd}", r"\W": "[^" + WORD_CLASS[1:],
+}
+#: An escape as a whole, or a run of anything else.
+_PART = re.compile(r"\\[pPxN]\{[^}]*\}|\\.|[^\\]+", re.S)
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
 def unicode_classes(pattern: str) -> str:
-    """Spell out ``\\s``, ``\\d`` and ``\\w`` (outside brackets) as Unicode classes."""
-    return (
-        pattern.replace(r"\s", SPACE_CLASS).replace(r"\d", DIGIT_CLASS).replace(r"\w", WORD_CLASS)
-    )
+    """Spell out ``\\s``, ``\\d``, ``\\w`` and their opposites as Unicode classes."""
+    return _PART.sub(lambda m: _CLASSES.get(m.group(), m.group()), pattern)
 
 
 def regex(pattern: str) -> str:
@@ -34,7 +40,8 @@ def regex(pattern: str) -> str:
     ``.`` stops only at a line feed. Without a case flag, a leading literal is searched for
     with skips instead of character by character.
     """
-    return "(?d)" + unicode_classes(pattern.lower())
+    lowered = _PART.sub(lambda m: m.group() if m.group()[0] == "\\" else m.group().lower(), pattern)
+    return "(?d)" + unicode_classes(lowered)
 
 
 def regex_any_case(pattern: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import severity as sev
-from siftline.schemas import SEVERITY_RANK
+from siftline.schemas import SEVERITY_RANK, STAGES
 from siftline.session import checkpointed
 
 KEY = ("file", "line_number", "message")
@@ -25,8 +25,19 @@ def merge(static: DataFrame, stages: DataFrame, pack: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def _emission(findings: DataFrame) -> list[Column]:
-    return [F.col(c) for c in ("branch", "seq") if c in findings.columns]
+def _emission(findings: DataFrame, by_file: bool = False) -> list[Column]:
+    """A total order: branch, place of a model stage, ``seq``, and then what tells findings apart.
+
+    The ``seq`` of a scan counts inside a file, so findings of several files are taken ``by_file``.
+    """
+    has = set(findings.columns)
+    order = [F.col("branch")] if "branch" in has else []
+    if {"branch", "stage"} <= has:
+        place = F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage"))
+        order.append(F.when(F.col("branch") == 1, place))
+    order += [F.col("file")] if by_file else []
+    order += [F.col(c) for c in ("seq", "file", "line_number", "type", "message", "severity") if c in has]
+    return order
 
 
 def _one_per_key(findings: DataFrame, order: list[Column]) -> DataFrame:
@@ -55,7 +66,6 @@ def severity_order(findings: DataFrame) -> list[Column]:
         sev.rank(F.col("severity")).desc(),
         F.coalesce(F.col("line_number"), F.lit(0)),
         *_emission(findings),
-        F.col("file"),
     ]
 
 
@@ -89,10 +99,10 @@ def ranked(findings: DataFrame) -> DataFrame:
     return with_position(findings, severity_order(findings), "rank")
 
 
-def numbered_in_severity(findings: DataFrame) -> DataFrame:
+def numbered_in_severity(findings: DataFrame, by_file: bool = False) -> DataFrame:
     """Labels ``C1, C2, … H1, …`` in severity order; other severities are left out."""
     known = findings.withColumn("_rank", sev.rank(F.col("severity"))).filter("_rank > 0")
-    placed = with_position(known, [F.col("_rank").desc(), *_emission(findings)], "_pos")
+    placed = with_position(known, [F.col("_rank").desc(), *_emission(findings, by_file)], "_pos")
     # Four rows: the size of each severity.
     sizes = placed.groupBy("_rank").agg((F.min("_pos") - 1).alias("_before"))
     number = F.col("_pos") - F.col("_before")
@@ -104,14 +114,14 @@ def numbered_in_severity(findings: DataFrame) -> DataFrame:
     )
 
 
-def top_per_severity(findings: DataFrame, limit: int = 10) -> DataFrame:
+def top_per_severity(findings: DataFrame, limit: int = 10, by_file: bool = False) -> DataFrame:
     """First findings of every severity with the size of the severity and the remainder.
 
     Unknown severities count as low.
     """
     known = F.col("severity").isin(*SEVERITY_RANK)
     bucketed = findings.withColumn("bucket", F.when(known, F.col("severity")).otherwise("low"))
-    w = Window.partitionBy("bucket").orderBy(*_emission(findings))
+    w = Window.partitionBy("bucket").orderBy(*_emission(findings, by_file))
     first = bucketed.withColumn("position", F.row_number().over(w)).filter(
         F.col("position") <= limit
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.operators import catalog as cat
-from siftline.operators import linescan, ranking, structure
+from siftline.operators import filters, linescan, ranking, structure
 from siftline.schemas import as_findings
 
 
@@ -19,20 +19,12 @@ BUGS = (
 )
 
 
-def static_findings(corpus: DataFrame) -> DataFrame:
-    return linescan.scan(corpus, STATIC)
-
-
-def bug_findings(corpus: DataFrame) -> DataFrame:
-    """The bug pack; the last of equal findings stays."""
-    return ranking.keep_last(linescan.scan(corpus, BUGS))
-
-
 def review(corpus: DataFrame, stage_findings: DataFrame | None = None, bug_pack: bool = True) -> DataFrame:
     """Static checks, model stages and the bug pack, merged and deduplicated.
 
     Both packs are one pass over the corpus. Equal findings inside the bug pack come from one
-    rule and differ only in position, so the final deduplication covers them.
+    rule and differ only in position, so the final deduplication covers them. Severities of the
+    model stages count in any case; of equal findings the one of the earlier stage stays.
     """
     found = linescan.scan(corpus, STATIC + (BUGS if bug_pack else ()))
     is_bug = F.col("stage").eqNullSafe(cat.BUG_STAGE)
@@ -40,7 +32,7 @@ def review(corpus: DataFrame, stage_findings: DataFrame | None = None, bug_pack:
         "stage", F.coalesce("stage", F.lit("static"))
     )
     if stage_findings is not None:
-        merged = merged.unionByName(stage_findings.withColumn("branch", F.lit(1)))
+        merged = merged.unionByName(filters.normalised(stage_findings).withColumn("branch", F.lit(1)))
     return ranking.keep_most_severe(merged)
 
 

@@ -11,7 +11,7 @@ from siftline.functions import paths as pt
 from siftline.functions import severity as sev
 from siftline.functions import text as tx
 from siftline.operators import catalog as cat
-from siftline.operators import filters, learning, linescan, structure
+from siftline.operators import filters, learning, linescan, ranking, structure
 from siftline.operators.ratelimit import micros
 from siftline.plans import views as v
 from siftline.plans.registry import (
@@ -39,12 +39,13 @@ def s_files(spark, sf):
 
 @query("s_limit", files_sql(f"SELECT path, size FROM files WHERE {_SCANNABLE} ORDER BY path LIMIT 50"))
 def s_limit(spark, sf):
-    return src.first_files(src.scannable(v.files(spark, sf))).select("path", "size")
+    return src.first_files(src.scannable(v.files(spark, sf)), src.FILE_LIMIT).select("path", "size")
 
 
 @query("s_size", corpus_sql("SELECT path, CAST(length(content) AS BIGINT) AS chars FROM corpus WHERE length(content) <= 3000"))
 def s_size(spark, sf):
-    kept = src.within_chars(v.corpus(spark, sf).select("path", tx.normalise_newlines(F.col("content")).alias("content")), 3000)
+    texts = v.corpus(spark, sf).select("path", tx.normalise_newlines(F.col("content")).alias("content"))
+    kept = src.size_labelled(texts, 3000).where(~F.col("too_large"))
     return kept.select("path", F.length("content").cast("bigint").alias("chars"))
 
 
@@ -326,6 +327,27 @@ def r_pack(spark, sf):
     return linescan.check_lines(v.corpus(spark, sf)).select(*FINDING, "rule_id", "seq")
 
 
+# Findings of a scan, whose positions repeat from file to file, in the order of files.
+_SCANNED = _rules_sql(cat.LINE_PACK, ("seq",))
+_BY_FILE = "ORDER BY file, seq, line_number, type, message"
+
+
+@query("w_topsev_scan", corpus_sql(f"""
+SELECT severity AS bucket, file, seq, CAST(row_number() OVER (PARTITION BY severity {_BY_FILE}) AS INT) AS position,
+  count(*) OVER (PARTITION BY severity) AS bucket_size FROM ({_SCANNED}) QUALIFY position <= 10"""))
+def w_topsev_scan(spark, sf):
+    found = linescan.check_lines(v.corpus(spark, sf))
+    return ranking.top_per_severity(found, by_file=True).select("bucket", "file", "seq", "position", "bucket_size")
+
+
+@query("w_sevno_scan", corpus_sql(f"""
+SELECT file, seq, upper(left(severity, 1)) || row_number() OVER (PARTITION BY severity {_BY_FILE}) AS label
+FROM ({_SCANNED}) WHERE severity IN ('critical', 'high', 'medium', 'low')"""))
+def w_sevno_scan(spark, sf):
+    found = linescan.check_lines(v.corpus(spark, sf))
+    return ranking.numbered_in_severity(found, by_file=True).select("file", "seq", "label")
+
+
 _BUG_EXTRA = ("suggestion", "cwe_id", "details", "confidence_score")
 _LINE_BUGS = tuple(r for i, r in enumerate(cat.BUG_PACK) if i != cat.EMPTY_EXCEPT_INDEX)
 

@@ -384,10 +384,8 @@ SELECT file, CAST(line_no AS INT) AS line_number, language FROM lines
 WHERE regexp_matches(array_to_string(string_split(line, '#')[2:], '#'), '(?i)todo|fixme|hack')"""),
 )
 def j_filelang(spark, sf):
-    corpus = v.corpus(spark, sf)
-    languages = corpus.select(F.col("path").alias("file"), "language")
-    found = structure.todo_comments(corpus.select("path", "content"))
-    return found.join(languages, "file").select("file", "line_number", "language")
+    found = structure.todo_comments(v.corpus(spark, sf).select("path", "content"))
+    return found.select("file", "line_number", pt.language(F.col("file")).alias("language"))
 
 
 # Aggregates ----------------------------------------------------------------------------
@@ -736,11 +734,6 @@ def _too_many_lines(content: str, path: str) -> dict | None:
     return {"severity": "low", "type": "style", "message": f"{n} lines", "line_number": n} if n > 40 else None
 
 
-def _mixed_case(content: str, path: str) -> dict | None:
-    first = content.split("\n", 1)[0]
-    return {"severity": "info", "type": "style", "message": "Title line", "line_number": 1} if first.istitle() else None
-
-
 @query(
     "x_rules",
     corpus_sql("""

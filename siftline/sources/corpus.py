@@ -20,11 +20,12 @@ def relative(path, root: str):
 
 
 def read_files(spark: SparkSession, root: str, errors: str = "strict", max_bytes: int | None = None) -> DataFrame:
-    """``path, content, size, mtime, language`` of the supported files below ``root``.
+    """``path, content, size, mtime, language, error`` of the supported files below ``root``.
 
-    Names are matched during listing; size and directories are filtered on metadata before
-    content is read. Undecodable files are dropped (``strict``) or repaired (``ignore``). The
-    file source lists no empty files; they would have no lines and no findings.
+    Names are matched during listing, and folders and sizes before any content is read: a file in
+    an excluded folder is never opened. A file that is not UTF-8 (``strict``; with ``ignore`` it is
+    repaired) and one of ``max_bytes`` or more stays as a row with null content and its ``error``.
+    The file source lists no empty files; they would have no lines and no findings.
     """
     glob = "*.{" + ",".join(e[1:] for e in pt.LANGUAGE_BY_EXTENSION) + "}"
     raw = (
@@ -33,23 +34,26 @@ def read_files(spark: SparkSession, root: str, errors: str = "strict", max_bytes
         .option("pathGlobFilter", glob)
         .load(root)
     )
-    files = raw.filter(pt.is_scannable(relative(F.col("path"), root)))
+    listed = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    files = raw.filter(pt.is_scannable(relative(listed, root)))
+    about = [F.col("length").alias("size"), F.col("modificationTime").alias("mtime")]
+    large = None
     if max_bytes is not None:
-        files = files.filter(F.col("length") < max_bytes)
+        size = F.col("_metadata.file_size")
+        unread = F.lit(None).cast("string").alias("content")
+        large = files.filter(size >= max_bytes).select("path", unread, *about, F.lit("too large").alias("error"))
+        files = files.filter(size < max_bytes)
     text = F.col("content").cast("string")
-    decoded = files.select(
-        "path", text.alias("content"), F.col("length").alias("size"),
-        F.col("modificationTime").alias("mtime"),
-    )
+    valid = F.is_valid_utf8(text)
     if errors == "strict":
-        decoded = decoded.filter(F.is_valid_utf8("content"))
+        found, error = F.when(valid, text), F.when(~valid, "not UTF-8")
     else:
         # Invalid bytes are dropped, as an ignoring decoder does.
-        repaired = F.replace(F.make_valid_utf8("content"), F.lit("�"), F.lit(""))
-        decoded = decoded.withColumn(
-            "content", F.when(F.is_valid_utf8("content"), F.col("content")).otherwise(repaired)
-        )
-    return decoded.withColumn("content", normalise_newlines(F.col("content"))).withColumn(
+        repaired = F.replace(F.make_valid_utf8(text), F.lit("�"), F.lit(""))
+        found, error = F.when(valid, text).otherwise(repaired), F.lit(None).cast("string")
+    read = files.select("path", found.alias("content"), *about, error.alias("error"))
+    rows = read if large is None else read.unionByName(large)
+    return rows.withColumn("content", normalise_newlines(F.col("content"))).withColumn(
         "language", pt.language(F.col("path"))
     )
 
@@ -58,13 +62,14 @@ def scannable(files: DataFrame) -> DataFrame:
     return files.filter(pt.is_scannable(F.col("path")))
 
 
-def first_files(files: DataFrame, limit: int = FILE_LIMIT) -> DataFrame:
+def first_files(files: DataFrame, limit: int) -> DataFrame:
     """The first files of a review, in path order."""
     return files.orderBy("path").limit(limit)
 
 
-def within_chars(files: DataFrame, limit: int) -> DataFrame:
-    return files.filter(F.length("content") <= limit)
+def size_labelled(files: DataFrame, limit: int) -> DataFrame:
+    """All files with ``too_large``: whether their content has more than ``limit`` characters."""
+    return files.withColumn("too_large", F.coalesce(F.length("content") > limit, F.lit(False)))
 
 
 def ignore_patterns(lines: DataFrame, column: str = "value") -> DataFrame:

@@ -219,3 +219,30 @@ def test_reports(findings, corpus, tmp_path):
     reports.write_markdown(df, str(tmp_path / "md"))
     written = df.sparkSession.read.text(str(tmp_path / "md"))
     assert written.filter("value LIKE '# Review%'").count() == 2
+
+
+def test_order_of_scan_findings_does_not_depend_on_partitions(spark):
+    data = [
+        (f"f{i % 5}", i % 7, ("critical", "high", "low")[i % 3], "bug", f"m{i % 4}", "bugs", i % 6) for i in range(200)
+    ]
+    columns = "file string, line_number int, severity string, type string, message string, stage string, seq bigint"
+    results = []
+    for parts in (3, 7):
+        df = spark.createDataFrame(data[:: -1 if parts == 7 else 1], columns).repartition(parts)
+        top = ranking.top_per_severity(df, by_file=True)
+        numbered = ranking.numbered_in_severity(df.distinct(), by_file=True)
+        results.append(
+            (
+                rows(top, "bucket", "file", "seq", "line_number", "message", "position"),
+                rows(numbered, "label", "file", "seq", "line_number", "message"),
+            )
+        )
+    assert results[0] == results[1]
+
+
+def test_the_earlier_stage_keeps_an_equal_finding(spark):
+    columns = "file string, line_number int, severity string, type string, message string, stage string, seq bigint, branch int"
+    both = [("a", 1, "high", "x", "m", "style", 1, 1), ("a", 1, "high", "y", "m", "bugs", 2, 1)]
+    for order in (both, both[::-1]):
+        kept = ranking.keep_most_severe(spark.createDataFrame(order, columns))
+        assert rows(kept, "stage", "type") == [("bugs", "y")]

@@ -29,7 +29,8 @@ def names(df, root):
 
 def test_reads_supported_files_below_the_root(spark, tree):
     found = src.read_files(spark, tree)
-    assert names(found, tree) == ["a.py", "big.py", "sub/b.js"]
+    assert names(found, tree) == ["a.py", "bad.rs", "big.py", "sub/b.js"]
+    assert [(r.content, r.error) for r in found.where("error is not null").collect()] == [(None, "not UTF-8")]
     first = {r.content: r.language for r in found.collect()}
     assert first["x = 1\ny = 2\nz"] == "python"
     assert first["let a"] == "javascript"
@@ -37,14 +38,16 @@ def test_reads_supported_files_below_the_root(spark, tree):
 
 def test_ignoring_decoder_and_size_limit(spark, tree):
     found = src.read_files(spark, tree, errors="ignore", max_bytes=1000)
-    assert names(found, tree) == ["a.py", "bad.rs", "sub/b.js"]
+    assert names(found.where("error is null"), tree) == ["a.py", "bad.rs", "sub/b.js"]
+    assert [(r.content, r.error) for r in found.where("error is not null").collect()] == [(None, "too large")]
     assert "ok  café" in {r.content for r in found.collect()}
 
 
 def test_limits(spark, corpus):
     df = corpus("aaa", "b", "cc")
     assert rows(src.first_files(df, 2), "path") == [("f0.py",), ("f1.py",)]
-    assert rows(src.within_chars(df, 2), "path") == [("f1.py",), ("f2.py",)]
+    labelled = src.size_labelled(df, 2)
+    assert rows(labelled, "path", "too_large") == [("f0.py", True), ("f1.py", False), ("f2.py", False)]
 
 
 def test_ignore_file(spark, tmp_path):

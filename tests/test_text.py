@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftline.functions import paths as pt
@@ -129,3 +130,18 @@ def test_severity_mappings(spark):
 
 def test_paths_are_shown_relative(spark):
     assert apply(spark, ["/w/x\\y/z"], lambda c: pt.normalise_path(c, "/w")) == ["./x/y/z"]
+
+
+@pytest.mark.parametrize(
+    ("pattern", "hit", "miss"),
+    [
+        (r"FOO\S+bar", "foo--bar", "foo  bar"),
+        (r"a\Wb", "a-b", "axb"),
+        (r"a\Db", "axb", "a1b"),
+        (r"x\Bfoo", "xfoo", "x foo"),
+        (r"\\s", r"\s", "a b"),
+    ],
+)
+def test_escapes_keep_their_meaning(spark, pattern, hit, miss):
+    df = spark.createDataFrame([(hit,), (miss,)], "t string")
+    assert [r.t for r in df.where(F.lower("t").rlike(tx.regex(pattern))).collect()] == [hit]
