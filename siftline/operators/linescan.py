@@ -23,8 +23,8 @@ class Check:
 
     ``hits`` is SQL for an array of ``struct<rule_no, k, name>`` or NULL, over the columns
     ``line``, ``_folded``, ``line_no`` and, where asked for, ``next_line`` and ``depth`` (from
-    the map of line numbers that ``depths`` makes of a content); ``{n}`` stands for the number
-    of the check. ``{}`` in texts of ``rule`` is replaced by the name of a hit.
+    the array by line that ``depths`` makes of a content); ``{n}`` stands for the number of the
+    check. ``{}`` in texts of ``rule`` is replaced by the name of a hit.
     """
 
     rule: Rule
@@ -65,17 +65,22 @@ def numbered_lines(corpus: DataFrame, *, next_line: bool = False, depth: Column
     """``file, line_no, line``: one row per line, counted from 1."""
     carried = [c for c in corpus.columns if c not in ("path", "content")]
     named = corpus.withColumnRenamed("path", "file")
-    if depth is not None:
-        named, carried = named.withColumn("_depths", depth), [*carried, "_depths"]
     lines = tx.split_lines(tx.normalise_newlines(F.col("content")))
-    if not next_line:
+    if not next_line and depth is None:
         exploded = named.select("file", *carried, F.posexplode(lines).alias("line_no", "line"))
     else:
-        pairs = F.expr("transform(_lines, (l, i) -> struct(l AS line, get(_lines, i + 1) AS next_line))")
+        # What a line needs of its file is put beside it before the lines become rows.
+        beside, source = "struct(l AS line, get(_lines, i + 1) AS next_line)", "_lines"
+        arrays, extra = [lines.alias("_lines")], ["_p.next_line"]
+        if depth is not None:
+            arrays.append(F.coalesce(depth, F.array().cast("array<int>")).alias("_depths"))
+            beside = "struct(l._lines AS line, get(_lines, i + 1) AS next_line, l._depths AS depth)"
+            source, extra = "arrays_zip(_lines, _depths)", [*extra, "_p.depth"]
+        pairs = F.expr(f"transform({source}, (l, i) -> {beside})")
         exploded = (
-            named.select("file", *carried, lines.alias("_lines"))
+            named.select("file", *carried, *arrays)
             .select("file", *carried, F.posexplode(pairs).alias("line_no", "_p"))
-            .select("file", *carried, "line_no", "_p.line", "_p.next_line")
+            .select("file", *carried, "line_no", "_p.line", *extra)
         )
     return exploded.withColumn("line_no", F.col("line_no") + 1)
 
@@ -89,6 +94,21 @@ def guarded(entries: list[tuple[str, str]]) -> str:
     return f"array_compact(flatten(array_compact(array({', '.join(arrays)}))))"
 
 
+_NO_HITS = "CAST(array() AS array<struct<rule_no: int, k: int, name: string>>)"
+
+
+def concatenated(entries: list[tuple[str, str]]) -> str:
+    """SQL array of the hits of all entries; entries with the same guard share one test of it.
+
+    ``concat`` takes part in code generation, and so do the conditions below it.
+    """
+    groups: dict[str, list[str]] = {}
+    for guard, expression in entries:
+        groups.setdefault(guard, []).append(f"coalesce({expression}, {_NO_HITS})")
+    parts = [f"CASE WHEN {g} THEN concat({', '.join(e)}) ELSE {_NO_HITS} END" for g, e in groups.items()]
+    return f"concat({', '.join(parts)})"
+
+
 def needle_guard(needles: tuple[str, ...]) -> str:
     return tx.sql_contains_any("_folded", needles) if needles else "true"
 
@@ -131,10 +151,8 @@ def scan_lines(lines: DataFrame, checks: tuple[Check, ...]) -> DataFrame:
             guard = f"language IN ({names}) AND {guard}"
         entries.append((guard, c.hits.format(n=n)))
     folded = lines.withColumn("_folded", tx.fold(F.col("line")))
-    if "_depths" in lines.columns:
-        folded = folded.withColumn("depth", F.try_element_at("_depths", F.col("line_no")))
     hits = folded.select(
-        "file", "line_no", "line", F.expr(f"inline(flatten({guarded(entries)}))")
+        "file", "line_no", "line", F.expr(f"inline({concatenated(entries)})")
     ).withColumn("r", F.get(rule_table([c.rule.__dict__ for c in checks]), F.col("rule_no")))
     stripped, cut, name = tx.strip(F.col("line")), F.col("r.snippet_chars"), F.col("name")
     named = lambda field: F.when(name.isNull(), F.col(f"r.{field}")).otherwise(

@@ -78,26 +78,29 @@ TODO = Check(
 )
 
 
+#: Lines that are folded before their depths are appended to those of the file.
+_FOLD_LINES = 256
+
+
 def loop_depths(content: Column) -> Column:
-    """``map<line_no, depth>`` of the lines that add onto a subscript or attribute in loops.
+    """``array<int>``: for every line that adds onto a subscript or attribute, how many loops it is in.
 
-    The lines of a file are folded once with the indents of the loops that are still open.
+    The lines of a file are folded once with the indents of the loops that are still open. Depths
+    are gathered in runs of lines, so that no array of the file's length is copied for every line.
     """
     candidate = F.contains(content, F.lit("+=")) & (
         F.contains(content, F.lit("for")) | F.contains(content, F.lit("while"))
     )
+    plain = tx.split_lines(tx.normalise_newlines(content))
     lines = F.transform(
-        tx.split_lines(tx.normalise_newlines(content)),
-        lambda l, i: F.struct(
-            (i + 1).alias("line_no"), l.alias("line"),
+        plain,
+        lambda l: F.struct(
+            l.alias("line"),
             (F.length(l) - F.length(F.ltrim(l, F.lit(" \t")))).alias("indent"),
             (~(tx.is_blank(l) | F.startswith(tx.strip(l), F.lit("#")))).alias("is_code"),
         ),
     )
-    start = F.struct(
-        F.array().cast("array<int>").alias("open"),
-        F.array().cast("array<struct<line_no:int,depth:int>>").alias("hits"),
-    )
+    none = F.array().cast("array<int>")
 
     def step(acc, s):
         code = tx.code_only(s["line"])
@@ -105,15 +108,27 @@ def loop_depths(content: Column) -> Column:
         opened = F.when(
             code.rlike(_LOOP_HEAD), F.concat(still_open, F.array(s["indent"]))
         ).otherwise(still_open)
-        grows = F.contains(s["line"], F.lit("+=")) & code.rlike(_GROW) & (F.size(opened) > 0)
-        found = F.struct(s["line_no"].alias("line_no"), F.size(opened).alias("depth"))
-        return F.when(s["is_code"], F.struct(
-            opened.alias("open"),
-            F.when(grows, F.concat(acc["hits"], F.array(found))).otherwise(acc["hits"]).alias("hits"),
-        )).otherwise(acc)
-
-    hits = F.aggregate(lines, start, step)["hits"]
-    return F.when(candidate, F.map_from_entries(hits))
+        grows = F.contains(s["line"], F.lit("+=")) & code.rlike(_GROW)
+        depth = F.when(s["is_code"] & grows, F.size(opened)).otherwise(0)
+        return F.struct(
+            F.when(s["is_code"], opened).otherwise(acc["open"]).alias("open"),
+            F.concat(acc["depths"], F.array(depth)).alias("depths"),
+        )
+
+    def run(acc, first):
+        begin = F.struct(acc["open"].alias("open"), none.alias("depths"))
+        done = F.aggregate(F.slice(acc["lines"], first, _FOLD_LINES), begin, step)
+        # one element, so that the run is folded once although it is used twice
+        return F.transform(
+            F.array(done),
+            lambda r: F.struct(
+                r["open"].alias("open"), F.concat(acc["depths"], r["depths"]).alias("depths"), acc["lines"].alias("lines")
+            ),
+        )[0]
+
+    start = F.struct(none.alias("open"), none.alias("depths"), lines.alias("lines"))
+    firsts = F.sequence(F.lit(1), F.greatest(F.size(plain), F.lit(1)), F.lit(_FOLD_LINES))
+    return F.when(candidate, F.aggregate(firsts, start, run)["depths"])
 
 
 LOOPS = Check(

@@ -4,7 +4,7 @@ import ast
 from collections import Counter
 
 from conftest import rows
-from siftline.operators import structure
+from siftline.operators import linescan, structure
 from siftline.plans import review
 from siftline.plans.views import SNIPPETS
 
@@ -120,3 +120,10 @@ def test_review_merges_and_deduplicates(corpus):
     stages = {r.stage for r in found.select("stage").distinct().collect()}
     assert stages == {"static", "codex-bug"}
     assert review.review(corpus("x = 1")).isEmpty()
+
+
+def test_loop_depths_reach_over_runs_of_lines(spark):
+    lines = ["for a in b:", "    while c:"] + [f"        x[{i}] += 1" for i in range(700)] + ["    y.z += 1", "w[0] += 1"]
+    corpus = spark.createDataFrame([("f.py", "\n".join(lines), "python")], "path string, content string, language string")
+    found = linescan.scan(corpus, (structure.LOOPS,)).groupBy("line_number").count().collect()
+    assert {r["line_number"]: r["count"] for r in found} == {i: 2 for i in range(3, 703)} | {703: 1}
