@@ -33,7 +33,7 @@ MAX_CALLS = 100
 PERIOD_SECONDS = 60
 
 SLICE_ROWS = 2_000_000
-SLICE_POINTS = 100_000
+_ROW_BITS = (1 << 33) - 1
 BEFORE_ALL = -(2**62)
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -56,10 +56,20 @@ def take(log: deque, now: int, max_calls: int, period: int) -> bool:
     return True
 
 
-def _fold_run(t: np.ndarray, log: deque, max_calls: int, period: int) -> np.ndarray:
+def fold_run(t: np.ndarray, log: deque, max_calls: int, period: int) -> np.ndarray:
     """Decisions for ascending times; ``log`` is left as the last event leaves it."""
-    admitted = np.zeros(len(t), dtype=bool)
-    i, n = 0, len(t)
+    n = len(t)
+    if n and max_calls:
+        # Each call comes a period or more after the one max_calls places before it: all are admitted.
+        calls = np.concatenate([np.fromiter(log, np.int64, len(log)), t])
+        tail = calls[max(0, len(log) - max_calls) :]
+        if (tail[max_calls:] - tail[:-max_calls] >= period).all():
+            log.extend(tail[max(0, len(tail) - max_calls) :][-n:].tolist())
+            while log and int(t[-1]) - log[0] >= period:
+                log.popleft()
+            return np.ones(n, dtype=bool)
+    admitted = np.zeros(n, dtype=bool)
+    i = 0
     while i < n:
         now = int(t[i])
         if take(log, now, max_calls, period):
@@ -110,7 +120,7 @@ def _fold(max_calls: int, period: int, decisions: bool, schema: pa.Schema):
                 if first is None:
                     first = int(t[a])
                     inherited = [c for c in log if first - c < period]
-                admitted[a:b] = _fold_run(t[a:b], log, max_calls, period)
+                admitted[a:b] = fold_run(t[a:b], log, max_calls, period)
             if decisions:
                 events = pa.array(~leading)
                 yield pa.RecordBatch.from_arrays(
@@ -167,22 +177,28 @@ def _plain(events: DataFrame) -> DataFrame:
 
 
 def _sliced(events: DataFrame, hot: DataFrame, slice_rows: int) -> DataFrame:
-    """Events of the hot keys with a slice number: consecutive, in time order, about equal."""
+    """Events of the hot keys with a slice number: runs of ``slice_rows`` events of a key in time order.
+
+    Events are range-partitioned by (key, time, id), so that even a burst at one instant is cut. A place
+    in a key is the place in its partition plus what earlier partitions hold of the key.
+    """
     rows = events.join(hot.select("key"), "key", "left_semi")
-    span = rows.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
-    width = max(1, (span["b"] - span["a"]) // SLICE_POINTS)
-    point = F.floor((F.col("t") - F.lit(span["a"])) / F.lit(width)).cast("bigint")
-    pointed = rows.withColumn("point", point)
-    # At most SLICE_POINTS rows per hot key.
-    w = Window.partitionBy("key").orderBy("point")
-    cuts = (
-        pointed.groupBy("key", "point")
-        .agg(F.count("*").alias("n"))
-        .withColumn("cum", F.sum("n").over(w) - F.col("n"))
-        .withColumn("slice", F.dense_rank().over(w.orderBy(F.floor(F.col("cum") / slice_rows))))
-        .select("key", "point", F.col("slice").cast("bigint").alias("slice"))
+    order = ["key", "t", "id"]
+    fixed = checkpointed(
+        rows.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("part", F.spark_partition_id())
+        .withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)))
+    )
+    # One row for each partition and each hot key that it holds.
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        fixed.groupBy("key", "part")
+        .agg(F.count("*").alias("n"), F.min("at").alias("first"))
+        .select("key", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("offset"))
     )
-    return pointed.join(cuts, ["key", "point"]).drop("point")
+    place = F.floor((F.col("at") + F.col("offset")) / F.lit(slice_rows)) + 1
+    return fixed.join(offsets, ["key", "part"]).select("key", "t", "id", place.cast("bigint").alias("slice"))
 
 
 def _settled_logs(events: DataFrame, max_calls: int, period: int) -> DataFrame:

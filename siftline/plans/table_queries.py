@@ -899,9 +899,7 @@ def t_rates(spark, sf):
     """The limiter as a stream over the event files."""
     events = _stream(spark, sf, "events")
     with jobs.with_rocksdb(spark):
-        return jobs.run_to_end(
-            jobs.limited(events, "user_id", "ts", "event_id", v.LIMIT_CALLS, v.LIMIT_SECONDS)
-        )
+        return jobs.limited_to_end(events, "user_id", "ts", "event_id", v.LIMIT_CALLS, v.LIMIT_SECONDS)
 
 
 @query("t_obs", observations_sql("SELECT epoch_us(date_trunc('day', ts)) AS day_us, pattern_key, count(*) AS \"count\" FROM observations GROUP BY ALL"))

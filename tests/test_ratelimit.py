@@ -1,6 +1,8 @@
 import random
+from collections import deque
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from siftline.operators import ratelimit
 
@@ -59,6 +61,27 @@ def test_slices_give_the_sequential_answer(spark, kind, slice_rows):
     assert True in want.values() and False in want.values()
 
 
+def test_a_burst_at_one_instant_is_cut(spark):
+    events = [(1, START + timedelta(microseconds=i // 100), i) for i in range(2_000)] + [(1, START + timedelta(days=365), 9_999)]
+    rows = frame(spark, events).selectExpr("key", "unix_micros(CAST(ts AS timestamp)) AS t", "id")
+    hot = spark.createDataFrame([(1,)], "key bigint")
+    sizes = [r["count"] for r in ratelimit._sliced(rows, hot, 100).groupBy("slice").count().collect()]
+    assert len(sizes) == 21 and max(sizes) == 100
+    want = limited(events, 5, 60)
+    assert run(spark, events, max_calls=5, period_seconds=60, slice_rows=100) == want
+
+
+def test_a_sparse_stretch_is_admitted_whole():
+    for log in ([], [-3], [-30, -20, -1]):
+        for t in ([0, 10, 20, 30, 40], [0, 1, 2, 3], [0, 5, 12, 30, 31, 32, 90]):
+            slow, fast = deque(log), deque(log)
+            want = [ratelimit.take(slow, x, 3, 20) for x in t]
+            got = ratelimit.fold_run(np.array(t, np.int64), fast, 3, 20)
+            while slow and t[-1] - slow[0] >= 20:
+                slow.popleft()
+            assert got.tolist() == want and list(fast) == list(slow)
+
+
 def test_state_at_an_instant(spark):
     events = [(1, START + timedelta(seconds=s), s) for s in (0, 1, 2, 3)] + [(2, START, 0)]
     decided = ratelimit.admissions(frame(spark, events), "key", "ts", "id", 2, 10)
