@@ -9,6 +9,7 @@ from siftline.functions import paths as pt
 from siftline.functions import severity as sev
 from siftline.functions.text import loc
 from siftline.operators import metrics, ranking
+from siftline.operators.catalog import BUG_STAGE
 from siftline.schemas import SEVERITY_RANK
 
 
@@ -22,12 +23,14 @@ def _optional(label: str, column: str):
 def markdown(findings: DataFrame) -> DataFrame:
     """``file, section, severity_rank, line_number, seq, text``: a heading and one block per finding."""
     s = F.col("severity")
-    heads = findings.groupBy("file").agg(F.count("*").alias("n")).select(
+    packed = F.count_if(F.col("stage") == BUG_STAGE)
+    heads = findings.groupBy("file").agg(F.count("*").alias("n"), packed.alias("packed")).select(
         "file", F.lit(0).alias("section"), F.lit(0).alias("severity_rank"),
         F.lit(0).alias("line_number"), F.lit(0).cast("bigint").alias("seq"),
         F.concat(
             F.lit("# Review\n**Path:** `"), F.col("file"), F.lit("`\n**Total:** "),
-            F.col("n").cast("string"), F.lit(" issues\n"),
+            F.col("n").cast("string"), F.lit(" issues\n**Codex bugs:** "),
+            F.col("packed").cast("string"), F.lit("\n"),
         ).alias("text"),
     )
     block = F.concat(
@@ -73,6 +76,59 @@ def text_summary(corpus: DataFrame, findings: DataFrame) -> DataFrame:
     return head.unionByName(severities).unionByName(types)
 
 
+def text_listing(findings: DataFrame) -> DataFrame:
+    """``category, section, file, seq, text``: per type its count, a heading, and a line per finding.
+
+    The lines of a type are ordered by file and emission; no type is gathered in one task.
+    """
+    # Wording of the listing.
+    number = F.coalesce(F.col("line_number").cast("string"), F.lit("?"))
+    items = findings.select(
+        F.col("type").alias("category"), F.lit(2).alias("section"), "file", "seq",
+        F.concat(
+            F.lit("  Line "), number, F.lit(": "), F.coalesce("message", F.lit("No message"))
+        ).alias("text"),
+    )
+    name = F.upper(F.coalesce("type", F.lit("")))
+    entry = lambda section, text: F.struct(F.lit(section).alias("section"), text.alias("text"))
+    heads = (
+        findings.groupBy("type").agg(F.count("*").cast("string").alias("n"))
+        .select(
+            F.col("type").alias("category"),
+            F.inline(
+                F.array(
+                    entry(0, F.concat(name, F.lit(": "), F.col("n"))),
+                    entry(1, F.concat(name, F.lit(" ISSUES:"))),
+                )
+            ),
+        )
+        .select(
+            "category", "section", F.lit(None).cast("string").alias("file"),
+            F.lit(None).cast("bigint").alias("seq"), "text",
+        )
+    )
+    return heads.unionByName(items)
+
+
+def comment(corpus: DataFrame, findings: DataFrame, limit: int = 10) -> DataFrame:
+    """The whole comment, ordered by ``ord, position``: three totals, then the lines of the findings.
+
+    Without findings one line says so.
+    """
+    totals = corpus.agg(
+        F.count("*").alias("files"), F.coalesce(F.sum(loc(F.col("content"))), F.lit(0)).alias("lines")
+    ).withColumn("issues", findings.agg(F.count("*")).scalar())
+    # Wording of the head.
+    row = lambda label, c: F.concat(F.lit(f"| {label} | "), F.col(c).cast("string"), F.lit(" |"))
+    none = F.when(F.col("issues") == 0, F.lit("✅ **No issues found!**"))
+    texts = F.array(
+        row("Files Analyzed", "files"), row("Lines of Code", "lines"), row("Issues Found", "issues"), none
+    )
+    head = totals.select(F.posexplode(texts).alias("position", "text")).filter("text IS NOT NULL")
+    head = head.select(F.lit("summary").alias("bucket"), "position", "text", F.lit(0).alias("ord"))
+    return head.unionByName(comment_lines(findings, limit))
+
+
 def comment_lines(findings: DataFrame, limit: int = 10) -> DataFrame:
     """``bucket, position, text``: per severity a heading, its first findings and the remainder."""
     title = F.concat(

@@ -948,7 +948,8 @@ _MARK = "CASE severity WHEN 'critical' THEN '🔴' WHEN 'high' THEN '🟠' WHEN
     "o_md",
     findings_sql(f"""
 SELECT file, 0 AS section, 0 AS severity_rank, 0 AS line_number, CAST(0 AS BIGINT) AS seq,
-  '# Review' || chr(10) || '**Path:** `' || file || '`' || chr(10) || '**Total:** ' || count(*) || ' issues' || chr(10) AS text
+  '# Review' || chr(10) || '**Path:** `' || file || '`' || chr(10) || '**Total:** ' || count(*) || ' issues' || chr(10) ||
+  '**Codex bugs:** ' || count(*) FILTER (WHERE stage = 'codex-bug') || chr(10) AS text
 FROM findings GROUP BY file
 UNION ALL SELECT file, 1, {rank_sql('severity')}, line_number, seq, '### ' || {_MARK} || ' ' || upper(severity) || ': ' || type || chr(10) ||
   '- **File:** `' || file || '` (line ' || line_number || ')' || chr(10) || '- **Message:** ' || message || chr(10) ||
@@ -971,6 +972,19 @@ def o_text(spark, sf):
     return reports.text_summary(v.files(spark, sf), v.findings(spark, sf))
 
 
+@query(
+    "o_text_listing",
+    findings_sql("""
+SELECT type AS category, 0 AS section, CAST(NULL AS VARCHAR) AS file, CAST(NULL AS BIGINT) AS seq,
+  upper(type) || ': ' || count(*) AS text FROM findings GROUP BY type
+UNION ALL SELECT type, 1, NULL, NULL, upper(type) || ' ISSUES:' FROM findings GROUP BY type
+UNION ALL SELECT type, 2, file, seq, '  Line ' || coalesce(CAST(line_number AS VARCHAR), '?') || ': ' ||
+  coalesce(message, 'No message') FROM findings"""),
+)
+def o_text_listing(spark, sf):
+    return reports.text_listing(v.findings(spark, sf))
+
+
 @query(
     "o_comment",
     findings_sql(f"""
@@ -986,6 +1000,36 @@ def o_comment(spark, sf):
     return reports.comment_lines(v.findings(spark, sf))
 
 
+_HEAD = f"""
+SELECT 'summary' AS bucket, position, text, 0 AS ord FROM (
+  SELECT unnest([0, 1, 2, 3]) AS position, unnest(['| Files Analyzed | ' || files || ' |', '| Lines of Code | ' || lines || ' |',
+    '| Issues Found | ' || issues || ' |', CASE WHEN issues = 0 THEN '✅ **No issues found!**' END]) AS text
+  FROM (SELECT count(*) AS files,
+      sum(len(list_filter(string_split(content, chr(10)), lambda x: {strip_sql('x')} <> ''))) AS lines,
+      (SELECT count(*) FROM ISSUES) AS issues FROM files))
+WHERE text IS NOT NULL"""
+
+
+@query(
+    "o_comment_whole",
+    with_(v.DUCK_FILES, f"""
+{_HEAD.replace('ISSUES)', f"({findings_sql('SELECT seq FROM findings')}))")}
+UNION ALL SELECT bucket, position, text, ord FROM ({ORACLE['o_comment']})"""),
+)
+def o_comment_whole(spark, sf):
+    """The comment with its totals."""
+    return reports.comment(v.files(spark, sf), v.findings(spark, sf))
+
+
+@query(
+    "o_comment_clean",
+    with_(v.DUCK_FILES + ", " + v.DUCK_FINDINGS, _HEAD.replace("FROM ISSUES)", "FROM findings WHERE type = 'none')")),
+)
+def o_comment_clean(spark, sf):
+    """The comment on findings of a type that none has."""
+    return reports.comment(v.files(spark, sf), v.findings(spark, sf).filter("type = 'none'"))
+
+
 # Composed reviews ----------------------------------------------------------------------
 
 

@@ -206,7 +206,7 @@ def test_reports(findings, corpus, tmp_path):
         *[("b.py", i, "low", "style", f"m{i}", None, 10 + i) for i in range(12)],
     ).withColumn("suggestion", F.when(F.col("seq") == 0, "Use a vault"))
     texts = [r.text for r in reports.markdown(df).filter("file = 'd/a.py'").orderBy("section", F.desc("severity_rank")).collect()]
-    assert texts[0] == "# Review\n**Path:** `d/a.py`\n**Total:** 2 issues\n"
+    assert texts[0] == "# Review\n**Path:** `d/a.py`\n**Total:** 2 issues\n**Codex bugs:** 0\n"
     assert texts[1] == (
         "### 🟠 HIGH: security\n- **File:** `d/a.py` (line 5)\n- **Message:** Hardcoded secret\n"
         "- **Fix:** Use a vault\n- **Stage:** static\n"
@@ -216,6 +216,15 @@ def test_reports(findings, corpus, tmp_path):
     assert comment[-1] == "- ... and 2 more" and len(comment) == 16
     summary = [r.text for r in reports.text_summary(corpus("x", "y\n"), df).orderBy("part", "ord").collect()]
     assert summary[:3] == ["Files Analyzed: 2", "Lines of Code: 2", "  🔴 CRITICAL: 0"]
+    whole = [r.text for r in reports.comment(corpus("x", "y\n"), df).orderBy("ord", "position").collect()]
+    assert whole[:3] == ["| Files Analyzed | 2 |", "| Lines of Code | 2 |", "| Issues Found | 14 |"]
+    assert whole[3:] == comment
+    clean = reports.comment(corpus("x"), df.limit(0)).orderBy("position").collect()
+    assert [r.text for r in clean][2:] == ["| Issues Found | 0 |", "✅ **No issues found!**"]
+    listing = reports.text_listing(df.filter("file = 'd/a.py'")).orderBy("category", "section", "seq").collect()
+    assert [r.text for r in listing] == [
+        "SECURITY: 1", "SECURITY ISSUES:", "  Line 5: Hardcoded secret", "STYLE: 1", "STYLE ISSUES:", "  Line 10: Name",
+    ]
     reports.write_markdown(df, str(tmp_path / "md"))
     written = df.sparkSession.read.text(str(tmp_path / "md"))
     assert written.filter("value LIKE '# Review%'").count() == 2
