@@ -1,4 +1,4 @@
-"""Connected components of a link table, by rounds of union-find inside tasks."""
+"""Connected components of a link table, by union-find inside tasks and star passes between them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.session import checkpointed
+from siftline.llm import common
 
 #: Links that a task contracts at once; more are contracted in several runs.
 RUN_LINKS = 500_000
@@ -33,14 +33,49 @@ def _stars(u: list, v: list) -> dict:
     return {x: root(x) for x in list(above)}
 
 
+def _kept(links: DataFrame) -> DataFrame:
+    """The links stored, by as many tasks as there are cores: links are few and narrow, and so are the runs then."""
+    return common.stored(links.coalesce(links.sparkSession.sparkContext.defaultParallelism), "links")
+
+
+def _lowest(edges: DataFrame) -> DataFrame:
+    """The smallest ``low`` that each ``u`` hangs under; stored, so that joins with it can split a hot node."""
+    return _kept(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low")))
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Each link ``u`` > ``v`` with ``v`` replaced by the smallest node that ``v`` hangs under."""
+    up = edges.join(_lowest(edges), F.col("v") == F.col("node"), "left")
+    return _kept(up.select("u", F.coalesce("low", "v").alias("v")).distinct())
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each node, and all it hangs under, under the smallest of these."""
+    down = edges.join(_lowest(edges), F.col("u") == F.col("node"))
+    ends = down.select(F.explode(F.array("u", "v")).alias("u"), F.col("low").alias("v"))
+    return _kept(ends.where("u <> v").distinct())
+
+
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every node hangs under one other only, which hangs under none."""
+    none = F.lit(None).cast(edges.schema["u"].dataType)
+    ends = F.array(
+        F.struct(F.col("u").alias("node"), F.col("v").alias("up")), F.struct(F.col("v").alias("node"), none.alias("up"))
+    )
+    nodes = edges.select(F.explode(ends).alias("x")).groupBy("x.node")
+    nodes = nodes.agg(F.min("x.up").alias("low"), F.max("x.up").alias("high"), F.max(F.col("x.up").isNull()).alias("root"))
+    return nodes.where("low <> high or (root and low is not null)").isEmpty()
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node`` and ``component`` (smallest node reachable) for every node of the links ``a``-``b``.
 
-    Each round deals every link to both its nodes; a task hangs what it sees together under the
-    smallest node, in runs of bounded size, so a node with very many links needs no memory for them.
-    What is connected stays so, chains shrink by a power, and a forest of stars no longer changes:
-    then it ends. Links in any direction, repeated links and loops are allowed; nulls link nothing.
-    Only sums of the links come to the driver. A table without links gives no rows.
+    Each round first contracts the links where they lie, in runs of bounded size, and ends if a forest
+    of stars is left. Else a large-star and a small-star pass bring the smallest node that each node
+    hangs under to all its links, wherever they are. Both are a minimum by key, which combines before
+    the shuffle, and a join of stored tables, which splits hot keys. What is connected stays so. Links
+    in any direction, repeated links and loops are allowed; nulls link nothing. No links come to the
+    driver. A table without links gives no rows.
     """
     kind = links.schema["a"].dataType.simpleString()
     edges = links.where("a is not null and b is not null and a <> b").select(
@@ -63,16 +98,13 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         columns = [pa.array(list(stars), schema.field("u").type), pa.array(list(stars.values()), schema.field("v").type)]
         return pa.RecordBatch.from_arrays(columns, names=["u", "v"])
 
-    state = None
+    edges = _kept(edges.distinct())
     for _ in range(most_rounds):
-        both = edges.withColumn("key", F.explode(F.array("u", "v"))).repartition("key").select("u", "v")
-        edges = checkpointed(both.mapInArrow(contracted, f"u {kind}, v {kind}"))
-        whole = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        now = edges.distinct().agg(F.count("*"), whole).first()
-        if now == state:
+        edges = _kept(edges.mapInArrow(contracted, f"u {kind}, v {kind}").distinct())
+        if _is_star_forest(edges):
             break
-        state = now
+        edges = _small_star(_large_star(edges))
     else:
         raise RuntimeError(f"links did not settle in {most_rounds} rounds")
-    named = F.array(F.struct(F.col("u").alias("n"), F.col("v").alias("c")), F.struct(F.col("v").alias("n"), F.col("v").alias("c")))
-    return edges.select(F.explode(named).alias("x")).select(F.col("x.n").alias("node"), F.col("x.c").alias("component")).distinct()
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

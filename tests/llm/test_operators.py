@@ -261,6 +261,20 @@ def test_components(spark):
     assert got == {x: find(x) for a, b in pairs if a != b for x in (a, b)}
 
 
+def test_components_settle_over_many_runs(spark, monkeypatch):
+    monkeypatch.setattr(links, "RUN_LINKS", 2)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, 2)
+    try:
+        hot = [(1000, 1000 + i) for i in range(1, 60)] + [(999, 1000)] + [(1059, 1)] + [(5, 2000), (6, 2000)]
+        pairs = spark.createDataFrame(hot * 2, "a long, b long").coalesce(1)
+        got = sorted(tuple(r) for r in links.components(pairs).collect())
+    finally:
+        spark.conf.set(size, before)
+    assert got == [(1, 1), (5, 5), (6, 5), *((i, 1) for i in range(999, 1060)), (2000, 5)]
+
+
 def test_packing_is_whole(docs, nothing):
     library = Tokenizer.from_file(VOCABULARY)
     got = packing.packed(docs, VOCABULARY).collect()
