@@ -165,8 +165,8 @@ def band_keys(fingerprint: str) -> list[int]:
     return keys
 
 
-def near_groups(prints: DataFrame, near: float = NEAR) -> DataFrame:
-    """``doc_id`` and ``near_id``, the smallest id reachable over verified band partners.
+def near_names(prints: DataFrame, near: float = NEAR) -> DataFrame:
+    """``fingerprint`` and ``near_id``, the smallest id reachable over verified band partners.
 
     ``prints`` has ``doc_id`` and ``fingerprint``. Equal fingerprints are one class; in each band the
     smallest class is held against the others, so a band of n classes gives n - 1 pairs. Ids without
@@ -196,8 +196,12 @@ def near_groups(prints: DataFrame, near: float = NEAR) -> DataFrame:
     links = pairs.select("a", "b", "fa", "fb").mapInArrow(verified, f"a {kind}, b {kind}, fa string, fb string")
     found = components(links.select("a", "b"))
     named = classes.join(found, F.col("id") == F.col("node"), "left")
-    named = named.select("fingerprint", F.coalesce("component", "id").alias("near_id"))
-    out = prints.join(named, "fingerprint").where("doc_id is not null").select("doc_id", "near_id")
+    return named.select("fingerprint", F.coalesce("component", "id").alias("near_id"))
+
+
+def near_groups(prints: DataFrame, near: float = NEAR) -> DataFrame:
+    """``doc_id`` and ``near_id``, the smallest id of the group; a null id is its own group."""
+    out = prints.where("doc_id is not null").join(near_names(prints, near), "fingerprint").select("doc_id", "near_id")
     return out.union(prints.where("doc_id is null").select("doc_id", "doc_id"))
 
 
@@ -278,3 +282,14 @@ def neighbours(docs: DataFrame) -> DataFrame:
         "near_edited double, near_next double"
     )
     return dealt.mapInArrow(run, schema)
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """The rows of :func:`neighbours` with ``near_id``, the smallest id of the group of like fingerprints.
+
+    Ids without a partner are their own group; a null id has none.
+    """
+    rows = common.stored(neighbours(docs), "fingerprints")
+    names = near_names(rows.select("doc_id", "fingerprint"))
+    own = F.when(F.col("doc_id").isNotNull(), F.col("near_id"))
+    return rows.join(names, "fingerprint", "left").select(*rows.columns, own.alias("near_id"))

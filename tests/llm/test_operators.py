@@ -362,6 +362,16 @@ def test_near_groups_find_edited_copies(spark):
     assert all(v // 3 == k // 3 for k, v in got.items())
 
 
+def test_fingerprint_query_has_near_groups(spark, docs, tmp_path):
+    from siftline.llm import queries
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op10_fingerprints(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in _pairs(docs))
+    named = {r.doc_id: r.near_id for r in got}
+    assert named[None] is None and named[43] == named[44] == 3 and named[7] == 7
+
+
 def test_pipeline_on_the_smallest_tables(spark):
     import corpus_pipeline
 
