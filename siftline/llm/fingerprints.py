@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,6 @@ from siftline.llm.links import components
 SAMPLES = 64
 #: Steps after which the shared random bits repeat.
 PERIOD = 1 << 12
-#: Bands of a level, and samples of a band.
-BANDS, BAND_SAMPLES = 8, 4
 #: Likeness from which two fingerprints count as near.
 NEAR = 0.8
 #: Rows that still walk side by side; fewer walk on one by one.
@@ -150,19 +149,45 @@ def likeness(a: str, b: str) -> float:
     return float((x[:n] == y[:n]).sum() / most) if most else 0.0
 
 
-def band_keys(fingerprint: str) -> list[int]:
-    """Hashes of the bands at the text's level and the next, so that neighbours across a level meet."""
-    level, samples = _samples(fingerprint)
-    mix = np.random.default_rng(13).permutation(SAMPLES // 2)[: BANDS * BAND_SAMPLES]
-    keys = []
-    for lv, own in ((level, samples), coarser(level, samples)):
-        padded = np.zeros(SAMPLES // 2, np.int64)
-        padded[: min(len(own), len(padded))] = own[: len(padded)].astype(np.int64) + 1
-        for band in range(BANDS):
-            chosen = padded[mix[band * BAND_SAMPLES : (band + 1) * BAND_SAMPLES]]
-            key = hashlib.blake2b(bytes([lv, band]) + chosen.tobytes(), digest_size=8).digest()
-            keys.append(int.from_bytes(key, "little", signed=True))
-    return keys
+def _most_unlike(cells: int, near: float) -> int:
+    """Cells in which near samples of so many cells differ at most."""
+    return next(d for d in range(cells, -1, -1) if not d or (cells - d) / cells >= near)
+
+
+@lru_cache(maxsize=8)
+def _size_classes(near: float) -> list[tuple[int, int]]:
+    """The largest number of cells of each class of sizes, and its bands: two more than may differ."""
+    largest = [1]
+    while largest[-1] < 2 * SAMPLES:
+        largest.append(min(2 * SAMPLES, max(largest[-1] + 1, int(largest[-1] / near))))
+    return [(m, _most_unlike(m, near) + 2) for m in largest]
+
+
+def bands(fingerprint: str, near: float = NEAR) -> list[np.ndarray]:
+    """Keys of the bands, an array for each level and class of sizes in which a near partner may be.
+
+    The cells of a class are dealt round to its bands, so that each reaches over the whole text. Two
+    fingerprints with a likeness of ``near`` (above one half) differ in fewer cells than there are
+    bands, so that at least two of their keys are equal. Neighbours across a level meet at the next.
+    """
+    level, own = _samples(fingerprint)
+    found = []
+    for lv, samples, least in ((level, own, 1), (*coarser(level, own), SAMPLES)):
+        n, before = len(samples), 0
+        for most, count in _size_classes(near):
+            low, high = max(before + 1, n, least), min(most, int(n / near + 1e-9))
+            before = most
+            if n and low <= high and count > 2:  # else near samples are equal
+                cells = np.arange(-(-most // count) * count, dtype=np.uint64)
+                cells[:n] += (samples.astype(np.uint64) + np.uint64(1)) << np.uint64(8)
+                sums = common.mixed(cells + np.uint64(1)).reshape(-1, count).sum(axis=0, dtype=np.uint64)
+                place = np.arange(count, dtype=np.uint64) + np.uint64(lv << 16 | most << 8)
+                found.append(common.mixed(sums + common.mixed(place)).view(np.int64))
+    return found
+
+
+def band_keys(fingerprint: str, near: float = NEAR) -> list[int]:
+    return [key for own in bands(fingerprint, near) for key in own.tolist()]
 
 
 def near_names(prints: DataFrame, near: float = NEAR) -> DataFrame:
@@ -175,7 +200,7 @@ def near_names(prints: DataFrame, near: float = NEAR) -> DataFrame:
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [band_keys(f) for f in batch.column("fingerprint").to_pylist()]
+            found = [band_keys(f, near) for f in batch.column("fingerprint").to_pylist()]
             kinds = pa.array(found, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, kinds], names=[*batch.schema.names, "keys"])
 

@@ -346,6 +346,25 @@ def test_walk_equals_one_step_at_a_time():
         assert ends[i] == t
 
 
+def test_bands_reach_over_the_whole_text():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(rng.integers(5, 129))
+        x = rng.integers(0, 256, n).astype(np.uint8)
+        y = x.copy()
+        y[: n // 5] += 1  # another opening
+        a, b = ("00" + v.tobytes().hex() for v in (x, y))
+        assert fingerprints.likeness(a, b) >= 0.8 and len({*fingerprints.band_keys(a)} & {*fingerprints.band_keys(b)}) > 1
+        level, z = fingerprints.coarser(0, x)
+        if len(z) >= 64:
+            z = z.copy()
+            z[: len(z) // 5] += 1
+            c = f"{level:02d}" + z.tobytes().hex()
+            assert fingerprints.likeness(a, c) >= 0.8 and len({*fingerprints.band_keys(a)} & {*fingerprints.band_keys(c)}) > 1
+        cut = "00" + x[: -(n // 5) or None].tobytes().hex()
+        assert {*fingerprints.band_keys(a)} & {*fingerprints.band_keys(cut)} or n < 5
+
+
 def test_near_groups_find_edited_copies(spark):
     rng = random.Random(8)
     rows = []
