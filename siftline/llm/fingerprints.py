@@ -27,6 +27,8 @@ SAMPLES = 64
 PERIOD = 1 << 12
 #: Likeness from which two fingerprints count as near.
 NEAR = 0.8
+#: Classes of a band that are held against each other at once; more are told apart by a second band.
+HOT_BAND = 64
 #: Rows that still walk side by side; fewer walk on one by one.
 SIDE_BY_SIDE = 24
 #: Characters that are embedded at once.
@@ -191,37 +193,80 @@ def band_keys(fingerprint: str, near: float = NEAR) -> list[int]:
 
 
 def near_names(prints: DataFrame, near: float = NEAR) -> DataFrame:
-    """``fingerprint`` and ``near_id``, the smallest id reachable over verified band partners.
+    """``fingerprint`` and ``near_id``, the smallest id reachable over near fingerprints, of those with an id.
 
-    ``prints`` has ``doc_id`` and ``fingerprint``. Equal fingerprints are one class; in each band the
-    smallest class is held against the others, so a band of n classes gives n - 1 pairs. Ids without
-    a partner, and null ids, are their own group.
+    ``prints`` has ``doc_id`` and ``fingerprint``. Equal fingerprints are one class. In each band the
+    smallest class is held against the others first; then the classes of a band that are still apart
+    are held against each other, until each pair of a band is verified or of one component. In bands
+    of more than ``HOT_BAND`` classes that takes equal keys in a second band, which near pairs have.
     """
 
+    def verified(pairs: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                both = zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist(), strict=True)
+                alike = pa.array([likeness(x, y) >= near for x, y in both], pa.bool_())
+                yield batch.select(["a", "b"]).filter(alike)
+
+        pairs = pairs.join(classes.select(F.col("node").alias("a"), F.col("fingerprint").alias("fa")), "a")
+        pairs = pairs.join(classes.select(F.col("node").alias("b"), F.col("fingerprint").alias("fb")), "b")
+        return common.stored(pairs.select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long"), "near-links")
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [band_keys(f, near) for f in batch.column("fingerprint").to_pylist()]
-            kinds = pa.array(found, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, kinds], names=[*batch.schema.names, "keys"])
+            nodes = np.repeat(batch.column("node").to_numpy(), list(map(len, found)))
+            flat = np.array([key for own in found for key in own], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(flat)], names=["node", "key"])
 
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def second_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist(), strict=True)
-            yield batch.filter(pa.array([likeness(a, b) >= near for a, b in both], pa.bool_()))
-
-    kind = prints.schema["doc_id"].dataType.simpleString()
-    classes = prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("id"))
-    classes = common.stored(classes.select("id", "fingerprint"), "classes")
-    bands = classes.mapInArrow(keys, f"id {kind}, fingerprint string, keys array<long>")
-    bands = bands.select("id", F.explode("keys").alias("key"))
-    firsts = bands.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    pairs = bands.join(firsts, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    pairs = pairs.join(classes.select(F.col("id").alias("a"), F.col("fingerprint").alias("fa")), "a")
-    pairs = pairs.join(classes.select(F.col("id").alias("b"), F.col("fingerprint").alias("fb")), "b")
-    links = pairs.select("a", "b", "fa", "fb").mapInArrow(verified, f"a {kind}, b {kind}, fa string, fb string")
-    found = components(links.select("a", "b"))
-    named = classes.join(found, F.col("id") == F.col("node"), "left")
-    return named.select("fingerprint", F.coalesce("component", "id").alias("near_id"))
+            nodes, found = [], []
+            rows = (batch.column(c).to_pylist() for c in ("node", "key", "fingerprint"))
+            for node, key, fingerprint in zip(*rows, strict=True):
+                own = next(own for own in bands(fingerprint, near) if key in own)
+                other = own[own != key].view(np.uint64)
+                found += common.mixed(other + own[own == key].view(np.uint64)[0]).view(np.int64).tolist()
+                nodes += [node] * len(other)
+            columns = [pa.array(nodes, pa.int64()), pa.array(found, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "key"])
+
+    def met(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The classes that share a key, and the pairs of each key's smallest class with the others."""
+        firsts = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
+        rows = common.stored(keyed.join(common.stored(firsts, "firsts"), "key"), "near-bands")
+        return rows, rows.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+
+    def apart(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """The rows of keys whose classes are of several components and not all held against the first yet."""
+        rows = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        parts = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
+        parts = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.count("*").alias("parts"))
+        open_keys = parts.where("parts > 1").select("key", F.col("most.component").alias("main"))
+        return rows.where("n > 2").join(common.stored(open_keys, "open-keys"), "key")
+
+    def across(rows: DataFrame) -> DataFrame:
+        """The pairs of a key in different components; those of the first class are verified already."""
+        rows = rows.where("node <> first")
+        x = rows.where("component <> main").select("key", F.col("node").alias("x"), F.col("component").alias("cx"))
+        y = rows.select("key", "main", F.col("node").alias("y"), F.col("component").alias("cy"))
+        pairs = x.join(y, "key").where("cx <> cy and (cy = main or x < y)")
+        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    prints = prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("id"))
+    classes = common.stored(prints.select(F.xxhash64("fingerprint").alias("node"), "fingerprint", "id"), "classes")
+    rows, pairs = met(classes.select("node", "fingerprint").mapInArrow(keys, "node long, key long"))
+    links = verified(pairs)
+    left = common.stored(apart(rows, components(links)), "near-apart")
+    links = links.union(verified(across(left.where(F.col("n") <= HOT_BAND))))
+    hot = left.where(F.col("n") > HOT_BAND).select("node", "key").join(classes.select("node", "fingerprint"), "node")
+    hot = hot.select("node", "key", "fingerprint").mapInArrow(second_keys, "node long, key long").distinct()
+    rows, pairs = met(hot)
+    links = links.union(verified(pairs))
+    links = links.union(verified(across(apart(rows, components(links)))))
+    named = classes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("id").alias("near_id"))
+    return named.select("fingerprint", "component").join(common.stored(least, "near-ids"), "component").drop("component")
 
 
 def near_groups(prints: DataFrame, near: float = NEAR) -> DataFrame:

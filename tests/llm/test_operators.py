@@ -391,6 +391,33 @@ def test_fingerprint_query_has_near_groups(spark, docs, tmp_path):
     assert named[None] is None and named[43] == named[44] == 3 and named[7] == 7
 
 
+@pytest.mark.parametrize("hot", [64, 4])
+def test_near_groups_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(fingerprints, "HOT_BAND", hot)
+    rng = np.random.default_rng(6)
+    passage = rng.integers(0, 256, 100).astype(np.uint8)
+    prints = []
+    for i in range(30):  # different texts with a long common passage, and a near copy of each
+        x = passage.copy()
+        x[rng.permutation(100)[:30]] = rng.integers(0, 256, 30)
+        y = x.copy()
+        y[rng.permutation(100)[: 1 + i % 22]] += 1
+        prints += ["03" + v.tobytes().hex() for v in (x, y)]
+    for n in rng.integers(1, 12, 60):  # short ones
+        prints.append("00" + rng.integers(0, 3, n).astype(np.uint8).tobytes().hex())
+    rows = [(i // 2 if i < 4 else i, p) for i, p in enumerate(prints)]  # ids may repeat
+    table = spark.createDataFrame(rows, "doc_id long, fingerprint string")
+    group = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if group[i] != group[j] and fingerprints.likeness(prints[i], prints[j]) >= 0.8:
+            group = [group[i] if g == group[j] else g for g in group]
+    least = {}
+    for (i, _), g in zip(rows, group, strict=True):
+        least[g] = min(i, least.get(g, i))
+    got = {r.fingerprint: r.near_id for r in fingerprints.near_names(table).collect()}
+    assert got == {p: least[g] for p, g in zip(prints, group, strict=True)}
+
+
 def test_pipeline_on_the_smallest_tables(spark):
     import corpus_pipeline
 
