@@ -37,11 +37,11 @@ LEET = {
 }
 _LETTER = r"[^\W\d_]"
 _SIGN = r"[0-9@$!|+(€]"
-#: Tokens that may be disguised: signs among letters, a letter three times, single letters spaced out.
+#: Tokens that may be disguised: single letters and signs spaced out, signs or breaks at letters, a letter three times.
 SUSPECT = re.compile(
-    rf"(?<![^\W_])(?:{_LETTER}(?:[ .\-_*]{{1,2}}{_LETTER}){{3,}})(?![^\W_])"
-    rf"|(?<!\S)(?:{_SIGN}{{1,2}}(?={_LETTER})|{_LETTER}+(?:{_SIGN}{{1,3}}|[.\-_*])(?={_LETTER}))"
-    rf"(?:{_LETTER}|{_SIGN}(?!{_SIGN}{{2}})|[.\-_*](?={_LETTER}))+"
+    rf"(?<![^\W_])(?:(?:{_LETTER}|{_SIGN})(?:[ .\-_*]+(?:{_LETTER}|{_SIGN})){{2,}})(?![^\W_])"
+    rf"|(?<![^\W_])(?:{_SIGN}+(?={_LETTER})|{_LETTER}+(?:{_SIGN}|[.\-_*]+(?={_LETTER})))"
+    rf"(?:{_LETTER}|{_SIGN}|[.\-_*]+(?=[^\W_]))*"
     rf"|(?<![^\W_])(?:{_LETTER}*({_LETTER})\1\1{_LETTER}*)"
 )
 
@@ -52,6 +52,8 @@ for _c in range(0x3000):
     if chr(_c).isalpha():
         _CODES[_c] = 1 + _c - 97 if 97 <= _c < 123 else 27 + _c % 37
 _KEEP, _SIGN_COST, _DROP, _STUTTER = 0.0, 0.7, 0.2, 0.1
+# what a sign or a break costs that stays as it is: the first of several, and each that follows
+_STAY, _STAY_ON = 2.0, 0.2
 
 
 def symbol(c: str) -> int:
@@ -103,7 +105,8 @@ class Decoder:
     def decode(self, token: str) -> str:
         """Viterbi over the lattice of keeps, sign readings, dropped breaks and dropped repeats.
 
-        A state is the last two letters; ties go to the state found first.
+        A sign or break may stay as it is and then ends a word, so that the model spares plain tokens
+        and an opening bracket. A state is the last two characters; ties go to the state found first.
         """
         cost = self.cost
         states: dict[tuple[str, str], tuple[float, tuple | None]] = {("", ""): (0.0, None)}
@@ -124,13 +127,20 @@ class Decoder:
                         price = paid + extra + _STUTTER
                         if (a, b) not in after or price < after[a, b][0]:
                             after[a, b] = (price, path)
+                if drop is not None:
+                    # signs that stay after another, or in front, are one break
+                    within = b and symbol(b)
+                    price = paid + (_STAY + cost[symbol(a) if a else 0, symbol(b), 0] if within else _STAY_ON)
+                    price += 0 if within or b or c == "(" else _STAY - _STAY_ON
+                    if (b, c) not in after or price < after[b, c][0]:
+                        after[b, c] = (price, (path, c))
                 if drop is not None and (not readings or at in (0, len(token) - 1)):
                     price = paid + drop
                     if (a, b) not in after or price < after[a, b][0]:
                         after[a, b] = (price, path)
             states = after
         ends = {
-            key: paid + cost[symbol(key[0]) if key[0] else 0, symbol(key[1]) if key[1] else 0, 0]
+            key: paid + (cost[symbol(key[0]) if key[0] else 0, symbol(key[1]), 0] if key[1] and symbol(key[1]) else 0.0)
             for key, (paid, _) in states.items()
         }
         path, letters = states[min(ends, key=ends.get)][1], []
@@ -141,7 +151,7 @@ class Decoder:
 
     def restored(self, text: str) -> str:
         """The text in lower case with its disguised tokens spelled out."""
-        return SUSPECT.sub(lambda m: self(m.group()), text.lower())
+        return SUSPECT.sub(lambda m: self(m.group()) if any(map(str.isalpha, m.group())) else m.group(), text.lower())
 
 
 EVIDENCE = ("found", "most", "sum", "size")

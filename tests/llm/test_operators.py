@@ -199,6 +199,21 @@ def test_disguises_are_undone():
     assert decoder.restored("Plain Words, 42% of $5") == "plain words, 42% of $5"
 
 
+def test_disguises_at_borders_are_undone():
+    cube = np.zeros((64, 64, 64))
+    text = " the idiot is a loser, worthless and you hate the clown, a covid list of words " * 50
+    codes = [toxicity.symbol(c) for c in text]
+    for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+        cube[a, b, c] += 1
+    decoder = toxicity.Decoder(cube)
+    for word in ("idio7", '"1d1ot', "you,1diot", "1 d 1 0 t", "i   d   i   o   t", "1d10t!!"):
+        assert "idiot" in re.findall(r"[a-z]+", decoder.restored(f"the {word} is")), word
+    for word, plain in (("worthle$$", "worthless"), ("hat3", "hate"), ("(l0ser)", "loser"), ("l.0.s.3.r", "loser")):
+        assert plain in re.findall(r"[a-z]+", decoder.restored(f"the {word} is")), word
+    for word in ("covid19", "words!!", "(list", "1 2 3", "clown, 5"):
+        assert decoder.restored(f"the {word} is") == f"the {word} is", word
+
+
 def _jaccard(rows: list[tuple], k: int, percent: int) -> dict:
     sets, parent = [], {}
     for i, t in rows:
