@@ -147,6 +147,12 @@ def label_sample(labels: DataFrame, label: str, train: Column, rows: int) -> Dat
     )
 
 
+def one_text_each(rows: DataFrame) -> DataFrame:
+    """One row (``doc_id``, ``label``, ``text``) per id: of repeated ids the text with the smallest hash."""
+    text = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least")
+    return rows.groupBy("doc_id", "label").agg(text).select("doc_id", "label", "least.text")
+
+
 def isotonic(counts: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Non-decreasing rates fitted to bins in order (pool adjacent violators, one virtual pair a block)."""
     blocks: list[list[float]] = []

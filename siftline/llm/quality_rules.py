@@ -212,7 +212,7 @@ def assess(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, k
     """
     source = docs.select("doc_id", "text")
     sample = common.label_sample(labels, "quality", F.lit(True), sample_rows)
-    model = fit(source.join(F.broadcast(sample), "doc_id"))
+    model = fit(common.one_text_each(source.join(F.broadcast(sample), "doc_id")))
     weights = docs.sparkSession.sparkContext.broadcast(model)
     kind = source.schema["doc_id"].dataType.simpleString()
     schema = (

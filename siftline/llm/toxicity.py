@@ -295,7 +295,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str, sample_ro
     source = docs.select("doc_id", "text")
     decoder = Decoder(trigram_counts(source))
     chosen = common.label_sample(labels, label, train, sample_rows)
-    sample = common.stored(source.join(F.broadcast(chosen), "doc_id"), "toxicity-sample")
+    sample = common.one_text_each(source.join(F.broadcast(chosen), "doc_id"))
+    sample = common.stored(sample, "toxicity-sample")
     part = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(3))
     model = Model(_learn_terms(sample.where(part != 0), decoder), decoder)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -182,6 +182,19 @@ def test_scores_are_whole(docs, labels, nothing, operator):
     assert operator(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_labelled_samples_hold_one_row_an_id(spark, monkeypatch):
+    rows = [(i, f"text {i} of some words") for i in range(20)] + [(3, f"copy {j}") for j in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(20)], "doc_id long, quality int, toxic int")
+    seen = []
+    fit, stored = quality_rules.fit, common.stored
+    monkeypatch.setattr(quality_rules, "fit", lambda texts: seen.append(texts.count()) or fit(texts))
+    monkeypatch.setattr(common, "stored", lambda df, name: seen.append(df.count()) or stored(df, name))
+    quality_rules.assess(docs, labels)
+    toxicity.fit(docs, labels, F.lit(True), "toxic", 100)
+    assert seen == [20, 20]
+
+
 def test_isotonic_rates():
     rates = common.isotonic(np.array([1.0, 1, 1, 1]), np.array([0.0, 1, 0, 1]))
     assert rates.tolist() == [0, 0.5, 0.5, 1]
