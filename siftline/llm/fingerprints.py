@@ -29,6 +29,8 @@ PERIOD = 1 << 12
 NEAR = 0.8
 #: Classes of a band that are held against each other at once; more are told apart by a second band.
 HOT_BAND = 64
+#: Rows drawn for each range to find where the ranges end.
+CUT_SAMPLES = 64
 #: Rows that still walk side by side; fewer walk on one by one.
 SIDE_BY_SIDE = 24
 #: Characters that are embedded at once.
@@ -279,38 +281,42 @@ def neighbours(docs: DataFrame) -> DataFrame:
     """Each document with its own fingerprint, its edited text's, and how like the next one's it is.
 
     The next document is that with the next smaller id (equal ids: by a hash of the text; null ids
-    last), and after the last the first. Texts are dealt by ranges of ids; each range also gets a
-    copy of the row that begins the next, so one shuffle of the texts is enough.
+    last), and after the last the first. Texts are dealt by ranges of ids and hashes, so that a repeated
+    id is split; each range also gets a copy of the row that begins the next, so one shuffle of the
+    texts is enough.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = docs.select("doc_id")
+    source = source.withColumn("tie", F.xxhash64("text"))
+    ids = source.select("doc_id", "tie")
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = ids.where("doc_id is not null").agg(
-        F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("cuts")
+    drawn = ids.orderBy(F.xxhash64("doc_id", "tie")).limit(CUT_SAMPLES * parts).collect()
+    drawn = [(r["doc_id"], r["tie"]) for r in drawn]
+    drawn = sorted((r for r in drawn if r[0] is not None), key=lambda r: (r[0], -r[1]), reverse=True) + sorted(
+        (r for r in drawn if r[0] is None), key=lambda r: r[1]
     )
-    cuts = sorted(set(cuts.first()["cuts"] or []))
-    bounds = F.array(*(F.lit(c) for c in cuts)) if cuts else None
-
-    def range_of(doc_id):  # ranges count down: range 0 has the largest ids, the last one the nulls
-        if bounds is None:
-            return F.when(doc_id.isNull(), 1).otherwise(0)
-        above = F.size(F.filter(bounds, lambda c: c < doc_id))
-        return F.when(doc_id.isNull(), len(cuts) + 1).otherwise(len(cuts) - above)
-
-    firsts = ids.groupBy(range_of(F.col("doc_id")).alias("range")).agg(F.max("doc_id").alias("first")).collect()
-    firsts = sorted((r["range"], r["first"]) for r in firsts)  # one row a range
-    used = [r for r, _ in firsts]
-    before = {first: (used[i - 1] if i else used[-1]) for i, (_, first) in enumerate(firsts)}
-    guest_of = F.lit(None).cast("int")
-    for first, into in before.items():
-        match = F.col("doc_id").isNull() if first is None else F.col("doc_id") == F.lit(first)
-        guest_of = F.when(match, F.lit(into)).otherwise(guest_of)
-    own = F.struct(range_of(F.col("doc_id")).cast("int").alias("range"), F.lit(0).alias("guest"))
-    guest = F.struct(guest_of.cast("int").alias("range"), F.lit(1).alias("guest"))
-    rows = source.withColumn("to", F.explode(F.array(own, guest))).where("to.range is not null")
-    rows = rows.select("doc_id", "text", "to.range", "to.guest", F.xxhash64("text").alias("tie"))
+    cuts = list(dict.fromkeys(drawn[len(drawn) * i // parts] for i in range(1, parts))) if drawn else []
+    bounds = F.array(*(F.struct(F.lit(i).cast(kind).alias("id"), F.lit(t).cast("long").alias("tie")) for i, t in cuts))
+
+    def reached(cut):  # whether a row lies at the cut or behind it: ids count down, nulls are last
+        same = cut["id"].eqNullSafe(F.col("doc_id")) & (cut["tie"] <= F.col("tie"))
+        return same | (cut["id"].isNotNull() & F.coalesce(F.col("doc_id") < cut["id"], F.lit(True)))
+
+    dealt_to = (F.size(F.filter(bounds, reached)) if cuts else F.lit(0)).cast("int")
+    own = source.withColumn("range", dealt_to).withColumn("guest", F.lit(0))
+    largest = F.max(F.struct("doc_id", F.bitwise_not("tie").alias("turned"))).alias("first")
+    firsts = ids.groupBy(dealt_to.alias("range")).agg(largest).collect()  # one row a range
+    firsts = sorted((r["range"], r["first"]["doc_id"], ~r["first"]["turned"]) for r in firsts)
+    used = [r for r, _, _ in firsts]
+    into = [(doc_id, tie, used[i - 1]) for i, (_, doc_id, tie) in enumerate(firsts)]
+    into = spark.createDataFrame(into, f"g_id {kind}, g_tie long, range int")
+    guests = source.join(F.broadcast(into), F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("tie") == F.col("g_tie")))
+    # of rows equal in both, one is enough
+    guests = guests.groupBy("range").agg(*(F.first(c).alias(c) for c in ("doc_id", "text", "tie")))
+    guests = guests.withColumn("guest", F.lit(1))
+    columns = ["doc_id", "text", "range", "guest", "tie"]
+    rows = own.select(columns).union(guests.select(columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []

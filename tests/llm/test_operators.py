@@ -360,6 +360,19 @@ def test_fingerprints_and_edited_texts(docs, nothing):
     assert fingerprints.neighbours(nothing).count() == 0
 
 
+def test_a_repeated_id_is_dealt_to_many_tasks(spark):
+    rows = [(7, f"text {i}") for i in range(300)] + [(None, f"none {i}") for i in range(300)] + [(9, "a"), (7, "text 0")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = fingerprints.neighbours(table).withColumn("task", F.spark_partition_id()).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    assert max(Counter(r.task for r in got).values()) < 200
+    ordered = table.orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text")).collect()
+    texts = [r.text for r in ordered]
+    edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, texts[1:] + texts[:1], strict=True)]
+    want = Counter(hashlib.sha256(e.encode()).hexdigest() for e in edited)
+    assert Counter(r.edited_sha256 for r in got) == want
+
+
 def test_walk_equals_one_step_at_a_time():
     rng = np.random.default_rng(1)
     sizes = [0, 1, 5, 300, 40] * 8 + [5_000]
