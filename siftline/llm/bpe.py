@@ -63,7 +63,7 @@ class Vocabulary:
                     self.parts[whole], self.made[whole] = pair, rank
         self.automaton = ahocorasick.Automaton()
         for i, raw in self.tokens.items():
-            if i not in self.special.values() and (i not in self.parts or self._clean(*self.parts[i], first=False)):
+            if len(raw) == 1 or (i in self.parts and self._clean(*self.parts[i], first=False)):
                 self.automaton.add_word(raw.decode("latin-1"), (len(raw), i))
         self.automaton.make_automaton()
         self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None

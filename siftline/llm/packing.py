@@ -8,20 +8,17 @@ class; the few that no whole pattern takes are laid end to end and cut.
 
 from __future__ import annotations
 
-import functools
-import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.llm import common
-from siftline.llm.bpe import byte_letters
+from siftline.llm.byte_encoding import encoder
 
 #: Tokens of a sequence, and of a length class.
 LENGTH, WIDTH = 2048, 4
@@ -31,21 +28,9 @@ GAP, MOST_COLUMNS = 5e-4, 6_000
 END_ID = 1
 
 
-@functools.lru_cache(maxsize=1)
-def _encoding(definition: str) -> tiktoken.Encoding:
-    spec, letters = json.loads(definition), byte_letters()
-    ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
-    return tiktoken.Encoding(
-        "packing",
-        pat_str=r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
-        mergeable_ranks=ranks,
-        special_tokens={t["content"]: t["id"] for t in spec.get("added_tokens") or []},
-    )
-
-
 def token_ids(definition: str, text: str | None) -> np.ndarray:
     """The ids of a text (a null is empty) and the id that closes it."""
-    ids = _encoding(definition).encode(text or "", allowed_special="all")
+    ids = encoder(definition, True).ids(text or "")
     return np.array([*ids, END_ID], "<u4")
 
 

@@ -7,9 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import bpe, chat, fingerprints, jaccard, packing, quality_model, quality_rules, sharding, toxicity, warc
+from siftline.llm import (
+    alignment, bpe, chat, fingerprints, jaccard, packing, quality_model, quality_rules, sharding, toxicity, warc,
+)
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,11 +59,15 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.grouped(_table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(_table(spark, sf_dir, "documents"), VOCABULARY, PIECES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_shards, op2_chat, op3_bpe, op4_warc, op5_quality_rules, op6_quality, op7_jaccard, op8_toxicity,
-        op9_packing, op10_fingerprints,
+        op9_packing, op10_fingerprints, op13_alignment,
     )
 }
 ORACLE: dict[str, str] = {}
