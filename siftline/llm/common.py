@@ -112,6 +112,11 @@ def span_hashes(
     return mixed((total[ends] - total[begins]) * down[begins])
 
 
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """The bytes with a-z for A-Z."""
+    return _LOWER[raw]
+
+
 def summed(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of the values of each row, where row i has ``values[offsets[i]:offsets[i + 1]]``."""
     total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
