@@ -22,9 +22,9 @@ from siftline.llm import common
 #: Least occurrences of a phrase, words of the longest one, and phrases returned of each language.
 SUPPORT, LONGEST, TOP = 100, 5, 2_000
 #: Shards that are mined each on its own; the support in a shard is the ``SHARDS``-th part, rounded up.
-SHARDS = 16
+SHARDS = 8
 #: Words whose windows a task deals out at once, and windows that a mining task should hold.
-RUN_WORDS, GROUP_WINDOWS = 1 << 20, 1 << 20
+RUN_WORDS, GROUP_WINDOWS = 1 << 19, 1 << 19
 #: Bits of the filters of frequent words and of candidate phrases; a wrong hit costs time only.
 WORD_BITS, PHRASE_BITS = 1 << 24, 1 << 26
 #: Word pairs with this share of the windows are dealt by their third word as well; one word in ``STRIDE``
@@ -298,8 +298,11 @@ def _mined(dealt: DataFrame, support: int, tasks: int) -> DataFrame:
     return rows.mapInArrow(run, "key long, words array<long>").groupBy("key").agg(F.first("words").alias("words"))
 
 
-def phrase_counts(source: DataFrame, words: np.ndarray, phrases: np.ndarray) -> DataFrame:
-    """``key`` and ``n``, exact, of every phrase that the filter of candidates lets pass."""
+def phrase_counts(source: DataFrame, words: np.ndarray, phrases: np.ndarray, groups: int, support: int) -> DataFrame:
+    """``key`` and ``n``, exact, of every phrase with that support that the filter of candidates lets pass.
+
+    What a task has counted leaves it as one array for each of ``groups`` groups of keys.
+    """
     shared = source.sparkSession.sparkContext.broadcast((words, phrases))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,19 +324,48 @@ def phrase_counts(source: DataFrame, words: np.ndarray, phrases: np.ndarray) ->
                 keys.append(key)
                 counts.append(np.ones(len(key), np.int64))
                 size += len(key)
-            if size > 4 * COUNTED:
+            if size > 2 * COUNTED:
                 merged, n = _summed(keys, counts)
                 keys, counts, size = [merged], [n], len(merged)
                 if size > COUNTED:
-                    yield out(merged, n)
+                    yield dealt(merged, n)
                     keys, counts, size = [], [], 0
         if keys:
-            yield out(*_summed(keys, counts))
-
-    def out(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+            yield dealt(*_summed(keys, counts))
+
+    def dealt(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        group = (keys % np.uint64(groups)).astype(np.int32)
+        order = np.argsort(group, kind="stable")
+        first = np.flatnonzero(np.diff(group[order], prepend=-1))
+        cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True))
+        blobs = [[column[order[x:y]].tobytes() for x, y in cuts] for column in (keys, n)]
+        columns = [pa.array(group[order[first]]), *(pa.array(own, pa.binary()) for own in blobs)]
+        return pa.RecordBatch.from_arrays(columns, names=["group", "keys", "counts"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, keys, counts, size = None, [], [], 0
+        for batch in batches:
+            for group, own, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group != at:
+                    yield from often(keys, counts)
+                    at, keys, counts, size = group, [], [], 0
+                keys.append(np.frombuffer(own, np.uint64))
+                counts.append(np.frombuffer(n, np.int64))
+                size += len(keys[-1])
+                if size > 2 * COUNTED:
+                    merged, total = _summed(keys, counts)
+                    keys, counts, size = [merged], [total], len(merged) // 2
+        yield from often(keys, counts)
+
+    def often(keys: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if keys:
+            own, n = _summed(keys, counts)
+            kept = n >= support
+            columns = [pa.array(own[kept].view(np.int64)), pa.array(n[kept])]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "n"])
 
-    return source.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = source.mapInArrow(run, "group int, keys binary, counts binary")
+    return counted.repartition(groups, "group").sortWithinPartitions("group").mapInArrow(summed, "key long, n long")
 
 
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
@@ -354,7 +386,8 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, shards: int = SHAR
     tasks = int(min(shards * groups, max(4 * cores, shards * groups // 4)))
     mined = _mined(_dealt(source, bits, hot, shards, groups), -(-support // shards), tasks)
     candidates = common.stored(mined, "phrase-candidates")
-    counts = phrase_counts(source, bits, _filter(candidates, "key", PHRASE_BITS)).where(f"n >= {support}")
+    parts = max(2 * cores, -(-candidates.count() // COUNTED))
+    counts = phrase_counts(source, bits, _filter(candidates, "key", PHRASE_BITS), parts, support)
     phrases = candidates.join(common.stored(counts, "phrase-counts"), "key")
     return counted.where("word is not null or hash is null"), common.stored(phrases, "phrases")
 

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from siftline.llm import (
-    alignment, bpe, chat, collocations, fingerprints, jaccard, packing, quality_model, quality_rules, sharding, toxicity, warc,
+    alignment, bpe, chat, collocations, fingerprints, jaccard, packing, quality_model, quality_rules, sharding, toxicity, vectors,
+    warc,
 )
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -63,6 +64,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(_table(spark, sf_dir, "documents"), VOCABULARY, PIECES)
 
@@ -71,7 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_shards, op2_chat, op3_bpe, op4_warc, op5_quality_rules, op6_quality, op7_jaccard, op8_toxicity,
-        op9_packing, op10_fingerprints, op11_collocations, op13_alignment,
+        op9_packing, op10_fingerprints, op11_collocations, op12_vectors, op13_alignment,
     )
 }
 
@@ -108,5 +113,24 @@ SELECT lang, row_number() OVER w AS rank, array_to_string(phrase, ' ') AS phrase
 FROM lowest WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(phrase, ' '))
 QUALIFY rank <= 2000
 """
+_VECTORS = """
+WITH RECURSIVE valid AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+    AND len(list_filter(embedding, lambda v: v <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM valid a
+  JOIN valid b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reached AS (
+  SELECT vec_id, vec_id AS other FROM embeddings
+  UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON l.a = r.other
+)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
+  (SELECT min(other) FROM reached r WHERE r.vec_id = e.vec_id) AS component_id,
+  e.vec_id = (SELECT min(other) FROM reached r WHERE r.vec_id = e.vec_id) AS kept
+FROM embeddings e
+"""
 #: SQL where it can express the query and is quick enough on whole tables.
-ORACLE: dict[str, str] = {"op11_collocations": _COLLOCATIONS}
+ORACLE: dict[str, str] = {"op11_collocations": _COLLOCATIONS, "op12_vectors": _VECTORS}
