@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ SUPPORT, LONGEST, TOP = 100, 5, 2_000
 #: Shards that are mined each on its own; the support in a shard is the ``SHARDS``-th part, rounded up.
 SHARDS = 8
 #: Words whose windows a task deals out at once, and windows that a mining task should hold.
-RUN_WORDS, GROUP_WINDOWS = 1 << 19, 1 << 19
+RUN_WORDS, GROUP_WINDOWS = 1 << 20, 1 << 20
 #: Bits of the filters of frequent words and of candidate phrases; a wrong hit costs time only.
 WORD_BITS, PHRASE_BITS = 1 << 24, 1 << 26
 #: Word pairs with this share of the windows are dealt by their third word as well; one word in ``STRIDE``
@@ -241,27 +242,29 @@ def _dealt(source: DataFrame, words: np.ndarray, hot: np.ndarray, shards: int, g
         cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
         rows = []
         for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
-            mine = own.place[order[x:y]]
-            names, place = np.unique(mine, return_inverse=True)
-            kind = "<u2" if len(names) < 1 << 16 else "<u4"
-            columns = place.reshape(mine.shape).T.astype(kind).tobytes()
-            counts = own.counts[order[x:y]]
-            counts = counts.astype("<u1" if counts.max() < 256 else "<u8").tobytes()
-            rows.append((shard, int(bucket[order[x]]), y - x, own.names[names].tobytes(), columns, counts))
+            rows.append((shard, int(bucket[order[x]]), *_packed(own.names, own.place[order[x:y]], own.counts[order[x:y]])))
         arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-        yield pa.RecordBatch.from_arrays(arrays, names=["shard", "bucket", "size", "names", "place", "counts"])
+        yield pa.RecordBatch.from_arrays(arrays, names=["shard", "bucket", "names", "windows"])
 
-    types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    return source.mapInArrow(
-        run, "shard int, bucket int, size int, names binary, place binary, counts binary"
-    )
+    types = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return source.mapInArrow(run, "shard int, bucket int, names binary, windows binary")
+
+
+def _packed(names: np.ndarray, place: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """The names that the windows use, the frequent ones first, and the windows and counts, compressed byte by byte."""
+    used, local, often = np.unique(place, return_inverse=True, return_counts=True)
+    order = np.argsort(-often, kind="stable")
+    rank = np.empty(len(used), "<u4")
+    rank[order] = np.arange(len(used))
+    columns = np.concatenate([rank[local].reshape(place.shape).T.ravel(), counts.astype("<u4")])
+    planes = columns.view(np.uint8).reshape(-1, 4).T
+    return names[used[order]].tobytes(), zstandard.compress(planes.tobytes(), 1)
 
 
-def _unpacked(size: int, names: bytes, place: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    kind = "<u2" if len(place) == 2 * LONGEST * size else "<u4"
-    rows = np.frombuffer(place, kind).reshape(LONGEST, size).T.astype(np.int64)
-    n = np.frombuffer(counts, "<u1" if len(counts) == size else "<u8").astype(np.int64)
-    return np.frombuffer(names, np.uint64)[rows], n
+def _unpacked(names: bytes, windows: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(windows), np.uint8).reshape(4, -1)
+    columns = np.ascontiguousarray(planes.T).view("<u4").reshape(LONGEST + 1, -1)
+    return np.frombuffer(names, np.uint64)[columns[:LONGEST].T], columns[LONGEST].astype(np.int64)
 
 
 def _mined(dealt: DataFrame, support: int, tasks: int) -> DataFrame:
@@ -276,7 +279,7 @@ def _mined(dealt: DataFrame, support: int, tasks: int) -> DataFrame:
                     at, held, size = (shard, bucket), [], 0
                 held.append(_unpacked(*blob))
                 size += len(held[-1][1])
-                if size > 4 * GROUP_WINDOWS:
+                if size > 2 * GROUP_WINDOWS:
                     whole = merged(held)
                     held = [(whole.windows, whole.counts)]
                     size = len(whole.counts) // 2  # grows with what is distinct
