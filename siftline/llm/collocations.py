@@ -1,8 +1,10 @@
 """Collocations by SON partitioning: shards are mined whole at lowered support, their phrases counted globally.
 
 A phrase that occurs often enough in all documents occurs often enough, at the support divided by the
-number of shards, in one shard at least. So each shard gives its locally frequent phrases, the union of
-these has every frequent phrase, and a second pass over the texts counts the union exactly.
+number of shards, in one shard at least. So each shard gives its locally frequent phrases, first pairs of
+words and then what is made of frequent pairs; the union of the shards has every frequent phrase, and a last
+pass over the texts counts the union exactly. A shard grows with the corpus and is mined by many tasks, each
+for the phrases that begin alike.
 
 Words are 64-bit hashes that hold the language; phrases are known by a hash chained over their words.
 """
@@ -28,9 +30,6 @@ SHARDS = 8
 RUN_WORDS, GROUP_WINDOWS = 1 << 20, 1 << 20
 #: Bits of the filters of frequent words and of candidate phrases; a wrong hit costs time only.
 WORD_BITS, PHRASE_BITS = 1 << 24, 1 << 26
-#: Word pairs with this share of the windows are dealt by their third word as well; one word in ``STRIDE``
-#: is looked at to find them, which only moves work and never changes a count.
-HOT_SHARE, STRIDE = 1 / 512, 64
 #: Distinct words or phrases that a task counts before it hands them on.
 COUNTED = 1 << 20
 
@@ -68,17 +67,23 @@ class _Words:
         self.breaks = np.ones(len(self.begins), bool)
         self.breaks[:-1] = (np.diff(self.row) != 0) | (np.diff(hard) != 0)
 
-    def reach(self, usable: np.ndarray) -> np.ndarray:
-        """How many usable words begin at each word and lie in one piece, ``LONGEST`` at most."""
-        n = len(self.hashes)
-        out = usable.astype(np.int8)
-        more = usable.copy()
+    def reach(self, words: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
+        """How many words from each one on, ``LONGEST`` at most, are frequent, in one piece, and pairwise frequent.
+
+        ``words`` and ``pairs`` are filters; without ``pairs`` any two words will do.
+        """
+        usable = _has(words, self.hashes)
+        follows = usable.copy()
+        follows[-1:] = False
+        follows[:-1] &= usable[1:] & ~self.breaks[:-1]
+        if pairs is not None:
+            at = np.flatnonzero(follows)
+            follows[at] = _has(pairs, chained(self.hashes[at], self.hashes[at + 1]))
+        out, more = usable.astype(np.int8), follows.copy()
         for k in range(1, LONGEST):
-            step = np.zeros(n, bool)
-            if k < n:
-                step[: n - k] = usable[k:] & ~self.breaks[k - 1 : n - 1]
-            more &= step
             out += more
+            more[: len(more) - k] &= follows[k:]
+            more[max(0, len(more) - k) :] = False
         return out
 
 
@@ -110,17 +115,11 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """``lang``, ``word``, ``hash`` and ``n``; a row without a word has all words of the language.
-
-    A row with a hash but no word is a word pair that takes a large share of what a task has seen, with
-    the number of times that it was looked at.
-    """
+    """``lang``, ``word``, ``hash`` and ``n``; a row without a word has all words of the language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, int] = {}
         known: dict[int, list] = {}
-        pairs: dict[int, int] = {}
-        looked = 0
         for part in common.text_slices(batches, "text"):
             words = _Words(part)
             if not len(words.hashes):
@@ -137,19 +136,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     seen[2] += n
                 else:
                     known[key] = [langs[row[w]], raw[begin:end].decode(), n]
-            at_pair = np.flatnonzero(~words.breaks[::STRIDE]) * STRIDE
-            looked += len(at_pair)
-            for key in chained(words.hashes[at_pair], words.hashes[at_pair + 1]).view(np.int64).tolist():
-                pairs[key] = pairs.get(key, 0) + 1
             if len(known) > COUNTED // 4:
                 yield out([(lang, word, key, n) for key, (lang, word, n) in known.items()])
                 known = {}
-            if len(pairs) > COUNTED // 4:
-                pairs = {key: n for key, n in pairs.items() if n >= looked * HOT_SHARE / 2}
         yield out(
             [(lang, word, key, n) for key, (lang, word, n) in known.items()]
             + [(lang, None, None, n) for lang, n in total.items()]
-            + [("", None, key, n) for key, n in pairs.items() if n >= max(8, looked * HOT_SHARE / 2)]
         )
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -166,17 +158,20 @@ class _Windows:
     """Windows of word hashes with how often each occurs; a window ends early with zeros."""
 
     def __init__(self, windows: np.ndarray, counts: np.ndarray) -> None:
-        """``windows``: a row of ``LONGEST`` hashes for each."""
+        """``windows``: a row of hashes for each."""
         self.names, place = np.unique(windows, return_inverse=True)
         place = place.reshape(windows.shape).astype(np.uint64)
         if not len(self.names) or self.names[0]:  # zero is the name of none
             self.names = np.concatenate([np.zeros(1, np.uint64), self.names])
             place += np.uint64(1)
         bits = np.uint64(int(len(self.names) - 1).bit_length())
-        if bits <= 21:  # then three fit into a key
-            packed = [place[:, 0] << bits + bits | place[:, 1] << bits | place[:, 2], place[:, 3] << bits | place[:, 4]]
-        else:
-            packed = list(place.T)
+        at_once = max(1, 63 // max(1, int(bits)))  # names that fit into one sort key
+        packed = []
+        for k in range(0, place.shape[1], at_once):
+            key = place[:, k]
+            for j in range(k + 1, min(k + at_once, place.shape[1])):
+                key = key << bits | place[:, j]
+            packed.append(key)
         order = np.lexsort(packed[::-1])
         other = np.zeros(len(order), bool)
         other[:1] = True
@@ -190,9 +185,9 @@ class _Windows:
     def windows(self) -> np.ndarray:
         return self.names[self.place]
 
-    def frequent(self, support: int) -> Iterator[np.ndarray]:
-        """The word hashes of all phrases that begin a window and occur so often, of each length."""
-        for k in range(2, LONGEST + 1):
+    def frequent(self, support: int, least: int) -> Iterator[np.ndarray]:
+        """The word hashes of the phrases that begin a window and occur so often, of each length from ``least`` on."""
+        for k in range(least, self.place.shape[1] + 1):
             rows = np.flatnonzero(self.place[:, k - 1])
             if not len(rows):
                 return
@@ -202,41 +197,44 @@ class _Windows:
             yield self.names[own[first[often]]]
 
 
-def _dealt(source: DataFrame, words: np.ndarray, hot: np.ndarray, shards: int, groups: int) -> DataFrame:
-    """``shard``, ``bucket`` and the windows of frequent words of it, in blobs.
+def _dealt(source: DataFrame, words: np.ndarray, pairs: np.ndarray | None, shards: int, groups: int) -> DataFrame:
+    """``shard``, ``bucket`` and the windows of it, in blobs.
 
-    Windows that begin with the same two words share a bucket; with a hot pair, those with three.
+    Without a filter of ``pairs`` the windows are pairs of frequent words; with it they are longer and made of
+    frequent pairs. Windows that begin with the same two or three words share a bucket. Equal windows of a run
+    are one, so that a passage that is everywhere stays small.
     """
-    shared = source.sparkSession.sparkContext.broadcast((words, hot))
+    shared = source.sparkSession.sparkContext.broadcast((words, pairs))
+    least, width = (2, 2) if pairs is None else (3, LONGEST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, hot_pairs = shared.value
+        bits, wanted = shared.value
         shard = TaskContext.get().partitionId() % shards
         held: list[np.ndarray] = []
         size = 0
         for part in common.text_slices(batches, "text"):
             own = _Words(part)
-            reach = own.reach(_has(bits, own.hashes))
-            at = np.flatnonzero(reach > 1)
+            reach = own.reach(bits, wanted)
+            at = np.flatnonzero(reach >= least)
             if not len(at):
                 continue
-            hashes = np.concatenate([own.hashes, np.zeros(LONGEST, np.uint64)])
-            window = hashes[at[:, None] + np.arange(LONGEST)]
-            window[np.arange(LONGEST) >= reach[at][:, None]] = 0
+            hashes = np.concatenate([own.hashes, np.zeros(width, np.uint64)])
+            window = hashes[at[:, None] + np.arange(width)]
+            window[np.arange(width) >= reach[at][:, None]] = 0
             held.append(window)
             size += len(window)
             if size >= RUN_WORDS:
-                yield from blobs(shard, np.concatenate(held), hot_pairs)
+                yield from blobs(shard, np.concatenate(held))
                 held, size = [], 0
         if held:
-            yield from blobs(shard, np.concatenate(held), hot_pairs)
+            yield from blobs(shard, np.concatenate(held))
 
-    def blobs(shard: int, windows: np.ndarray, hot_pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def blobs(shard: int, windows: np.ndarray) -> Iterator[pa.RecordBatch]:
         own = _Windows(windows, np.ones(len(windows), np.int64))
         windows = own.windows
-        key = chained(windows[:, 0], windows[:, 1])
-        longer = np.isin(key, hot_pairs)
-        key[longer] = chained(key[longer], windows[longer, 2])
+        key = windows[:, 0]
+        for k in range(1, least):
+            key = chained(key, windows[:, k])
         bucket = (key % np.uint64(groups)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
@@ -261,14 +259,14 @@ def _packed(names: np.ndarray, place: np.ndarray, counts: np.ndarray) -> tuple[b
     return names[used[order]].tobytes(), zstandard.compress(planes.tobytes(), 1)
 
 
-def _unpacked(names: bytes, windows: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(names: bytes, windows: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     planes = np.frombuffer(zstandard.decompress(windows), np.uint8).reshape(4, -1)
-    columns = np.ascontiguousarray(planes.T).view("<u4").reshape(LONGEST + 1, -1)
-    return np.frombuffer(names, np.uint64)[columns[:LONGEST].T], columns[LONGEST].astype(np.int64)
+    columns = np.ascontiguousarray(planes.T).view("<u4").reshape(width + 1, -1)
+    return np.frombuffer(names, np.uint64)[columns[:width].T], columns[width].astype(np.int64)
 
 
-def _mined(dealt: DataFrame, support: int, tasks: int) -> DataFrame:
-    """``key`` and ``words`` of the phrases with that support in a shard."""
+def _mined(dealt: DataFrame, support: int, width: int, tasks: int) -> DataFrame:
+    """``key`` and ``words`` of the phrases with that support in a shard: pairs, or all longer ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, size = None, [], 0
@@ -277,7 +275,7 @@ def _mined(dealt: DataFrame, support: int, tasks: int) -> DataFrame:
                 if (shard, bucket) != at:
                     yield from mined(held)
                     at, held, size = (shard, bucket), [], 0
-                held.append(_unpacked(*blob))
+                held.append(_unpacked(*blob, width))
                 size += len(held[-1][1])
                 if size > 2 * GROUP_WINDOWS:
                     whole = merged(held)
@@ -289,7 +287,7 @@ def _mined(dealt: DataFrame, support: int, tasks: int) -> DataFrame:
         return _Windows(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     def mined(held: list) -> Iterator[pa.RecordBatch]:
-        for phrases in merged(held).frequent(support) if held else ():
+        for phrases in merged(held).frequent(support, min(width, 3)) if held else ():
             key = phrases[:, 0]
             for k in range(1, phrases.shape[1]):
                 key = chained(key, phrases[:, k])
@@ -315,7 +313,7 @@ def phrase_counts(source: DataFrame, words: np.ndarray, phrases: np.ndarray, gro
         size = 0
         for part in common.text_slices(batches, "text"):
             own = _Words(part)
-            reach = own.reach(_has(bits, own.hashes))
+            reach = own.reach(bits)
             at = np.flatnonzero(reach > 1)
             key = own.hashes[at]
             for k in range(1, LONGEST):
@@ -379,20 +377,20 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, shards: int = SHAR
     """
     source = _source(docs)
     counted = common.stored(word_counts(docs).where(f"n >= {support} or word is null"), "word-counts")
-    total = counted.where("hash is null").agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
-    hot = counted.where("word is null and hash is not null").where(f"n >= {total / STRIDE * HOT_SHARE}")
-    hot = np.array([r["hash"] for r in hot.select("hash").collect()], np.int64).view(np.uint64)  # 512 at most
-    words = counted.where("word is not null")
-    bits = _filter(words, "hash", WORD_BITS)
+    total = counted.where("word is null").agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    words = _filter(counted.where("word is not null"), "hash", WORD_BITS)
     cores = source.sparkSession.sparkContext.defaultParallelism
     groups = max(-(-total // (shards * GROUP_WINDOWS)), -(-2 * cores // shards), 4)
     tasks = int(min(shards * groups, max(4 * cores, shards * groups // 4)))
-    mined = _mined(_dealt(source, bits, hot, shards, groups), -(-support // shards), tasks)
-    candidates = common.stored(mined, "phrase-candidates")
+    local = -(-support // shards)
+    pairs = common.stored(_mined(_dealt(source, words, None, shards, groups), local, 2, tasks), "phrase-pairs")
+    usable = _filter(pairs, "key", PHRASE_BITS)
+    longer = _mined(_dealt(source, words, usable, shards, groups), local, LONGEST, tasks)
+    candidates = pairs.union(common.stored(longer, "longer-phrases"))
     parts = max(2 * cores, -(-candidates.count() // COUNTED))
-    counts = phrase_counts(source, bits, _filter(candidates, "key", PHRASE_BITS), parts, support)
+    counts = phrase_counts(source, words, _filter(candidates, "key", PHRASE_BITS), parts, support)
     phrases = candidates.join(common.stored(counts, "phrase-counts"), "key")
-    return counted.where("word is not null or hash is null"), common.stored(phrases, "phrases")
+    return counted, common.stored(phrases, "phrases")
 
 
 def collocations(
@@ -406,7 +404,7 @@ def collocations(
     """
     counted, phrases = frequent_phrases(docs, support, shards)
     words = counted.where("word is not null").select("lang", "word", "hash", "n")
-    totals = counted.where("hash is null").select("lang", F.col("n").alias("total"))
+    totals = counted.where("word is null").select("lang", F.col("n").alias("total"))
 
     # a phrase longer by one word with the same count swallows its first part and its rest
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
