@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import keys
+from siftline.functions import severity as sev
 from siftline.operators import catalog as cat
 from siftline.schemas import PATTERNS
 
@@ -17,65 +21,119 @@ PRIORITY_SHARE = 0.3
 TOP = 10
 
 
-def observations(findings: DataFrame) -> DataFrame:
+def observations(findings: DataFrame, *more: str) -> DataFrame:
     """One observation per finding; needs ``language`` and ``ts`` beside the finding."""
     return findings.select(
         "seq",
         keys.pattern_key(F.col("type"), F.col("message")).alias("pattern_key"),
         "language",
         F.col("file").alias("file_path"),
-        "severity", "message", "ts", "stage",
+        "severity", "message", "ts", "stage", *more,
     )
 
 
-def grouped_patterns(obs: DataFrame) -> DataFrame:
-    """Per key: count, first and last sighting, modal language and severity, first messages.
+#: What a row of counts counts: all observations of a key, or those with a language, a severity or a message.
+ALL, LANGUAGE, SEVERITY, MESSAGE = range(4)
+
+
+def review_observations(findings: DataFrame, language: Column, ts: Column) -> DataFrame:
+    """Observations of reviewed files, with their ``place`` in the log.
 
-    One grouped pass counts every (key, language), (key, severity) and (key, message) with
-    its first position; those counts are what is ranked, so a key that holds a large share of
-    the observations is reduced inside each task before anything moves.
+    A review lists a file's findings by severity, then line; the position of a scan counts inside a
+    file, so the place begins with the file. Equal places are equal in all that is counted.
     """
-    counted = obs.groupingSets(
-        [["pattern_key"], ["pattern_key", "language"], ["pattern_key", "severity"],
-         ["pattern_key", "message"]],
-        "pattern_key", "language", "severity", "message",
+    place = F.struct("file", (-sev.rank(F.col("severity"))).alias("rank"), F.col("line_number").alias("line"), "message")
+    noted = findings.withColumn("language", language).withColumn("ts", ts)
+    return observations(noted.withColumn("place", place), "place")
+
+
+def counted(obs: DataFrame, order: str = "seq", by: tuple[str, ...] = ()) -> DataFrame:
+    """Counts of every key (in each group of ``by``) and of its languages, severities and messages.
+
+    Columns ``pattern_key``, ``kind``, ``value``, ``n``, ``first`` (least ``order``), ``first_ts``, ``last_ts``. One
+    grouped pass, so a key that holds a large share of the observations is reduced inside each task
+    before anything moves. Rows of several such tables can be merged by :func:`merged`.
+    """
+    own = [*by, "pattern_key"]
+    rows = obs.groupingSets(
+        [own, [*own, "language"], [*own, "severity"], [*own, "message"]], *own, "language", "severity", "message"
     ).agg(
-        F.grouping_id().alias("g"),
+        F.grouping_id().bitwiseAND(F.lit(0b111)).alias("g"),
         F.count("*").alias("n"),
-        F.min("seq").alias("first_seq"),
+        F.min(order).alias("first"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
     )
-    # grouping_id bits: pattern_key, language, severity, message (1 = rolled up).
-    all_, by_language, by_severity, by_message = 0b0111, 0b0011, 0b0101, 0b0110
+    # grouping_id bits: language, severity, message (1 = rolled up).
     g = F.col("g")
-    # Most frequent first, ties to the earliest; messages simply by first appearance.
-    w = Window.partitionBy("pattern_key", "g").orderBy(
-        F.when(g == by_message, F.lit(0)).otherwise(-F.col("n")), "first_seq"
+    kind = F.when(g == 0b011, LANGUAGE).when(g == 0b101, SEVERITY).when(g == 0b110, MESSAGE).otherwise(ALL)
+    value = F.when(g == 0b011, F.col("language")).when(g == 0b101, F.col("severity")).when(g == 0b110, F.col("message"))
+    return rows.select(*own, kind.alias("kind"), value.alias("value"), "n", "first", "first_ts", "last_ts")
+
+
+def partials(obs: DataFrame, order: str, by: tuple[str, ...]) -> DataFrame:
+    """:func:`counted` with the first messages only: bounded by the languages and severities of a key.
+
+    The first messages over several groups are among the first ones of each, so the partials of any
+    groups can be merged, and a group can be taken away by leaving its rows out.
+    """
+    rows = counted(obs, order, by)
+    w = Window.partitionBy(*by, "pattern_key", "kind").orderBy("first", "value")
+    first = rows.filter(F.col("kind") == MESSAGE).withColumn("rn", F.row_number().over(w))
+    return rows.filter(F.col("kind") != MESSAGE).unionByName(first.filter(F.col("rn") <= EXAMPLES).drop("rn"))
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("pattern_key", "kind", "value").agg(
+        F.sum("n").alias("n"), F.min("first").alias("first"),
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
     )
-    top = counted.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= EXAMPLES)
-    pick = lambda kind, col: F.max(F.when((g == kind) & (F.col("rn") == 1), F.col(col)))
-    message = F.when(g == by_message, F.struct("first_seq", "message"))
+
+
+def finished(counts: DataFrame) -> DataFrame:
+    """Per key: count, first and last sighting, modal language and severity, first messages.
+
+    The most frequent value wins, of equally frequent ones the first seen, then the smaller one.
+    """
+    kind = F.col("kind")
+    w = Window.partitionBy("pattern_key", "kind").orderBy(
+        F.when(kind == MESSAGE, F.lit(0)).otherwise(-F.col("n")), "first", "value"
+    )
+    top = counts.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= EXAMPLES)
+    pick = lambda of, col: F.max(F.when((kind == of) & (F.col("rn") == 1), F.col(col)))
+    message = F.when(kind == MESSAGE, F.struct("first", "value"))
     return top.groupBy("pattern_key").agg(
-        pick(by_language, "language").alias("language"),
-        pick(all_, "n").alias("count"),
-        pick(all_, "first_ts").alias("first_seen"),
-        pick(all_, "last_ts").alias("last_seen"),
-        pick(by_severity, "severity").alias("typical_severity"),
+        pick(LANGUAGE, "value").alias("language"),
+        pick(ALL, "n").alias("count"),
+        pick(ALL, "first_ts").alias("first_seen"),
+        pick(ALL, "last_ts").alias("last_seen"),
+        pick(SEVERITY, "value").alias("typical_severity"),
         # At most EXAMPLES messages reach a group.
-        F.transform(F.array_sort(F.collect_list(message)), lambda s: s["message"]).alias(
-            "example_messages"
-        ),
+        F.transform(F.array_sort(F.collect_list(message)), lambda s: s["value"]).alias("example_messages"),
     )
 
 
+def grouped_patterns(obs: DataFrame, order: str = "seq") -> DataFrame:
+    """The patterns of a log of observations, first seen by the column ``order``."""
+    return finished(counted(obs, order))
+
+
+#: What an update renews.
+RENEWED = ("count", "last_seen", "typical_severity", "example_messages")
+
+
 def upsert(patterns: DataFrame, obs: DataFrame) -> DataFrame:
     """Stored patterns after one consolidation, with ``outcome`` new, updated or kept.
 
     Known keys get count, last sighting, severity and examples of the log; language, first
-    sighting, suggestion and the rule flag stay.
+    sighting, suggestion and the rule flag stay. ``changed`` marks rows that are not as stored.
     """
-    p, n = patterns.alias("p"), grouped_patterns(obs).alias("n")
+    return upsert_fresh(patterns, grouped_patterns(obs))
+
+
+def upsert_fresh(patterns: DataFrame, fresh_patterns: DataFrame) -> DataFrame:
+    """:func:`upsert` with the patterns of the log at hand."""
+    p, n = patterns.alias("p"), fresh_patterns.alias("n")
     joined = p.join(n, F.col("p.pattern_key") == F.col("n.pattern_key"), "full_outer")
     old = F.col("p.pattern_key").isNotNull()
     fresh = F.col("n.pattern_key").isNotNull()
@@ -88,6 +146,7 @@ def upsert(patterns: DataFrame, obs: DataFrame) -> DataFrame:
         F.col("p.suggestion").alias("suggestion"),
         F.coalesce(F.col("p.custom_rule_generated"), F.lit(False)).alias("custom_rule_generated"),
         F.when(old & fresh, "updated").when(old, "kept").otherwise("new").alias("outcome"),
+        (fresh & ~reduce(and_, [F.col(f"p.{c}").eqNullSafe(F.col(f"n.{c}")) for c in RENEWED])).alias("changed"),
     )
 
 
@@ -125,11 +184,14 @@ def hot_patterns(patterns: DataFrame, language: str | None = None, limit: int =
     return first.withColumn("position", F.row_number().over(Window.orderBy(*order)))
 
 
-def project_summary(obs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Totals, all severities, top languages and top keys, as (section, key, n, position)."""
+def project_summary(obs: DataFrame, patterns: DataFrame, order: str = "seq") -> DataFrame:
+    """Totals, all severities, top languages and top keys, as (section, key, n, position).
+
+    Of equally frequent ones the first seen by ``order`` comes first, then the smaller one.
+    """
     counted = obs.groupingSets(
         [["severity"], ["language"], ["pattern_key"], []], "severity", "language", "pattern_key"
-    ).agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+    ).agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.min(order).alias("first_seq"))
     g = F.col("g")
     section = (
         F.when(g == 0b011, "severity").when(g == 0b101, "language")
@@ -139,7 +201,8 @@ def project_summary(obs: DataFrame, patterns: DataFrame) -> DataFrame:
         g == 0b110, F.col("pattern_key")
     ).otherwise(F.lit(""))
     zero = obs.sparkSession.range(1).selectExpr(
-        "'total_observations' AS section", "'' AS key", "0L AS n", "CAST(NULL AS BIGINT) AS first_seq"
+        "'total_observations' AS section", "'' AS key", "0L AS n",
+        f"CAST(NULL AS {obs.schema[order].dataType.simpleString()}) AS first_seq",
     )
     # The total is reported for an empty log too.
     rows = (
@@ -148,7 +211,7 @@ def project_summary(obs: DataFrame, patterns: DataFrame) -> DataFrame:
         .groupBy("section", "key")
         .agg(F.sum("n").alias("n"), F.min("first_seq").alias("first_seq"))
     )
-    w = Window.partitionBy("section").orderBy(F.desc("n"), "first_seq")
+    w = Window.partitionBy("section").orderBy(F.desc("n"), "first_seq", "key")
     top = (
         rows.filter("section != 'severity'")
         .withColumn("position", F.row_number().over(w))

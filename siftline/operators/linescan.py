@@ -301,7 +301,7 @@ def learned(corpus: DataFrame, rules: DataFrame, patterns=(cat.LEARNED_SECRET, c
     """Apply learned expression rules to the files of their languages.
 
     Rules are generated from a fixed set of templates, so each template is searched once as a
-    literal and its hits are joined to the rules on (template, language).
+    literal. The rules of each template and language are one entry of a map, which is looked up per hit.
     """
     needles = {
         cat.LEARNED_SECRET: ("password", "secret", "api_key", "token"),
@@ -311,12 +311,18 @@ def learned(corpus: DataFrame, rules: DataFrame, patterns=(cat.LEARNED_SECRET, c
         corpus.select("path", "content", "language"),
         [(tx.regex(p), needles.get(p, ())) for p in patterns],
     ).withColumn("pattern", F.get(F.array(*[F.lit(p) for p in patterns]), F.col("rule_no")))
-    per_language = rules.filter(F.col("pattern").isNotNull()).select(
-        F.col("id").alias("rule_id"), "severity", "message", "suggestion", "pattern",
-        F.explode("languages").alias("language"),
+    rule = F.struct(F.col("id").alias("rule_id"), "severity", "message", "suggestion")
+    per_language = (
+        rules.filter(F.col("pattern").isNotNull())
+        .select("pattern", F.explode("languages").alias("language"), rule.alias("rule"))
+        .groupBy("pattern", "language").agg(F.sort_array(F.collect_list("rule")).alias("rules"))
     )
+    # One entry for each template and language: a constant of the plan, so that hits are not shuffled.
+    entry = F.struct(F.struct("pattern", "language").alias("key"), F.col("rules").alias("value"))
+    table = per_language.agg(F.map_from_entries(F.collect_list(entry))).scalar()
+    found = F.try_element_at(table, F.struct("pattern", "language"))
     return as_findings(
-        hits.join(per_language, ["pattern", "language"]).select(
+        hits.withColumn("rule", F.explode(found)).select("*", "rule.*").select(
             "file", F.col("line_no").alias("line_number"), "severity",
             F.regexp_extract("rule_id", "^learned_([^:]*):", 1).alias("type"),
             "message", "suggestion", "rule_id",

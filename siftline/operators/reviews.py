@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import keys
@@ -198,6 +198,51 @@ def lookup_fresh(requests: DataFrame, entries: DataFrame, now: str, ttl_seconds:
     return requests.join(hits, "key", "left").withColumn("hit", F.col("ts").isNotNull())
 
 
+#: Parts into which a time to live is cut; what a key holds in one part is ordered by one task.
+TTL_PARTS = 16
+
+
+def lookup_as_of(requests: DataFrame, entries: DataFrame, ttl_seconds: int = 3600, parts: int = TTL_PARTS) -> DataFrame:
+    """Requests with the latest entry of their key up to their own ``ts``, if it has not expired by then.
+
+    ``entries`` has ``key, ts, data``; of several at one instant the largest ``data`` counts, and an entry of
+    the request's own instant is found. An entry is strictly expired when older than ``ttl_seconds``. A null
+    key or time finds nothing. Adds ``data``, ``stored_ts`` and ``hit``.
+
+    Time is cut into parts of a fraction of the time to live. Inside a part a window carries the last
+    entry on; what is carried in is the last entry of the parts before it within reach, taken from one
+    row per key and part. So a key with a large share of the rows is spread over the parts it is busy in.
+    """
+    width = max(1, ttl_seconds * 1_000_000 // parts)
+    time = F.unix_micros(F.col("ts").cast("timestamp"))
+    own = [F.col(c).alias(f"r_{c}") for c in requests.columns]
+    kind = entries.schema["data"].dataType
+    none = F.lit(None).cast(kind)
+    asked = requests.select(
+        "key", time.alias("t"), F.lit(1).alias("turn"), none.alias("data"), F.struct(*own).alias("request")
+    )
+    stored = entries.where("key is not null and ts is not null").select(
+        "key", time.alias("t"), F.lit(0).alias("turn"), "data", F.lit(None).cast(asked.schema["request"].dataType)
+    )
+    rows = asked.union(stored).withColumn("part", F.floor(F.col("t") / F.lit(width)))
+    entry = F.when(F.col("turn") == 0, F.struct("t", "data"))
+    # One row per key and part: what it leaves to those after it.
+    left = rows.where("key is not null and t is not null").groupBy("key", "part").agg(F.max(entry).alias("last"))
+    before = Window.partitionBy("key").orderBy("part").rangeBetween(-(parts + 1), -1)
+    carried = left.select("key", "part", F.max("last").over(before).alias("carried"))
+    so_far = Window.partitionBy("key", "part").orderBy("t", "turn", "data").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("seen", F.last(entry, ignorenulls=True).over(so_far)).where("turn = 1")
+    found = found.join(carried, ["key", "part"], "left").withColumn("e", F.coalesce("seen", "carried"))
+    hit = F.coalesce(F.col("t") - F.col("e.t") <= ttl_seconds * 1_000_000, F.lit(False)) & F.col("key").isNotNull()
+    out = found.withColumn("hit", hit)
+    return out.select(
+        *(F.col(f"request.r_{c}").alias(c) for c in requests.columns),
+        F.when(F.col("hit"), F.col("e.data")).alias("data"),
+        F.when(F.col("hit"), F.timestamp_micros("e.t")).alias("stored_ts"),
+        "hit",
+    )
+
+
 def store_stats(entries: DataFrame, now: str, ttl_seconds: int = 3600) -> DataFrame:
     """Bytes stored and expired entries of a store with one row per entry."""
     age = F.timestamp_diff("MICROSECOND", F.col("ts"), F.expr(f"TIMESTAMP_NTZ'{now}'"))

@@ -31,7 +31,7 @@ corpus_sql = lambda body: with_(v.DUCK_CORPUS, body)
 files_sql = lambda body: with_(v.DUCK_FILES, body)
 findings_sql = lambda body: with_(v.DUCK_FINDINGS, body)
 observations_sql = lambda body: with_(v.DUCK_OBSERVATIONS, body)
-learning_sql = lambda body: with_(v.DUCK_LEARNING, body)
+learning_sql = lambda body: with_(v.DUCK_KNOWN, body)
 responses_sql = lambda body: with_(v.DUCK_RESPONSES, body)
 
 WS = "(" + " || ".join(f"chr({ord(c)})" for c in tx.WHITESPACE) + ")"

@@ -572,7 +572,7 @@ rules AS (
 @query(
     "r_learned",
     with_(
-        v.DUCK_CORPUS + "," + v.DUCK_LEARNING + "," + _RULES_SQL + ","
+        v.DUCK_CORPUS + "," + v.DUCK_KNOWN + "," + _RULES_SQL + ","
         + _content_sql([re_sql(cat.LEARNED_SECRET), re_sql(cat.LEARNED_EXCEPT)]),
         """
 SELECT m.file, m.line_number, r.severity, split_part(r.pattern_key, ':', 1) AS type, r.message, r.id AS rule_id, m.code_snippet
@@ -580,7 +580,7 @@ FROM matches m JOIN rules r ON r.pattern_no = m.rule_no AND r.language = m.langu
     ),
 )
 def r_learned(spark, sf):
-    rules = learning.rules(v.stored_patterns(spark, sf))
+    rules = learning.rules(v.known_patterns(spark, sf))
     return linescan.learned(v.corpus(spark, sf), rules).select(
         "file", "line_number", "severity", "type", "message", "rule_id", "code_snippet"
     )

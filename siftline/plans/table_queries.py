@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +26,9 @@ from siftline.plans.scan_queries import (
     _OWASP, _RULES_SQL, _SCANS, _SHOW_PATTERN, _UPSERT_SQL, _rules_sql, _scans, _show,
 )
 from siftline.schemas import STAGES
+from siftline.session import checkpoint_dir
 from siftline.sources import exports
+from siftline.sources.store import LearningStore
 from siftline.streaming import jobs
 
 bigint = lambda c: c.cast("bigint")
@@ -352,31 +357,50 @@ CACHE_NOW, CACHE_TTL = "2024-01-30 00:00:00", 2 * 86400
 
 
 def _cache_entries(spark, sf) -> DataFrame:
-    events = v.table(spark, sf, "events").filter("event_type = 'purchase'")
-    return events.select(
+    return v.table(spark, sf, "events").select(
         F.concat(F.lit("k"), F.col("user_id")).alias("key"), "ts", F.col("props").alias("data"), "event_id"
     )
 
 
-_ENTRIES = "entries AS (SELECT 'k' || user_id AS key, ts, props AS data FROM events WHERE event_type = 'purchase')"
+_ENTRIES = "entries AS (SELECT 'k' || user_id AS key, ts, props AS data FROM events)"
 
 
 @query(
     "j_ttl",
     with_(_ENTRIES, f"""
 SELECT r.event_id, r.key, e.data, e.key IS NOT NULL AS hit
-FROM (SELECT event_id, 'k' || user_id AS key FROM events WHERE event_type = 'view') r
+FROM (SELECT event_id, 'k' || user_id AS key FROM events) r
 LEFT JOIN (SELECT key, arg_max(data, (ts, data)) AS data FROM entries GROUP BY key
   HAVING epoch_us(TIMESTAMP '{CACHE_NOW}') - epoch_us(max(ts)) <= {CACHE_TTL}000000) e ON e.key = r.key"""),
 )
 def j_ttl(spark, sf):
-    requests = v.table(spark, sf, "events").filter("event_type = 'view'").select(
-        "event_id", F.concat(F.lit("k"), F.col("user_id")).alias("key")
-    )
-    found = reviews.lookup_fresh(requests, _cache_entries(spark, sf), CACHE_NOW, CACHE_TTL)
+    entries = _cache_entries(spark, sf)
+    found = reviews.lookup_fresh(entries.select("event_id", "key"), entries.drop("event_id"), CACHE_NOW, CACHE_TTL)
     return found.select("event_id", "key", "data", "hit")
 
 
+#: An event's entry is stored so many seconds after its request.
+_ANSWER_SECONDS = 600
+
+
+@query(
+    "j_ttl_asof",
+    f"""
+WITH requests AS (SELECT event_id, 'k' || user_id AS key, epoch_us(ts) AS t FROM events),
+entries AS (SELECT key, t + {_ANSWER_SECONDS}000000 AS t, max(event_id) AS entry_id FROM requests GROUP BY ALL)
+SELECT r.event_id, r.key, CASE WHEN r.t - e.t <= {CACHE_TTL}000000 THEN e.entry_id END AS entry_id,
+  coalesce(r.t - e.t <= {CACHE_TTL}000000, false) AS hit
+FROM requests r ASOF LEFT JOIN entries e ON r.key = e.key AND r.t >= e.t""",
+)
+def j_ttl_asof(spark, sf):
+    """Every event looks up what was stored for its key up to its own time, and is stored a little later."""
+    events = _cache_entries(spark, sf)
+    later = F.col("ts") + F.make_dt_interval(secs=F.lit(_ANSWER_SECONDS))
+    entries = events.select("key", later.alias("ts"), F.col("event_id").alias("data"))
+    found = reviews.lookup_as_of(events.select("event_id", "key", "ts"), entries, CACHE_TTL)
+    return found.select("event_id", "key", F.col("data").alias("entry_id"), "hit")
+
+
 @query(
     "j_filelang",
     corpus_sql(f"""
@@ -788,7 +812,7 @@ SELECT pattern_key, "count", CAST(row_number() OVER (ORDER BY "count" DESC, firs
 FROM patterns WHERE language = 'python' QUALIFY position <= 10"""),
 )
 def l_hot(spark, sf):
-    return learning.hot_patterns(v.stored_patterns(spark, sf), "python").select("pattern_key", "count", "position")
+    return learning.hot_patterns(v.known_patterns(spark, sf), "python").select("pattern_key", "count", "position")
 
 
 @query(
@@ -803,7 +827,7 @@ UNION ALL SELECT 'total_observations', '', count(*), 1 FROM observations
 UNION ALL SELECT 'unique_patterns', '', count(*), 1 FROM patterns""").replace("FROM old_base)\n,", "FROM old_base),"),
 )
 def l_projsum(spark, sf):
-    return learning.project_summary(v.observations(spark, sf), v.stored_patterns(spark, sf))
+    return learning.project_summary(v.observations(spark, sf), v.known_patterns(spark, sf))
 
 
 _PRIO_TYPES = ["security", "bug", "style", "bugs"]
@@ -818,28 +842,28 @@ SELECT language, t.type, CAST(sum("count") AS BIGINT) AS total,
 FROM patterns, (VALUES {', '.join(f"('{t}')" for t in _PRIO_TYPES)}) t(type) GROUP BY ALL"""),
 )
 def l_prio(spark, sf):
-    return learning.priorities(v.stored_patterns(spark, sf), _PRIO_TYPES)
+    return learning.priorities(v.known_patterns(spark, sf), _PRIO_TYPES)
 
 
 @query(
     "l_rules",
-    with_(v.DUCK_LEARNING + "," + _RULES_SQL, f"""
+    with_(v.DUCK_KNOWN + "," + _RULES_SQL, f"""
 SELECT id, type, severity, message, suggestion, CASE pattern_no WHEN 0 THEN {text_sql(cat.LEARNED_SECRET)}
   WHEN 1 THEN {text_sql(cat.LEARNED_EXCEPT)} END AS pattern, language AS languages FROM rules"""),
 )
 def l_rules(spark, sf):
-    rules = learning.rules(v.stored_patterns(spark, sf))
+    rules = learning.rules(v.known_patterns(spark, sf))
     return rules.withColumn("languages", F.array_join("languages", ",")).drop("pattern_key")
 
 
 @query(
     "l_flagged",
-    with_(v.DUCK_LEARNING + "," + _RULES_SQL, """
+    with_(v.DUCK_KNOWN + "," + _RULES_SQL, """
 SELECT p.pattern_key, p.custom_rule_generated OR r.id IS NOT NULL AS custom_rule_generated
 FROM patterns p LEFT JOIN rules r USING (pattern_key)"""),
 )
 def l_flagged(spark, sf):
-    patterns = v.stored_patterns(spark, sf)
+    patterns = v.known_patterns(spark, sf)
     return learning.flag_generated(patterns, learning.rules(patterns)).select("pattern_key", "custom_rule_generated")
 
 
@@ -1070,6 +1094,11 @@ def _found_sql(names: list[str], where: str, stage: str, branch: int) -> str:
     return f"SELECT *, '{stage}' AS stage, {branch} AS branch FROM ({parts}) WHERE {where}"
 
 
+def _reviewed(spark, sf) -> DataFrame:
+    answers = v.responses(spark, sf).withColumn("stage", F.lit("bugs"))
+    return plans.review(v.corpus(spark, sf), reviews.parse_responses(answers))
+
+
 @query(
     "review",
     f"""
@@ -1083,6 +1112,52 @@ QUALIFY row_number() OVER (PARTITION BY file, line_number, message ORDER BY {ran
 )
 def review(spark, sf):
     """The whole review: static checks, model answers, bug pack, merged and deduplicated."""
-    answers = v.responses(spark, sf).withColumn("stage", F.lit("bugs"))
-    found = plans.review(v.corpus(spark, sf), reviews.parse_responses(answers))
+    found = _reviewed(spark, sf)
     return found.select("file", "line_number", "severity", "type", "message", "stage")
+
+
+# A review feeds the observation log: a file's findings by severity, then line. Files are recorded on the
+# days of their ids.
+_FILE_ID = "CAST(regexp_extract({0}, '([0-9]+)[.][a-z]+$', 1) AS BIGINT)"
+_REVIEW_DAYS = 40
+_REVIEW_LOG = f"""
+reviewed AS ({ORACLE["review"]}),
+findings AS (
+  SELECT file, severity, type, message, stage, {v.DUCK_LANGUAGE.format('file')} AS language,
+    TIMESTAMP '2024-01-05 00:00:00' + to_seconds({_FILE_ID.format('file')} * 7919 % {_REVIEW_DAYS * 86400}) AS ts,
+    row_number() OVER (ORDER BY file, {rank_sql('severity')} DESC, line_number, message) AS seq
+  FROM reviewed),
+observations AS ({v.DUCK_OBSERVATIONS[v.DUCK_OBSERVATIONS.index("observations AS (") + len("observations AS ("):]}"""
+
+
+def _review_log(spark, sf) -> DataFrame:
+    seconds = F.expr(f"CAST({_FILE_ID.format('file')} * 7919 % {_REVIEW_DAYS * 86400} AS INT)")
+    ts = F.lit(dt.datetime(2024, 1, 5)) + F.make_dt_interval(secs=seconds)
+    return learning.review_observations(_reviewed(spark, sf), pt.language(F.col("file")), ts)
+
+
+@query(
+    "l_consol_review",
+    with_(_REVIEW_LOG + "," + v.duck_consolidated("fresh", "observations"), f"SELECT {_SHOW_PATTERN} FROM fresh"),
+)
+def l_consol_review(spark, sf):
+    """The findings of a whole review, recorded and consolidated."""
+    return _show(learning.grouped_patterns(_review_log(spark, sf), "place"))
+
+
+@query(
+    "t_obs_store",
+    with_(_REVIEW_LOG + f", live AS (SELECT * FROM observations WHERE {_KEEP}),"
+          + v.duck_consolidated("fresh", "live"), f"SELECT {_SHOW_PATTERN} FROM fresh"),
+)
+def t_obs_store(spark, sf):
+    """The findings of a review streamed into the learning store in three batches, with retention."""
+    base = f"{checkpoint_dir(spark)}/observed-{uuid.uuid4().hex}"
+    log = _review_log(spark, sf)
+    log.withColumn("part", F.pmod(F.xxhash64("file_path"), F.lit(3))).write.partitionBy("part").parquet(f"{base}/log")
+    store = LearningStore(spark, f"{base}/store", order="place")
+    for part in range(3):
+        spark.read.schema(log.schema).parquet(f"{base}/log/part={part}").write.mode("append").parquet(f"{base}/arriving")
+        arriving = spark.readStream.schema(log.schema).parquet(f"{base}/arriving")
+        jobs.observed(arriving, store, v.NOW, f"{base}/checkpoint")
+    return _show(store.log_patterns())

@@ -194,6 +194,15 @@ def record_into(store: LearningStore, now: Callable[[DataFrame], str]):
     return handle
 
 
+def observed(stream: DataFrame, store: LearningStore, now: str, checkpoint: str) -> None:
+    """Take what has arrived into the store: log, counts of the days it touches, patterns, retention."""
+    query = (
+        stream.writeStream.foreachBatch(record_into(store, lambda batch: now))
+        .trigger(availableNow=True).option("checkpointLocation", checkpoint).start()
+    )
+    query.awaitTermination()
+
+
 def run_to_end(
     stream: DataFrame, schema: StructType | None = None, mode: str = "append", base: str | None = None
 ) -> DataFrame:
