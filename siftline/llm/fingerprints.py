@@ -15,8 +15,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from siftline.llm import common
 from siftline.llm.links import components
@@ -233,11 +234,27 @@ def near_names(prints: DataFrame, near: float = NEAR) -> DataFrame:
             columns = [pa.array(nodes, pa.int64()), pa.array(found, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "key"])
 
-    def met(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The classes that share a key, and the pairs of each key's smallest class with the others."""
-        firsts = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
-        rows = common.stored(keyed.join(common.stored(firsts, "firsts"), "key"), "near-bands")
-        return rows, rows.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    def met(keyed: DataFrame) -> DataFrame:
+        """The classes that share a key, with its smallest class and its size; the keys are dealt once."""
+        same = Window.partitionBy("key")
+        sized = keyed.withColumn("first", F.min("node").over(same)).withColumn("n", F.count("*").over(same))
+        return common.stored(sized.where("n > 1"), "near-bands")
+
+    def to_first(rows: DataFrame) -> DataFrame:
+        """The links of the classes with the smallest classes of their keys.
+
+        A class is held against one of them, the smallest of all, and then against those that are still of
+        another component: in a crowd of near copies, one pair for a class and not one for each band.
+        """
+        rows = rows.where("node <> first")
+        one = rows.groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a")).select("a", "b")
+        links = verified(one)
+        named = components(links)
+        theirs = named.select(F.col("node").alias("first"), F.col("component").alias("first_component"))
+        rest = rows.select("first", "node").distinct().join(named, "node", "left").join(theirs, "first", "left")
+        open_ = F.coalesce("component", "node") != F.coalesce("first_component", "first")
+        rest = rest.where(open_).select(F.col("first").alias("a"), F.col("node").alias("b"))
+        return links.union(verified(rest.join(one, ["a", "b"], "left_anti")))
 
     def apart(rows: DataFrame, found: DataFrame) -> DataFrame:
         """The rows of keys whose classes are of several components and not all held against the first yet."""
@@ -257,14 +274,14 @@ def near_names(prints: DataFrame, near: float = NEAR) -> DataFrame:
 
     prints = prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("id"))
     classes = common.stored(prints.select(F.xxhash64("fingerprint").alias("node"), "fingerprint", "id"), "classes")
-    rows, pairs = met(classes.select("node", "fingerprint").mapInArrow(keys, "node long, key long"))
-    links = verified(pairs)
+    rows = met(classes.select("node", "fingerprint").mapInArrow(keys, "node long, key long"))
+    links = to_first(rows)
     left = common.stored(apart(rows, components(links)), "near-apart")
     links = links.union(verified(across(left.where(F.col("n") <= HOT_BAND))))
     hot = left.where(F.col("n") > HOT_BAND).select("node", "key").join(classes.select("node", "fingerprint"), "node")
     hot = hot.select("node", "key", "fingerprint").mapInArrow(second_keys, "node long, key long").distinct()
-    rows, pairs = met(hot)
-    links = links.union(verified(pairs))
+    rows = met(hot)
+    links = links.union(to_first(rows))
     links = links.union(verified(across(apart(rows, components(links)))))
     named = classes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("id").alias("near_id"))
@@ -349,7 +366,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    part_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    part_type = to_arrow_type(docs.schema["doc_id"].dataType)
     dealt = rows.repartitionByRange(max(1, len(used)), "range").sortWithinPartitions(
         "range", "guest", F.desc_nulls_last("doc_id"), "tie"
     )
