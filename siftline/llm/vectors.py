@@ -285,10 +285,10 @@ def _components(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rows, columns = np.arange(links.shape[0]), links.shape[0] + np.arange(links.shape[1])
     none = sum(links.shape)
     while True:
-        before = rows
+        before = rows, columns
         rows = np.minimum(rows, np.where(links, columns[None], none).min(axis=1, initial=none))
         columns = np.minimum(columns, np.where(links, rows[:, None], none).min(axis=0, initial=none))
-        if (rows == before).all():
+        if (rows == before[0]).all() and (columns == before[1]).all():
             return rows, columns
 
 
