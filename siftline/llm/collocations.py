@@ -82,8 +82,9 @@ class _Words:
         out, more = usable.astype(np.int8), follows.copy()
         for k in range(1, LONGEST):
             out += more
-            more[: len(more) - k] &= follows[k:]
-            more[max(0, len(more) - k) :] = False
+            left = max(0, len(more) - k)
+            more[:left] &= follows[k:]
+            more[left:] = False
         return out
 
 
@@ -331,7 +332,7 @@ def phrase_counts(source: DataFrame, words: np.ndarray, phrases: np.ndarray, gro
                 if size > COUNTED:
                     yield dealt(merged, n)
                     keys, counts, size = [], [], 0
-        if keys:
+        if size:
             yield dealt(*_summed(keys, counts))
 
     def dealt(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:

@@ -478,3 +478,25 @@ def test_held_out_accuracy(spark):
         rows = operator(docs, labels).join(labels, "doc_id").where("held_out").collect()
         right = sum(r["predicted"] == r[label] for r in rows) / len(rows)
         assert right >= 0.93, (label, right)
+
+
+@pytest.mark.parametrize("sign", list("!|$+(@0-._* "))
+def test_runs_of_signs_take_linear_time(sign):
+    decoder = toxicity.Decoder(np.ones((64, 64, 64)))
+    for end in ("", " ", "\n"):
+        assert decoder.restored(sign * 200_000 + end) == sign * 200_000 + end
+
+
+@pytest.mark.parametrize("marks", [[], [0] * 30, [1] * 30])
+def test_labels_of_one_kind_reject_nothing(spark, docs, marks):
+    labels = spark.createDataFrame([(i, 1, m) for i, m in enumerate(marks)], "doc_id long, quality int, toxic int")
+    assert toxicity.kept(docs, labels).count() == docs.count()
+    assert {r["predicted"] for r in toxicity.toxicity(docs, labels).collect()} == {0}
+
+
+def test_fingerprints_take_ids_of_any_type(docs):
+    want = {r["fingerprint"] for r in fingerprints.neighbours(docs).collect()}
+    for kind in ("smallint", "decimal(20,0)", "string"):
+        found = fingerprints.neighbours(docs.withColumn("doc_id", F.col("doc_id").cast(kind)))
+        assert found.schema["doc_id"].dataType.simpleString() == kind
+        assert {r["fingerprint"] for r in found.collect()} == want
