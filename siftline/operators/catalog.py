@@ -71,8 +71,6 @@ CWE_CVES = {
     "CWE-798": ("Hardcoded Credentials", ("CVE-2020-5217", "CVE-2019-18874")),
 }
 
-_QUOTED = r"""["'][^"']+["']"""
-
 # Line checks. Pattern checks are (pattern, description, needles).
 SQL_CHECKS = (
     (r"""execute\s*\(\s*f["'].*\{.*\}""", "f-string in execute", ("execute",)),
@@ -80,10 +78,10 @@ SQL_CHECKS = (
     (r"""execute\s*\(\s*["'].*\+.*["'].*\)""", "String concatenation in execute", ("execute",)),
 )
 SECRET_CHECKS = (
-    (r"password\s*=\s*" + _QUOTED, "Hardcoded password", ("password",)),
-    (r"api[_-]?key\s*=\s*" + _QUOTED, "Hardcoded API key", ("api",)),
-    (r"secret\s*=\s*" + _QUOTED, "Hardcoded secret", ("secret",)),
-    (r"token\s*=\s*" + _QUOTED, "Hardcoded token", ("token",)),
+    (r"""password\s*=\s*["'][^"']+["']""", "Hardcoded password", ("password",)),
+    (r"""api[_-]?key\s*=\s*["'][^"']+["']""", "Hardcoded API key", ("api",)),
+    (r"""secret\s*=\s*["'][^"']+["']""", "Hardcoded secret", ("secret",)),
+    (r"""token\s*=\s*["'][^"']+["']""", "Hardcoded token", ("token",)),
     (r"aws[_-]?access[_-]?key", "AWS access key", ("aws",)),
     (r"private[_-]?key\s*=", "Private key", ("private",)),
 )
@@ -96,11 +94,11 @@ TRAVERSALS = ("../", "..\\", "/etc/passwd", "C:\\")
 
 # Sensitive-assignment patterns by kind.
 SENSITIVE_CHECKS = (
-    ("password", r"password\s*=\s*" + _QUOTED, ("password",)),
-    ("api_key", r"api[_-]?key\s*=\s*" + _QUOTED, ("api",)),
-    ("secret", r"secret\s*=\s*" + _QUOTED, ("secret",)),
-    ("token", r"token\s*=\s*" + _QUOTED, ("token",)),
-    ("private_key", r"private[_-]?key\s*=\s*" + _QUOTED, ("private",)),
+    ("password", r"""password\s*=\s*["'][^"']+["']""", ("password",)),
+    ("api_key", r"""api[_-]?key\s*=\s*["'][^"']+["']""", ("api",)),
+    ("secret", r"""secret\s*=\s*["'][^"']+["']""", ("secret",)),
+    ("token", r"""token\s*=\s*["'][^"']+["']""", ("token",)),
+    ("private_key", r"""private[_-]?key\s*=\s*["'][^"']+["']""", ("private",)),
     ("aws_key", r"aws[_-]?(access[_-]?key|secret)[_-]?id\s*=", ("aws",)),
 )
 
@@ -109,8 +107,8 @@ SECRET_KINDS = (
     ("API Key", r"[a-zA-Z0-9]{32,}"),
     ("AWS Key", r"AKIA[0-9A-Z]{16}"),
     ("Private Key", r"-----BEGIN [A-Z ]+ PRIVATE KEY-----"),
-    ("Password", r"password\s*=\s*" + _QUOTED),
-    ("Token", r"token\s*=\s*" + _QUOTED),
+    ("Password", r"""password\s*=\s*["'][^"']+["']"""),
+    ("Token", r"""token\s*=\s*["'][^"']+["']"""),
 )
 
 # Vulnerability categories searched over whole contents.
@@ -130,13 +128,13 @@ CATEGORIES = (
         "hardcoded_secrets", "CWE-798", "A02:2021 - Cryptographic Failures", "high",
         "Use environment variables or a secrets manager",
         (
-            (r"password\s*=\s*" + _QUOTED, ("password",)),
-            (r"secret\s*=\s*" + _QUOTED, ("secret",)),
-            (r"api[_-]?key\s*=\s*" + _QUOTED, ("api",)),
-            (r"token\s*=\s*" + _QUOTED, ("token",)),
-            (r"private[_-]?key\s*=\s*" + _QUOTED, ("private",)),
-            (r"aws[_-]?access[_-]?key[_-]?id\s*=\s*" + _QUOTED, ("aws",)),
-            (r"aws[_-]?secret[_-]?access[_-]?key\s*=\s*" + _QUOTED, ("aws",)),
+            (r"""password\s*=\s*["'][^"']+["']""", ("password",)),
+            (r"""secret\s*=\s*["'][^"']+["']""", ("secret",)),
+            (r"""api[_-]?key\s*=\s*["'][^"']+["']""", ("api",)),
+            (r"""token\s*=\s*["'][^"']+["']""", ("token",)),
+            (r"""private[_-]?key\s*=\s*["'][^"']+["']""", ("private",)),
+            (r"""aws[_-]?access[_-]?key[_-]?id\s*=\s*["'][^"']+["']""", ("aws",)),
+            (r"""aws[_-]?secret[_-]?access[_-]?key\s*=\s*["'][^"']+["']""", ("aws",)),
         ),
     ),
     Category(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from typing import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.operators.ranking import union_all
@@ -60,25 +60,42 @@ def column_rules(rules: list[Callable[[Column, Column], Column]]) -> Scanner:
     return scan
 
 
+_ARROW = pa.schema([(name, kind) for name, (_, kind) in _RULE_FIELDS.items()])
+_SCHEMA = ", ".join(f"{name} {kind}" for name, (kind, _) in _RULE_FIELDS.items())
+
+
+def _hits(rules: list[Callable[[str, str], dict | None]], batch: pa.RecordBatch) -> pa.RecordBatch:
+    paths, contents = (batch.column(c).to_pylist() for c in ("path", "content"))
+    rows = []
+    for path, content in zip(paths, contents):
+        for n, rule in enumerate(rules):
+            hit = rule(content, path)
+            if hit:
+                rows.append({"file": path, "rule_no": n, **hit})
+    return pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+
+
 def python_rules(rules: list[Callable[[str, str], dict | None]]) -> Scanner:
     """A scanner of Python rules: (content, path) to a dict or nothing; Arrow batches."""
 
-    arrow = pa.schema([(name, kind) for name, (_, kind) in _RULE_FIELDS.items()])
-
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            paths, contents = (batch.column(c).to_pylist() for c in ("path", "content"))
-            rows = []
-            for path, content in zip(paths, contents):
-                for n, rule in enumerate(rules):
-                    hit = rule(content, path)
-                    if hit:
-                        rows.append({"file": path, "rule_no": n, **hit})
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+        return (_hits(rules, batch) for batch in it)
 
     def scan(corpus: DataFrame) -> DataFrame:
-        schema = ", ".join(f"{name} {kind}" for name, (kind, _) in _RULE_FIELDS.items())
-        hits = corpus.select("path", "content").mapInArrow(batches, schema)
+        hits = corpus.select("path", "content").mapInArrow(batches, _SCHEMA)
         return as_findings(hits.withColumn("seq", F.col("rule_no").cast("bigint")))
 
     return scan
+
+
+def register_rules(spark: SparkSession, name: str, rules: list[Callable[[str, str], dict | None]]) -> None:
+    """Python rules as a table function: ``SELECT * FROM name(TABLE(SELECT path, content FROM …))``.
+
+    The table is not moved: every task passes its own Arrow batches to the rules.
+    """
+
+    class Rules:
+        def eval(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            yield _hits(rules, batch)
+
+    spark.udtf.register(name, F.arrow_udtf(Rules, returnType=_SCHEMA))

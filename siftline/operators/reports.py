@@ -54,6 +54,23 @@ def write_markdown(findings: DataFrame, path: str, files_per_write: int | None =
     ranged.sortWithinPartitions(*order).select("text").write.mode("overwrite").text(path)
 
 
+#: Blocks of a report that make one text.
+CHUNK_BLOCKS = 10_000
+
+
+def markdown_texts(findings: DataFrame, blocks: int = CHUNK_BLOCKS) -> DataFrame:
+    """``file, chunk, text``: the report of a file in one text, or in several where it has many findings.
+
+    All blocks are placed in one order and every ``blocks`` places make a chunk, so no text holds more of
+    them. Chunk numbers rise by one within a file; they do not begin at zero.
+    """
+    order = [F.col("file"), F.col("section"), F.desc("severity_rank"), F.col("line_number"), F.col("seq"), F.col("text")]
+    placed = ranking.with_position(markdown(findings), order)
+    chunk = F.floor((F.col("position") - 1) / F.lit(blocks)).cast("bigint").alias("chunk")
+    whole = F.expr("listagg(text, '') WITHIN GROUP (ORDER BY position)").alias("text")
+    return placed.groupBy("file", chunk).agg(whole)
+
+
 def text_summary(corpus: DataFrame, findings: DataFrame) -> DataFrame:
     """``part, ord, text``: file and line totals, four severity lines, one line per type."""
     totals = corpus.agg(F.count("*").alias("f"), F.coalesce(F.sum(loc(F.col("content"))), F.lit(0)).alias("l"))

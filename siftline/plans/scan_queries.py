@@ -20,7 +20,7 @@ from siftline.plans.registry import (
 )
 from siftline.session import checkpoint_dir
 from siftline.sources import corpus as src
-from siftline.sources import exports
+from siftline.sources import exports, tree
 from siftline.sources.store import LearningStore
 
 # Sources and sinks ---------------------------------------------------------------------
@@ -32,9 +32,20 @@ _SCANNABLE = (
 )
 
 
-@query("s_files", files_sql(f"SELECT path, size FROM files WHERE {_SCANNABLE}"))
+def _folder(spark, name: str) -> str:
+    """A new folder for what a query writes and reads back."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s_files", files_sql(f"""
+SELECT path, size, md5(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS digest,
+  CAST(NULL AS VARCHAR) AS error FROM files WHERE {_SCANNABLE}"""))
 def s_files(spark, sf):
-    return src.scannable(v.files(spark, sf)).select("path", "size")
+    """Files of a tree that the query writes: excluded folders and other extensions stay out."""
+    root = _folder(spark, "tree")
+    tree.write_files(v.files(spark, sf), root)
+    path = src.relative(F.col("path"), tree.qualified(spark, root))
+    return src.read_files(spark, root).select(path.alias("path"), "size", F.md5("content").alias("digest"), "error")
 
 
 @query("s_limit", files_sql(f"SELECT path, size FROM files WHERE {_SCANNABLE} ORDER BY path LIMIT 50"))
@@ -61,8 +72,10 @@ SELECT p AS pattern, count(*) AS n FROM (SELECT {strip_sql('line')} AS p FROM li
 WHERE p <> '' AND p NOT LIKE '#%' GROUP BY p"""),
 )
 def s_ignore(spark, sf):
-    lines = linescan.numbered_lines(v.corpus(spark, sf))
-    return src.ignore_patterns(lines, "line").groupBy("pattern").agg(F.count("*").alias("n"))
+    """Patterns of an ignore file that holds the lines of the corpus."""
+    path = _folder(spark, "ignore")
+    linescan.numbered_lines(v.corpus(spark, sf)).select("line").write.text(path)
+    return src.read_ignore_file(spark, path).groupBy("pattern").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -72,7 +85,11 @@ SELECT CAST(to_json({'type': type, 'severity': severity, 'message': message, 'fi
   'line_number': line_number, 'suggestion': suggestion, 'stage': stage}) AS VARCHAR) AS "value" FROM findings"""),
 )
 def s_jsonout(spark, sf):
-    return exports.json_records(v.findings(spark, sf))
+    """Records of a run that is written twice, read back."""
+    path = _folder(spark, "json")
+    for _ in range(2):
+        exports.write_json(v.findings(spark, sf), path, "r1")
+    return exports.json_records(exports.read_json(spark, path))
 
 
 @query(
@@ -82,7 +99,11 @@ SELECT severity AS "Severity", type AS "Type", file AS "File", line_number AS "L
        message AS "Message", suggestion AS "Suggestion" FROM findings"""),
 )
 def s_csvout(spark, sf):
-    return exports.csv_rows(v.findings(spark, sf))
+    """Rows of a run that is written twice, read back."""
+    path = _folder(spark, "csv")
+    for _ in range(2):
+        exports.write_csv(v.findings(spark, sf), path, "r1")
+    return exports.read_csv(spark, path).drop("run")
 
 
 def _scans(spark, sf):
@@ -107,7 +128,12 @@ scan_log AS (SELECT scan_id, (epoch_us(end_ts) - epoch_us(start_ts)) / 1e6 AS du
 
 @query("s_scanlog", with_(_SCANS, "SELECT scan_id, round(duration, 6) AS duration, issues, ts_us FROM scan_log"))
 def s_scanlog(spark, sf):
-    return exports.scan_log(_scans(spark, sf)).select(
+    """The log of two runs, odd and even users; the second run is written twice."""
+    path, scans = _folder(spark, "log"), _scans(spark, sf)
+    for odd in (0, 1, 1):
+        mine = scans.filter(F.substring_index("scan_id", ":", 1).cast("bigint") % 2 == odd)
+        exports.append_scan_log(mine, path, f"r{odd}")
+    return spark.read.parquet(path).select(
         "scan_id", F.round("duration", 6).alias("duration"), "issues", micros("ts").alias("ts_us")
     )
 
@@ -141,7 +167,7 @@ def _show(patterns: DataFrame, *extra: str) -> DataFrame:
 @query("s_store", with_(v.DUCK_LEARNING + "," + _UPSERT_SQL, f"SELECT {_SHOW_PATTERN} FROM upserted"))
 def s_store(spark, sf):
     """Two rounds of record and consolidate through the stored tables."""
-    store = LearningStore(spark, f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}")
+    store = LearningStore(spark, _folder(spark, "store"))
     obs = v.observations(spark, sf)
     middle = "TIMESTAMP_NTZ'2024-01-16 00:00:00'"
     store.record(obs.filter(f"ts < {middle}"))

@@ -769,6 +769,29 @@ def x_rules(spark, sf):
     return scan(_normal_corpus(spark, sf)).select("file", "message", "line_number", "seq")
 
 
+def _windows_text(content: str, path: str) -> dict | None:
+    n = content.count("\\")
+    return {"severity": "info", "type": "portability", "message": f"{n} backslashes"} if n else None
+
+
+@query(
+    "x_rules_sql",
+    corpus_sql("""
+, counted AS (SELECT path, len(string_split(content, chr(10))) AS n, len(string_split(content, chr(92))) - 1 AS b FROM corpus)
+SELECT rule_no, severity, type, count(*) AS findings, CAST(sum(line_number) AS BIGINT) AS line_sum, min(message) AS least FROM (
+  SELECT 0 AS rule_no, 'low' AS severity, 'style' AS type, n || ' lines' AS message, n AS line_number FROM counted WHERE n > 40
+  UNION ALL SELECT 1, 'info', 'portability', b || ' backslashes', NULL FROM counted WHERE b > 0) GROUP BY 1, 2, 3"""),
+)
+def x_rules_sql(spark, sf):
+    """Python rules called from SQL over the whole corpus."""
+    plugins.register_rules(spark, "corpus_rules", [_too_many_lines, _windows_text])
+    return spark.sql(
+        """SELECT rule_no, severity, type, count(*) AS findings, sum(line_number) AS line_sum, min(message) AS least
+        FROM corpus_rules(TABLE(SELECT path, content FROM {corpus})) GROUP BY rule_no, severity, type""",
+        corpus=_normal_corpus(spark, sf),
+    )
+
+
 # Learning ------------------------------------------------------------------------------
 
 
@@ -983,6 +1006,26 @@ def o_md(spark, sf):
     return reports.markdown(v.findings(spark, sf))
 
 
+@query(
+    "o_md_files",
+    findings_sql(f"""
+, md AS (SELECT file, 0 AS section, 0 AS severity_rank, 0 AS line_number, CAST(0 AS BIGINT) AS seq,
+  '# Review' || chr(10) || '**Path:** `' || file || '`' || chr(10) || '**Total:** ' || count(*) || ' issues' || chr(10) ||
+  '**Codex bugs:** ' || count(*) FILTER (WHERE stage = 'codex-bug') || chr(10) AS text
+FROM findings GROUP BY file
+UNION ALL SELECT file, 1, {rank_sql('severity')}, line_number, seq, '### ' || {_MARK} || ' ' || upper(severity) || ': ' || type || chr(10) ||
+  '- **File:** `' || file || '` (line ' || line_number || ')' || chr(10) || '- **Message:** ' || message || chr(10) ||
+  coalesce('- **Fix:** ' || suggestion || chr(10), '') || coalesce('- **Stage:** ' || stage || chr(10), '') FROM findings),
+placed AS (SELECT *, row_number() OVER (ORDER BY file, section, severity_rank DESC, line_number, seq, text) AS p FROM md)
+SELECT file, (p - 1) // 100 AS chunk, string_agg(text, '' ORDER BY p) AS text FROM placed GROUP BY 1, 2"""),
+)
+def o_md_files(spark, sf):
+    """The text of every file's report, written as a run and read back."""
+    path = f"{checkpoint_dir(spark)}/reports-{uuid.uuid4().hex}"
+    exports.write_texts(reports.markdown_texts(v.findings(spark, sf), 100), path, "r1")
+    return spark.read.parquet(path).select("file", "chunk", "text")
+
+
 @query(
     "o_text",
     with_(v.DUCK_FILES + ", " + v.DUCK_FINDINGS, f"""

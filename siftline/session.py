@@ -1,4 +1,4 @@
-"""Session helpers: checkpoint folder and input spreading."""
+"""Session helpers: checkpoint folder."""
 
 from __future__ import annotations
 
@@ -33,13 +33,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash the rows over all cores when the input has fewer splits than cores.
-
-    Scanning is CPU-bound, so a single large split would idle the rest. Inputs that already
-    have enough splits are left alone and are not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

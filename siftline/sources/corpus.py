@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions import paths as pt
 from siftline.functions.text import normalise_newlines, strip
+from siftline.sources import tree
 
 FILE_LIMIT = 50
 MAX_FILE_BYTES = 1048576
@@ -14,35 +17,25 @@ MAX_FILE_BYTES = 1048576
 
 def relative(path, root: str):
     """Path below the scanned root, without scheme and root prefix."""
-    plain = F.regexp_replace(path, r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*/", "/")
-    prefix = root.rstrip("/") + "/"
+    scheme = r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*/"
+    plain, prefix = F.regexp_replace(path, scheme, "/"), re.sub(scheme, "/", root).rstrip("/") + "/"
     return F.when(F.startswith(plain, F.lit(prefix)), F.substring(plain, F.lit(len(prefix) + 1), F.length(plain))).otherwise(plain)
 
 
 def read_files(spark: SparkSession, root: str, errors: str = "strict", max_bytes: int | None = None) -> DataFrame:
     """``path, content, size, mtime, language, error`` of the supported files below ``root``.
 
-    Names are matched during listing, and folders and sizes before any content is read: a file in
-    an excluded folder is never opened. A file that is not UTF-8 (``strict``; with ``ignore`` it is
-    repaired) and one of ``max_bytes`` or more stays as a row with null content and its ``error``.
-    The file source lists no empty files; they would have no lines and no findings.
+    Names, folders and sizes are matched in the listing, before any content is read: an excluded folder
+    is never opened. Empty files and names with a leading underscore or dot are read like others. A file
+    that is not UTF-8 (``strict``; with ``ignore`` it is repaired) and one of ``max_bytes`` or more stays
+    as a row with null content and its ``error``; so does one that no row can hold.
     """
-    glob = "*.{" + ",".join(e[1:] for e in pt.LANGUAGE_BY_EXTENSION) + "}"
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .load(root)
+    listed = tree.list_files(spark, root).filter(pt.is_scannable(F.col("name")))
+    limit = tree.MOST_BYTES if max_bytes is None else min(max_bytes, tree.MOST_BYTES)
+    about = ["name", "size", "mtime"]
+    large = listed.filter(F.col("size") >= limit).select(
+        F.lit(None).cast("string").alias("content"), *about, F.lit("too large").alias("error")
     )
-    listed = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    files = raw.filter(pt.is_scannable(relative(listed, root)))
-    about = [F.col("length").alias("size"), F.col("modificationTime").alias("mtime")]
-    large = None
-    if max_bytes is not None:
-        size = F.col("_metadata.file_size")
-        unread = F.lit(None).cast("string").alias("content")
-        large = files.filter(size >= max_bytes).select("path", unread, *about, F.lit("too large").alias("error"))
-        files = files.filter(size < max_bytes)
     text = F.col("content").cast("string")
     valid = F.is_valid_utf8(text)
     if errors == "strict":
@@ -51,10 +44,12 @@ def read_files(spark: SparkSession, root: str, errors: str = "strict", max_bytes
         # Invalid bytes are dropped, as an ignoring decoder does.
         repaired = F.replace(F.make_valid_utf8(text), F.lit("�"), F.lit(""))
         found, error = F.when(valid, text).otherwise(repaired), F.lit(None).cast("string")
-    read = files.select("path", found.alias("content"), *about, error.alias("error"))
-    rows = read if large is None else read.unionByName(large)
-    return rows.withColumn("content", normalise_newlines(F.col("content"))).withColumn(
-        "language", pt.language(F.col("path"))
+    small = tree.read_contents(listed.filter(F.col("size") < limit), root)
+    rows = small.select(found.alias("content"), *about, error.alias("error")).unionByName(large)
+    path = F.concat(F.lit(tree.qualified(spark, root) + "/"), F.col("name"))
+    return rows.select(
+        path.alias("path"), normalise_newlines(F.col("content")).alias("content"), "size", "mtime",
+        pt.language(F.col("name")).alias("language"), "error",
     )
 
 

@@ -211,6 +211,11 @@ def test_reports(findings, corpus, tmp_path):
         "### 🟠 HIGH: security\n- **File:** `d/a.py` (line 5)\n- **Message:** Hardcoded secret\n"
         "- **Fix:** Use a vault\n- **Stage:** static\n"
     )
+    for blocks, chunks in ((100, 1), (5, 3)):
+        parts = reports.markdown_texts(df, blocks)
+        of_a = parts.filter("file = 'd/a.py'").orderBy("chunk").collect()
+        assert "".join(r.text for r in of_a) == "".join(texts)
+        assert parts.count() >= chunks and all(r.text.count("### ") <= blocks for r in parts.collect())
     comment = [r.text for r in reports.comment_lines(df).orderBy("ord", "position").collect()]
     assert comment[:4] == ["### 🟠 HIGH (1)", "- **a.py:5** - Hardcoded secret", "### 🟡 MEDIUM (1)", "- **a.py:10** - Name"]
     assert comment[-1] == "- ... and 2 more" and len(comment) == 16
@@ -255,3 +260,14 @@ def test_the_earlier_stage_keeps_an_equal_finding(spark):
     for order in (both, both[::-1]):
         kept = ranking.keep_most_severe(spark.createDataFrame(order, columns))
         assert rows(kept, "stage", "type") == [("bugs", "y")]
+
+
+def test_a_long_report_comes_in_ordered_chunks(spark):
+    df = spark.range(25_000).selectExpr(
+        "if(id % 50 = 0, 'b.py', 'a.py') AS file", "CAST(id % 9 AS INT) AS line_number", "'low' AS severity", "'t' AS type",
+        "CAST(id AS STRING) AS message", "CAST(NULL AS STRING) AS suggestion", "CAST(NULL AS STRING) AS stage", "id AS seq",
+    )
+    got = reports.markdown_texts(df, 1000).filter("file = 'a.py'").orderBy("chunk").collect()
+    assert [r.chunk for r in got] == list(range(len(got))) and len(got) == 25
+    messages = [int(l.split("** ")[1]) for r in got for l in r.text.split("\n") if l.startswith("- **Message")]
+    assert messages == sorted((i for i in range(25_000) if i % 50), key=lambda i: (i % 9, i))

@@ -35,3 +35,12 @@ def test_python_rules_yield_at_most_one_finding_per_file(corpus):
     ]
     found = plugins.python_rules(rules)(corpus("abc", "b", "ba"))
     assert rows(found, "file", "seq", "message") == [("f0.py", 0, "3"), ("f1.py", 1, "f1.py"), ("f2.py", 0, "2"), ("f2.py", 1, "f2.py")]
+
+
+def test_rules_are_called_from_sql(spark, corpus):
+    rules = [lambda content, path: {"message": path, "severity": "low"} if "a" in content else None]
+    plugins.register_rules(spark, "letters", rules)
+    found = spark.sql("SELECT * FROM letters(TABLE(SELECT path, content FROM {c}))", c=corpus("abc", "b", "ba"))
+    assert rows(found, "file", "rule_no", "message") == [("f0.py", 0, "f0.py"), ("f2.py", 0, "f2.py")]
+    none = spark.sql("SELECT * FROM letters(TABLE(SELECT path, content FROM {c} WHERE path = ''))", c=corpus("abc"))
+    assert none.count() == 0
