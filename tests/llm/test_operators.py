@@ -78,6 +78,49 @@ def test_shards(docs, nothing):
     assert sharding.document_shards(nothing, 16).count() == 0
 
 
+def _one_by_one(sizes, machines: int) -> list[list[int]]:
+    """The sizes on each machine, when every job goes to the least-loaded one, largest first."""
+    taken = [[] for _ in range(machines)]
+    for size in sorted(sizes, reverse=True):
+        taken[min(range(machines), key=lambda m: (sum(taken[m]), m))].append(size)
+    return taken
+
+
+def test_jobs_of_one_size_are_dealt_as_one_by_one():
+    rng = random.Random(12)
+    for trial in range(300):
+        machines = rng.randrange(1, 9)
+        classes = {rng.randrange(1, rng.choice([4, 30, 3000])): rng.randrange(1, rng.choice([3, 60])) for _ in range(rng.randrange(7))}
+        if trial % 3 == 0:
+            classes[50_000] = 1
+        want = _one_by_one([s for s, n in classes.items() for _ in range(n)], machines)
+        got = [[] for _ in range(machines)]
+        for size, taken in sharding.classes_first(classes.items(), machines):
+            assert sum(taken.values()) == classes[size]
+            for m, n in taken.items():
+                got[m] += [size] * n
+        assert got == want, (classes, machines)
+    assert dict(sharding.classes_first([(0, 5)], 3)) == {0: {0: 5}}
+    assert dict(sharding.classes_first([(3, 10**12)], 4)) == {3: {m: 10**12 // 4 for m in range(4)}}
+
+
+def test_shards_follow_the_schedule_of_all_groups(spark):
+    rng = random.Random(13)
+    texts = ["x" * rng.randrange(40) + str(rng.randrange(60)) for _ in range(900)] + ["the hot one"] * 500 + [None] * 3
+    docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, shard string").repartition(7)
+    rows = sharding.document_shards(docs, 5).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    groups = Counter()
+    for t in texts:
+        groups[t] += len(t or "") + 1
+    got = [Counter() for _ in range(5)]
+    for r in rows:
+        got[r.shard][texts[r.doc_id]] += r.size
+    assert [sorted(g.values(), reverse=True) for g in got] == _one_by_one(groups.values(), 5)
+    for shard in range(5):
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
+
+
 def test_bpe_equals_the_library(docs, nothing):
     library = Tokenizer.from_file(VOCABULARY)
     want = []
