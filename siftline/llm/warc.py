@@ -9,6 +9,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,22 +23,44 @@ FIELDS_V2 = (
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 ARCHIVE_DATE = "20240101000000"
 
+#: An archive takes no more records once it holds this many unpacked bytes, with so many for each ARC header.
+ARCHIVE_BYTES, RECORD_BYTES = 64 << 20, 512
 _CHUNK = 1 << 20
 _PARSED = "file string, offset long, page_id {kind}, record_id string, payload_bytes long, payload_digest string"
 
 
-def _first_row() -> Column:
-    """Whether the row is the first of its partition, which becomes one archive file."""
-    return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+def _write(records: Column, rows: DataFrame, path: str) -> None:
+    """Records as archive files: each ends with the line feed that the text writer adds.
+
+    A task writes its rows in the order of ``archive`` and ``n``, a file for each archive.
+    """
+    record = rows.select("archive", "n", records.cast("string").alias("value")).sortWithinPartitions("archive", "n")
+    record.drop("n").write.partitionBy("archive").option("compression", "gzip").text(path)
 
 
-def _write(records: Column, rows: DataFrame, path: str) -> None:
-    """Records as archive files: each ends with the line feed that the text writer adds."""
-    rows.select(records.cast("string").alias("value")).write.option("compression", "gzip").text(path)
+def _rolled(rows: DataFrame, column: str, limit: int) -> DataFrame:
+    """The rows with ``archive`` and ``n``: archive of the task, a new one once ``limit`` bytes are in, and place there."""
+    schema = pa.schema([("archive", pa.int32()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive, n, held = 0, 0, 0
+        for batch in batches:
+            archives, places = [], []
+            for size in pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist():
+                if held >= limit:
+                    archive, n, held = archive + 1, 0, 0
+                archives.append(archive)
+                places.append(n)
+                n, held = n + 1, held + size + RECORD_BYTES
+            added = [pa.array(archives, schema.field(0).type), pa.array(places, schema.field(1).type)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *schema.names])
 
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{kinds}, archive int, n long")
 
-def write_arc(pages: DataFrame, path: str, page_id: str, url: str, html: str) -> None:
-    """ARC archives of the pages, a file per partition, versions 1 and 2 in turn.
+
+def write_arc(pages: DataFrame, path: str, page_id: str, url: str, html: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """ARC archives of the pages, versions 1 and 2 in turn by task, a new file after ``archive_bytes`` bytes.
 
     The body is an HTTP response with the page id in a header. White space in a URL is escaped, a
     null or empty URL becomes ``unknown:``, a null body is empty, a null id has no header.
@@ -52,7 +75,7 @@ def write_arc(pages: DataFrame, path: str, page_id: str, url: str, html: str) ->
     )
     length = F.octet_length(http) + F.octet_length(body)
     v2 = F.spark_partition_id() % 2 == 1
-    name = F.format_string("siftline-%05d.arc", F.spark_partition_id())
+    name = F.format_string("siftline-%05d-%05d.arc", F.spark_partition_id(), F.col("archive"))
     about = F.concat(
         F.when(v2, f"2 0 siftline\n{FIELDS_V2}\n").otherwise(f"1 0 siftline\n{FIELDS_V1}\n")
     )
@@ -71,9 +94,9 @@ def write_arc(pages: DataFrame, path: str, page_id: str, url: str, html: str) ->
         length.cast("string"),
         F.lit("\n"),
     )
-    head = F.concat(F.when(_first_row(), filedesc).otherwise(""), line, http)
+    head = F.concat(F.when(F.col("n") == 0, filedesc).otherwise(""), line, http)
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    _write(F.concat(head.cast("binary"), body), rows, path)
+    _write(F.concat(head.cast("binary"), body), _rolled(rows, "html", archive_bytes), path)
 
 
 class _Stream:
@@ -146,18 +169,20 @@ def arc_records(packed: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
+    """The archives with their names: the files of a task differ in the folder of their archive only."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.substring_index("path", "/", -1).alias("file"), "content")
+    return files.select(F.substring_index("path", "/", -2).alias("file"), "content")
 
 
 def _parsed(name: str, packed: bytes) -> Iterator[tuple]:
     """Offset, id, fields, HTTP head, payload and page id (as text) of each record of an ARC file.
 
-    Ids are name-based: the file and the offset of a record decide them, so a task that runs again
+    A record that is no HTTP message (a name lookup, say) is payload as a whole. Ids are name-based: the file and the offset of a record decide them, so a task that runs again
     makes the same.
     """
     for fields, block, offset in arc_records(packed):
-        head, sep, body = block.partition(b"\r\n\r\n")
+        http = block.startswith(b"HTTP/")
+        head, sep, body = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
         record_id = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{name}#{offset}"))
         yield offset, record_id, fields, head + sep, body, _headers(head).get("x-page-id")
 
@@ -212,47 +237,65 @@ def _warc(fields: list[tuple[str, str]], *block: bytes) -> bytes:
     return b"".join((head.encode(), *block, b"\r\n\r"))
 
 
-def convert(spark: SparkSession, arc: str, decisions: DataFrame, path: str) -> None:
-    """The ARC archives below ``arc`` as WARC archives below ``path``, a file for each task.
+def convert(
+    spark: SparkSession, arc: str, decisions: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES
+) -> None:
+    """The ARC archives below ``arc`` as WARC archives below ``path``, a new file after ``archive_bytes`` bytes.
 
     ``decisions`` has a row for each record that revisits another: ``file`` and ``offset`` of the
-    record, ``refers_id`` and ``refers_to``. The decisions of a file travel to its archive, so no
-    payload is shuffled unpacked. A revisit keeps the HTTP head and leaves out the payload.
+    record, ``refers_id`` and ``refers_to``. They are stored first, so that Spark knows their size: small
+    ones are broadcast and no archive moves, others meet the packed archives by name. A revisit keeps
+    the HTTP head and leaves out the payload. What is no HTTP message becomes a resource of its type.
     """
     per_file = decisions.groupBy("file").agg(F.collect_list(F.struct("offset", "refers_id", "refers_to")).alias("known"))
+    per_file = common.stored(per_file, "revisits")
     files = _files(spark, arc).join(per_file, "file", "left").select("file", "content", "known")
 
-    def records(name: str, packed: bytes, known: dict) -> Iterator[tuple[bytes]]:
+    def about(name: str, offset: int) -> bytes:
         info = b"software: siftline\r\nformat: WARC File Format 1.0\r\n"
-        stamp = str(uuid.uuid5(uuid.NAMESPACE_URL, name))
-        about = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{stamp}>"), ("WARC-Date", _date(ARCHIVE_DATE))]
-        yield (_warc([*about, ("Content-Type", "application/warc-fields")], info),)
+        stamp = str(uuid.uuid5(uuid.NAMESPACE_URL, f"warcinfo {name}#{offset}"))
+        fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{stamp}>"), ("WARC-Date", _date(ARCHIVE_DATE))]
+        return _warc([*fields, ("Content-Type", "application/warc-fields")], info)
+
+    def records(name: str, packed: bytes, known: dict) -> Iterator[tuple[int, bytes]]:
         for offset, record_id, arc_fields, head, body, _ in _parsed(name, packed):
-            other = known.get(offset)
+            other = known.get(offset) if head else None
+            kind = "application/http; msgtype=response" if head else arc_fields["Content-type"]
             fields = [
-                ("WARC-Type", "revisit" if other else "response"),
+                ("WARC-Type", "revisit" if other else "response" if head else "resource"),
                 ("WARC-Record-ID", f"<urn:uuid:{record_id}>"),
                 ("WARC-Date", _date(arc_fields["Archive-date"])),
                 ("WARC-Target-URI", arc_fields["URL"]),
-                ("Content-Type", "application/http; msgtype=response"),
+                ("Content-Type", kind),
                 ("WARC-Payload-Digest", f"sha1:{_base32(body)}"),
             ]
             if other:
                 fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:uuid:{other['refers_id']}>")]
                 if other["refers_to"] is not None:
                     fields.append(("X-Refers-To-Page-Id", str(other["refers_to"])))
-                yield (_warc(fields, head),)
+                yield offset, _warc(fields, head)
             else:
-                yield (_warc([*fields, ("WARC-Block-Digest", f"sha1:{_base32(head + body)}")], head, body),)
+                yield offset, _warc([*fields, ("WARC-Block-Digest", f"sha1:{_base32(head + body)}")], head, body)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+        archive, n, held = -1, 0, archive_bytes
         for batch in batches:
             for i in range(batch.num_rows):
                 known = {d["offset"]: d for d in batch.column("known")[i].as_py() or ()}
-                made = records(batch.column("file")[i].as_py(), batch.column("content")[i].as_py(), known)
-                yield from _batches(made, ["record"], "record binary")
+                name = batch.column("file")[i].as_py()
+                for offset, record in records(name, batch.column("content")[i].as_py(), known):
+                    if held >= archive_bytes:
+                        archive, n, held = archive + 1, 1, 0
+                        yield archive, 0, about(name, offset)
+                    yield archive, n, record
+                    n, held = n + 1, held + len(record)
+
+    schema = "archive int, n long, record binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(placed(batches), ["archive", "n", "record"], schema)
 
-    _write(F.col("record"), files.mapInArrow(run, "record binary"), path)
+    _write(F.col("record"), files.mapInArrow(run, schema), path)
 
 
 def _date(stamp: str) -> str:
@@ -286,9 +329,10 @@ def read_warc(spark: SparkSession, path: str, page_id_type: str) -> DataFrame:
         for fields, block in warc_records(packed):
             if fields["warc-type"] == "warcinfo":
                 continue
-            head, _, body = block.partition(b"\r\n\r\n")
+            resource = fields["warc-type"] == "resource"
+            head, _, body = (b"", b"", block) if resource else block.partition(b"\r\n\r\n")
             http, digest = _headers(head), fields["warc-payload-digest"].removeprefix("sha1:")
-            whole = fields["warc-type"] == "response"
+            whole = resource or fields["warc-type"] == "response"
             if whole and _base32(body) != digest:
                 raise ValueError(f"payload of {fields['warc-record-id']} doesn't match its digest")
             yield (
@@ -308,7 +352,9 @@ def read_warc(spark: SparkSession, path: str, page_id_type: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
 
 
-def archive_round_trip(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) -> DataFrame:
+def archive_round_trip(
+    pages: DataFrame, folder: str | None = None, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES
+) -> DataFrame:
     """Pages written as ARC, converted to WARC with revisits, and read back from the WARC files.
 
     Of records with equal payloads of at least ``min_bytes`` bytes the one with the smallest page id
@@ -319,7 +365,7 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None, min_bytes: i
     spark = pages.sparkSession
     folder = folder or common.shared_folder(spark, "warc")
     kind = pages.schema["page_id"].dataType.simpleString()
-    write_arc(pages, f"{folder}/arc", "page_id", "url", "html")
+    write_arc(pages, f"{folder}/arc", "page_id", "url", "html", archive_bytes)
     slim = read_arc(spark, f"{folder}/arc", kind).where(F.col("payload_bytes") >= min_bytes)
     first = (
         slim.groupBy("payload_digest")
@@ -328,7 +374,7 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None, min_bytes: i
         .select("payload_digest", F.col("f.record_id").alias("refers_id"), F.col("f.page_id").alias("refers_to"))
     )
     decisions = slim.select("file", "offset", "record_id", "payload_digest").join(first, "payload_digest")
-    convert(spark, f"{folder}/arc", decisions.where("record_id <> refers_id"), f"{folder}/warc")
+    convert(spark, f"{folder}/arc", decisions.where("record_id <> refers_id"), f"{folder}/warc", archive_bytes)
     return read_warc(spark, f"{folder}/warc", kind).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )

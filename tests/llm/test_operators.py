@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import itertools
 import random
@@ -195,6 +196,43 @@ def test_archive_round_trip(spark, tmp_path):
         assert all(r.refers_to is None for r in same if r.record_type == "response")
     small = warc.archive_round_trip(pages, f"file://{tmp_path}/v", min_bytes=10).collect()
     assert all(r.record_type == "response" for r in small if r.payload_bytes < 10)
+    assert warc.archive_round_trip(pages.limit(0), f"file://{tmp_path}/n").count() == 0
+
+
+def test_archives_end_at_their_size(spark, tmp_path):
+    bodies = ["y" * 3000 + str(i % 40) for i in range(120)] + ["z" * 50_000, None, ""]
+    rows = [(i, f"http://a/{i}", b) for i, b in enumerate(bodies)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    whole = warc.archive_round_trip(pages, f"file://{tmp_path}/one")
+    cut = warc.archive_round_trip(pages, f"file://{tmp_path}/many", archive_bytes=20_000)
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect()))
+    for kind, records in (("arc", warc.arc_records), ("warc", warc.warc_records)):
+        assert len(list(tmp_path.glob(f"one/{kind}/*/*.gz"))) <= 2
+        files = list(tmp_path.glob(f"many/{kind}/*/*.gz"))
+        assert len(files) > 10
+        for f in files:
+            sizes = [len(r[1]) for r in records(f.read_bytes())]
+            assert sum(sizes[:-1]) < 21_000
+
+
+def test_foreign_records_are_converted(spark, tmp_path):
+    record = lambda url, kind, body: f"{url} 1.2.3.4 19990102030405 {kind} {len(body)}\n".encode() + body + b"\n"
+    about = b"1 0 x\nURL IP-address Archive-date Content-type Archive-length\n"
+    packed = record("filedesc://x.arc", "text/plain", about) + record("dns:a.b", "text/dns", b"1999\r\n\r\na.b A 1.2.3.4")
+    packed += record("http://a/b c", "text/html", b"HTTP/1.0 200 OK\r\n\r\nhi") + record("ftp://a", "text/plain", b"")
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "x.arc.gz").write_bytes(gzip.compress(packed))
+    none = spark.createDataFrame([], "file string, offset long, refers_id string, refers_to long")
+    warc.convert(spark, f"file://{tmp_path}/arc", none, f"file://{tmp_path}/warc")
+    (made,) = tmp_path.glob("warc/*/*.gz")
+    got = [(f["warc-type"], f.get("warc-target-uri"), f["content-type"], f["warc-date"], b) for f, b in warc.warc_records(made.read_bytes())]
+    assert [g[:3] for g in got] == [
+        ("warcinfo", None, "application/warc-fields"), ("resource", "dns:a.b", "text/dns"),
+        ("response", "http://a/b c", "application/http; msgtype=response"), ("resource", "ftp://a", "text/plain"),
+    ]
+    assert {g[3] for g in got[1:]} == {"1999-01-02T03:04:05Z"} and got[1][4] == b"1999\r\n\r\na.b A 1.2.3.4"
+    back = warc.read_warc(spark, f"file://{tmp_path}/warc", "long").collect()
+    assert [(r.payload_bytes, r.record_type) for r in back] == [(len(got[1][4]), "resource"), (2, "response"), (0, "resource")]
 
 
 def test_rule_counts_equal_brute_force(docs, labels, nothing):
