@@ -10,6 +10,7 @@ that doubles with the text's, so that the finer sample holds the coarser one.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -168,6 +169,26 @@ def _size_classes(near: float) -> list[tuple[int, int]]:
     return [(m, _most_unlike(m, near) + 2) for m in largest]
 
 
+def _of_level(keys: np.ndarray, level: int) -> np.ndarray:
+    """Keys whose lowest bit says whether their level is odd."""
+    return (keys & ~np.uint64(1) | np.uint64(level & 1)).view(np.int64)
+
+
+def sketch(fingerprint: str, above: int = 0) -> list[int]:
+    """Two bits of each sample, ``above`` levels over the fingerprint's, as four longs, and the number of samples.
+
+    The first two longs hold the lowest bits and the last two the next ones, so that samples with a bit that
+    differs are counted by words; they are no more than the samples that differ.
+    """
+    level, samples = _samples(fingerprint)
+    for _ in range(above):
+        level, samples = coarser(level, samples)
+    cells = np.zeros(2 * SAMPLES, np.uint8)
+    cells[: len(samples)] = samples
+    words = [np.packbits(cells >> k & 1).view(np.int64) for k in (0, 1)]
+    return [*np.concatenate(words).tolist(), len(samples)]
+
+
 def bands(fingerprint: str, near: float = NEAR) -> list[np.ndarray]:
     """Keys of the bands, an array for each level and class of sizes in which a near partner may be.
 
@@ -187,7 +208,7 @@ def bands(fingerprint: str, near: float = NEAR) -> list[np.ndarray]:
                 cells[:n] += (samples.astype(np.uint64) + np.uint64(1)) << np.uint64(8)
                 sums = common.mixed(cells + np.uint64(1)).reshape(-1, count).sum(axis=0, dtype=np.uint64)
                 place = np.arange(count, dtype=np.uint64) + np.uint64(lv << 16 | most << 8)
-                found.append(common.mixed(sums + common.mixed(place)).view(np.int64))
+                found.append(_of_level(common.mixed(sums + common.mixed(place)), lv))
     return found
 
 
@@ -225,15 +246,31 @@ def near_names(prints: DataFrame, near: float = NEAR) -> DataFrame:
     def second_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, found = [], []
-            rows = (batch.column(c).to_pylist() for c in ("node", "key", "fingerprint"))
-            for node, key, fingerprint in zip(*rows, strict=True):
-                own = next(own for own in bands(fingerprint, near) if key in own)
-                other = own[own != key].view(np.uint64)
-                found += common.mixed(other + own[own == key].view(np.uint64)[0]).view(np.int64).tolist()
-                nodes += [node] * len(other)
+            rows = (batch.column(c).to_pylist() for c in ("node", "open", "fingerprint"))
+            for node, open_, fingerprint in zip(*rows, strict=True):
+                hot = {r["key"]: r["hot"] for r in open_}
+                for own in bands(fingerprint, near):
+                    mine = [key for key in own.tolist() if key in hot]
+                    two = [p for p in itertools.combinations(mine, 2) if hot[p[0]] or hot[p[1]]]
+                    if two:
+                        sums = np.array(two, np.int64).view(np.uint64).sum(axis=1, dtype=np.uint64)
+                        found += _of_level(common.mixed(sums), two[0][0] & 1).tolist()
+                        nodes += [node] * len(two)
             columns = [pa.array(nodes, pa.int64()), pa.array(found, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "key"])
 
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column("fingerprint").to_pylist(), batch.column("own").to_pylist(), strict=True)
+            found = [sketch(f, 0 if own else 1) for f, own in rows]
+            columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(5)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), batch.column("own"), *columns], names=["node", "own", *sketched]
+            )
+
+    def own_level(node: str):  # whether a key is of its class's own level and not of the next
+        return F.expr(f"({node} ^ key) & 1 = 0")
+
     def met(keyed: DataFrame) -> DataFrame:
         """The classes that share a key, with its smallest class and its size; the keys are dealt once."""
         same = Window.partitionBy("key")
@@ -246,7 +283,7 @@ def near_names(prints: DataFrame, near: float = NEAR) -> DataFrame:
         A class is held against one of them, the smallest of all, and then against those that are still of
         another component: in a crowd of near copies, one pair for a class and not one for each band.
         """
-        rows = rows.where("node <> first")
+        rows = rows.where(own_level("first") | own_level("node")).where("node <> first")
         one = rows.groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a")).select("a", "b")
         links = verified(one)
         named = components(links)
@@ -264,25 +301,47 @@ def near_names(prints: DataFrame, near: float = NEAR) -> DataFrame:
         open_keys = parts.where("parts > 1").select("key", F.col("most.component").alias("main"))
         return rows.where("n > 2").join(common.stored(open_keys, "open-keys"), "key")
 
-    def across(rows: DataFrame) -> DataFrame:
-        """The pairs of a key in different components; those of the first class are verified already."""
-        rows = rows.where("node <> first")
-        x = rows.where("component <> main").select("key", F.col("node").alias("x"), F.col("component").alias("cx"))
-        y = rows.select("key", "main", F.col("node").alias("y"), F.col("component").alias("cy"))
-        pairs = x.join(y, "key").where("cx <> cy and (cy = main or x < y)")
-        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    sketched = ("low0", "low1", "high0", "high1", "cells")
+
+    def across(rows: DataFrame, keys_met: int) -> DataFrame:
+        """The pairs of a key in different components that may be near; those of the first class are verified already.
+
+        Near pairs meet in ``keys_met`` keys, of the own level of one of them. Rows carry two bits of each sample
+        into the join, which gives out a pair only if no more samples differ by these bits than near ones may.
+        """
+        rows = rows.where("node <> first").withColumn("own", own_level("node")).select("key", "node", "component", "main", "own")
+        ends = rows.select("node", "own").distinct().join(classes.select("node", "fingerprint"), "node")
+        kinds = ", ".join(f"{c} long" for c in sketched)
+        ends = common.stored(ends.mapInArrow(sketches, f"node long, own boolean, {kinds}"), "sketches")
+        rows = rows.join(ends, ["node", "own"])
+        x, y = (
+            rows.select("key", "main", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "own", *sketched)))
+            for side in "xy"
+        )
+        differ = " + ".join(f"bit_count((low{i}_x ^ low{i}_y) | (high{i}_x ^ high{i}_y))" for i in (0, 1))
+        pairs = x.where("component_x <> main").join(y.drop("main"), "key").where(
+            "component_x <> component_y and (component_y = main or node_x < node_y) and (own_x or own_y) "
+            f"and {differ} <= {1 - near + 1e-9} * greatest(cells_x, cells_y)"
+        )
+        pairs = pairs.groupBy(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+        return pairs.agg(F.count("*").alias("met")).where(F.col("met") >= keys_met).select("a", "b")
 
     prints = prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("id"))
-    classes = common.stored(prints.select(F.xxhash64("fingerprint").alias("node"), "fingerprint", "id"), "classes")
+    # Small numbers are short in shuffles; stored, they stay. Their lowest bit is that of the level.
+    level = F.substring("fingerprint", 1, 2).cast("long")
+    node = F.monotonically_increasing_id() * 2 + level % 2
+    classes = common.stored(prints.select(node.alias("node"), "fingerprint", "id"), "classes")
     rows = met(classes.select("node", "fingerprint").mapInArrow(keys, "node long, key long"))
     links = to_first(rows)
     left = common.stored(apart(rows, components(links)), "near-apart")
-    links = links.union(verified(across(left.where(F.col("n") <= HOT_BAND))))
-    hot = left.where(F.col("n") > HOT_BAND).select("node", "key").join(classes.select("node", "fingerprint"), "node")
-    hot = hot.select("node", "key", "fingerprint").mapInArrow(second_keys, "node long, key long").distinct()
-    rows = met(hot)
+    links = links.union(verified(across(left.where(F.col("n") <= HOT_BAND), 2)))
+    # at most one key for each band, so the lists are short
+    open_ = F.collect_list(F.struct("key", (F.col("n") > HOT_BAND).alias("hot"))).alias("open")
+    hot = left.groupBy("node").agg(open_).where(F.exists("open", lambda o: o["hot"]))
+    hot = hot.join(classes.select("node", "fingerprint"), "node").select("node", "open", "fingerprint")
+    rows = met(hot.mapInArrow(second_keys, "node long, key long"))
     links = links.union(to_first(rows))
-    links = links.union(verified(across(apart(rows, components(links)))))
+    links = links.union(verified(across(common.stored(apart(rows, components(links)), "near-apart"), 1)))
     named = classes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("id").alias("near_id"))
     return named.select("fingerprint", "component").join(common.stored(least, "near-ids"), "component").drop("component")

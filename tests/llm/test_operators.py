@@ -487,6 +487,22 @@ def test_bands_reach_over_the_whole_text():
         assert {*fingerprints.band_keys(a)} & {*fingerprints.band_keys(cut)} or n < 5
 
 
+def test_sketches_never_show_more_differences_than_there_are():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        n, m = rng.integers(1, 129, 2)
+        x = rng.integers(0, 256, n).astype(np.uint8)
+        y = np.concatenate([x, rng.integers(0, 256, 128).astype(np.uint8)])[:m]
+        y[rng.random(m) < rng.random()] += 1
+        most = max(n, m)
+        differ = most - int((x[: min(n, m)] == y[: min(n, m)]).sum())
+        a, b = (fingerprints.sketch("00" + v.tobytes().hex()) for v in (x, y))
+        shown = [((p ^ q) | (r ^ s)) & (1 << 64) - 1 for p, q, r, s in zip(a[:2], b[:2], a[2:4], b[2:4], strict=True)]
+        assert (a[4], b[4]) == (n, m) and sum(bin(w).count("1") for w in shown) <= differ
+    level, z = fingerprints.coarser(0, x)
+    assert fingerprints.sketch("00" + x.tobytes().hex(), 1) == fingerprints.sketch(f"{level:02d}" + z.tobytes().hex())
+
+
 def test_near_groups_find_edited_copies(spark):
     rng = random.Random(8)
     rows = []
