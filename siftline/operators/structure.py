@@ -78,15 +78,16 @@ TODO = Check(
 )
 
 
-#: Lines that are folded before their depths are appended to those of the file.
+#: Lines of a run; a file's depths are gathered as one array for each run.
 _FOLD_LINES = 256
 
 
 def loop_depths(content: Column) -> Column:
     """``array<int>``: for every line that adds onto a subscript or attribute, how many loops it is in.
 
-    The lines of a file are folded once with the indents of the loops that are still open. Depths
-    are gathered in runs of lines, so that no array of the file's length is copied for every line.
+    The lines of a file are folded once with the indents of the loops that are still open. A run of
+    lines is folded by itself and begins with what the run before left open. Only the list of runs
+    is gathered over the file, so that no array of the file's length is copied along the way.
     """
     candidate = F.contains(content, F.lit("+=")) & (
         F.contains(content, F.lit("for")) | F.contains(content, F.lit("while"))
@@ -115,20 +116,17 @@ def loop_depths(content: Column) -> Column:
             F.concat(acc["depths"], F.array(depth)).alias("depths"),
         )
 
-    def run(acc, first):
-        begin = F.struct(acc["open"].alias("open"), none.alias("depths"))
-        done = F.aggregate(F.slice(acc["lines"], first, _FOLD_LINES), begin, step)
-        # one element, so that the run is folded once although it is used twice
-        return F.transform(
-            F.array(done),
-            lambda r: F.struct(
-                r["open"].alias("open"), F.concat(acc["depths"], r["depths"]).alias("depths"), acc["lines"].alias("lines")
-            ),
-        )[0]
-
-    start = F.struct(none.alias("open"), none.alias("depths"), lines.alias("lines"))
-    firsts = F.sequence(F.lit(1), F.greatest(F.size(plain), F.lit(1)), F.lit(_FOLD_LINES))
-    return F.when(candidate, F.aggregate(firsts, start, run)["depths"])
+    def run(acc, part):
+        begin = F.struct(F.element_at(acc, -1)["open"].alias("open"), none.alias("depths"))
+        return F.concat(acc, F.array(F.aggregate(part, begin, step)))
+
+    # A lambda's variable stands for the lines, which are made once and not for every run.
+    firsts = lambda ls: F.sequence(F.lit(1), F.greatest(F.size(ls), F.lit(1)), F.lit(_FOLD_LINES))
+    parts = F.transform(
+        F.array(lines), lambda ls: F.transform(firsts(ls), lambda i: F.slice(ls, i, F.lit(_FOLD_LINES)))
+    )[0]
+    start = F.array(F.struct(none.alias("open"), none.alias("depths")))
+    return F.when(candidate, F.flatten(F.transform(F.aggregate(parts, start, run), lambda r: r["depths"])))
 
 
 LOOPS = Check(

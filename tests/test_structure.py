@@ -1,6 +1,7 @@
 """Lexical checks against the syntax tree of the snippets that parse."""
 
 import ast
+import time
 from collections import Counter
 
 from conftest import rows
@@ -127,3 +128,19 @@ def test_loop_depths_reach_over_runs_of_lines(spark):
     corpus = spark.createDataFrame([("f.py", "\n".join(lines), "python")], "path string, content string, language string")
     found = linescan.scan(corpus, (structure.LOOPS,)).groupBy("line_number").count().collect()
     assert {r["line_number"]: r["count"] for r in found} == {i: 2 for i in range(3, 703)} | {703: 1}
+
+
+def test_loop_depths_of_a_long_file_are_linear(spark):
+    block = ["for a in b:", "    x.n += 1", "    while c:", "        y[0] += a", "z.n += 1", ""]
+
+    def seconds(lines):
+        text = "\n".join(block * (lines // len(block)))
+        corpus = spark.createDataFrame([("f.py", text, "python")], "path string, content string, language string")
+        begin = time.monotonic()
+        found = linescan.scan(corpus, (structure.LOOPS,)).count()
+        assert found == lines // len(block) * 3
+        return time.monotonic() - begin
+
+    seconds(60_000)
+    half = min(seconds(60_000) for _ in range(2))
+    assert seconds(120_000) <= 2.2 * half + 0.5
