@@ -174,19 +174,30 @@ def _of_level(keys: np.ndarray, level: int) -> np.ndarray:
     return (keys & ~np.uint64(1) | np.uint64(level & 1)).view(np.int64)
 
 
+def _bit_words(fingerprint: str, above: int, bits: range) -> tuple[list[int], int]:
+    """These bits of each sample, two longs a bit, ``above`` levels over the fingerprint's, and the number of samples."""
+    level, samples = _samples(fingerprint)
+    for _ in range(above):
+        level, samples = coarser(level, samples)
+    cells = np.zeros(2 * SAMPLES, np.uint8)
+    cells[: len(samples)] = samples
+    words = [np.packbits(cells >> k & 1).view(np.int64) for k in bits]
+    return np.concatenate(words).tolist(), len(samples)
+
+
 def sketch(fingerprint: str, above: int = 0) -> list[int]:
     """Two bits of each sample, ``above`` levels over the fingerprint's, as four longs, and the number of samples.
 
     The first two longs hold the lowest bits and the last two the next ones, so that samples with a bit that
     differs are counted by words; they are no more than the samples that differ.
     """
-    level, samples = _samples(fingerprint)
-    for _ in range(above):
-        level, samples = coarser(level, samples)
-    cells = np.zeros(2 * SAMPLES, np.uint8)
-    cells[: len(samples)] = samples
-    words = [np.packbits(cells >> k & 1).view(np.int64) for k in (0, 1)]
-    return [*np.concatenate(words).tolist(), len(samples)]
+    words, n = _bit_words(fingerprint, above, range(2))
+    return [*words, n]
+
+
+def finer_sketch(fingerprint: str, above: int = 0) -> list[int]:
+    """The six bits of each sample that :func:`sketch` leaves out, as twelve longs in the same order."""
+    return _bit_words(fingerprint, above, range(2, 8))[0]
 
 
 def bands(fingerprint: str, near: float = NEAR) -> list[np.ndarray]:
@@ -262,8 +273,8 @@ def near_names(prints: DataFrame, near: float = NEAR) -> DataFrame:
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(batch.column("fingerprint").to_pylist(), batch.column("own").to_pylist(), strict=True)
-            found = [sketch(f, 0 if own else 1) for f, own in rows]
-            columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(5)]
+            found = [sketch(f, above) + finer_sketch(f, above) for f, above in ((f, 0 if own else 1) for f, own in rows)]
+            columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(len(sketched))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), batch.column("own"), *columns], names=["node", "own", *sketched]
             )
@@ -301,13 +312,14 @@ def near_names(prints: DataFrame, near: float = NEAR) -> DataFrame:
         open_keys = parts.where("parts > 1").select("key", F.col("most.component").alias("main"))
         return rows.where("n > 2").join(common.stored(open_keys, "open-keys"), "key")
 
-    sketched = ("low0", "low1", "high0", "high1", "cells")
+    sketched = ("low0", "low1", "high0", "high1", "cells", *(f"finer{i}" for i in range(12)))
 
     def across(rows: DataFrame, keys_met: int) -> DataFrame:
         """The pairs of a key in different components that may be near; those of the first class are verified already.
 
-        Near pairs meet in ``keys_met`` keys, of the own level of one of them. Rows carry two bits of each sample
-        into the join, which gives out a pair only if no more samples differ by these bits than near ones may.
+        Near pairs meet in ``keys_met`` keys, of the own level of one of them. Rows carry the samples into the join,
+        which tests two bits of each first and then all, and gives out only pairs in which no more differ than in near
+        ones: strangers that share a passage often agree in two bits, so few that are not near come out.
         """
         rows = rows.where("node <> first").withColumn("own", own_level("node")).select("key", "node", "component", "main", "own")
         ends = rows.select("node", "own").distinct().join(classes.select("node", "fingerprint"), "node")
@@ -318,10 +330,13 @@ def near_names(prints: DataFrame, near: float = NEAR) -> DataFrame:
             rows.select("key", "main", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "own", *sketched)))
             for side in "xy"
         )
-        differ = " + ".join(f"bit_count((low{i}_x ^ low{i}_y) | (high{i}_x ^ high{i}_y))" for i in (0, 1))
+        few = [[f"(low{i}_x ^ low{i}_y)", f"(high{i}_x ^ high{i}_y)"] for i in (0, 1)]
+        whole = [few[i] + [f"(finer{j}_x ^ finer{j}_y)" for j in range(i, 12, 2)] for i in (0, 1)]
+        differ, differ_whole = (" + ".join(f"bit_count({' | '.join(own)})" for own in words) for words in (few, whole))
+        most = f"{1 - near + 1e-9} * greatest(cells_x, cells_y)"
         pairs = x.where("component_x <> main").join(y.drop("main"), "key").where(
             "component_x <> component_y and (component_y = main or node_x < node_y) and (own_x or own_y) "
-            f"and {differ} <= {1 - near + 1e-9} * greatest(cells_x, cells_y)"
+            f"and {differ} <= {most} and {differ_whole} <= {most}"
         )
         pairs = pairs.groupBy(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
         return pairs.agg(F.count("*").alias("met")).where(F.col("met") >= keys_met).select("a", "b")

@@ -503,6 +503,45 @@ def test_sketches_never_show_more_differences_than_there_are():
     assert fingerprints.sketch("00" + x.tobytes().hex(), 1) == fingerprints.sketch(f"{level:02d}" + z.tobytes().hex())
 
 
+def test_both_sketches_show_every_difference():
+    """Two bits pass many strangers that agree in three quarters of the samples; all bits pass none."""
+    rng = np.random.default_rng(10)
+    for near in (0.74, 0.79, 0.8, 0.81):
+        n = int(rng.integers(64, 129))
+        x = rng.integers(0, 256, n).astype(np.uint8)
+        y = x.copy()
+        y[rng.permutation(n)[: n - int(near * n)]] ^= 0b100  # differs in a bit that the first sketch leaves out
+        a, b = ("00" + v.tobytes().hex() for v in (x, y))
+        words = [fingerprints.sketch(f)[:4] + fingerprints.finer_sketch(f) for f in (a, b)]
+        differ = [p ^ q for p, q in zip(*words, strict=True)]
+        shown = [0, 0]
+        for i, word in enumerate(differ):
+            shown[i % 2] |= word & (1 << 64) - 1
+        assert not any(differ[:4])
+        assert sum(bin(w).count("1") for w in shown) == int((x != y).sum())
+
+
+def test_groups_of_borderline_fingerprints_are_those_of_all_pairs(spark):
+    """Strangers that share a passage with a crowd of near copies, just under and just over the limit."""
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 256, 100).astype(np.uint8)
+    found = []
+    for differ in [3] * 70 + [19, 20, 21, 22, 23, 24] * 15:
+        own = base.copy()
+        own[40 + rng.permutation(60)[:differ]] ^= np.uint8(4 * rng.integers(1, 64))
+        found.append("00" + own.tobytes().hex())
+    table = spark.createDataFrame(list(enumerate(found)), "doc_id long, fingerprint string")
+    got = {r.doc_id: r.near_id for r in fingerprints.near_groups(table).collect()}
+    group = list(range(len(found)))
+    for i in range(len(found)):
+        for j in range(i):
+            if group[i] != group[j] and fingerprints.likeness(found[i], found[j]) >= fingerprints.NEAR:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    assert len(set(group)) > 5
+    assert got == dict(enumerate(group))
+
+
 def test_near_groups_find_edited_copies(spark):
     rng = random.Random(8)
     rows = []
