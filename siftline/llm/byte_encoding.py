@@ -32,7 +32,8 @@ class ByteEncoder:
         self._specials = specials
         self._compiled = tiktoken.Encoding(
             "byte-level",
-            pat_str=r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+            # the vocabulary's pattern; runs with nothing behind them need no way back
+            pat_str=r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+",
             mergeable_ranks=ranks,
             special_tokens=added if specials else {},
         )
@@ -53,6 +54,15 @@ class ByteEncoder:
             return self._compiled.encode(text, allowed_special="all")
         return self._compiled.encode_ordinary(text)
 
+    def id_array(self, text: str) -> np.ndarray:
+        """The ids of :meth:`ids` as an array; with ``specials`` no list of them is made on the way."""
+        if self._specials and not (len(text) >= LONG_SPACE and _LONG_SPACE.search(text)):
+            try:
+                return self._compiled.encode_to_numpy(text, allowed_special="all")
+            except UnicodeEncodeError:  # a lone surrogate, which the list's way replaces
+                pass
+        return np.array(self.ids(text), "<u4")
+
 
 @functools.lru_cache(maxsize=2)
 def encoder(definition: str, specials: bool) -> ByteEncoder:

@@ -26,12 +26,12 @@ LENGTH, WIDTH = 2048, 4
 GAP, MOST_COLUMNS = 5e-4, 6_000
 #: Id that closes every document.
 END_ID = 1
+_END = np.array([END_ID], "<u4")
 
 
 def token_ids(definition: str, text: str | None) -> np.ndarray:
     """The ids of a text (a null is empty) and the id that closes it."""
-    ids = encoder(definition, True).ids(text or "")
-    return np.array([*ids, END_ID], "<u4")
+    return np.concatenate([encoder(definition, True).id_array(text or ""), _END])
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -151,7 +151,7 @@ def tokenised(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 n, cls = len(ids), -(-(len(ids) % LENGTH) // WIDTH)
                 cuts = [_crc(ids[i : i + LENGTH]) for i in range(0, n, LENGTH)]
                 rank = ranks.get(cls, 0)
-                rows.append((n, cuts, _crc(ids), part, blocks, cls, rank))
+                rows.append((n, cuts, cuts[0] if n <= LENGTH else _crc(ids), part, blocks, cls, rank))
                 ranks[cls] = rank + 1
                 blocks += n // LENGTH
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())

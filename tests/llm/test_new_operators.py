@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from siftline.llm import alignment, byte_encoding, collocations, vectors
+from siftline.llm import alignment, byte_encoding, collocations, packing, vectors
 from siftline.llm.bpe import byte_letters
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -278,3 +278,23 @@ def test_long_white_space_is_encoded(run):
     # the same rule on a run that the compiled encoder takes
     short = f"before{run[:70_000]}after"
     assert encoder.ids(short) == encoder._compiled.encode_ordinary(short)
+
+
+def test_ids_of_texts_come_as_arrays_without_a_list(monkeypatch):
+    library = Tokenizer.from_file(VOCABULARY)
+    library.no_truncation()
+    library.no_padding()
+    with open(VOCABULARY, encoding="utf-8") as f:
+        definition = f.read()
+    rng = random.Random(4)
+    letters = "abXY01 \t\n\r\x0b\x85\xa0\u3000's'rellvemd.,;\u00e9\u4e2d\u0661\u00b2\u0301\U0001f600"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(50))) for _ in range(500)]
+    texts += ["", "a<|endoftext|>b", "x" * 70_000, "." * 70_000, "a" + " " * 60_000 + "b", "\u4e2d" * 70_000]
+    wanted = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    long_space = "a" + " " * byte_encoding.LONG_SPACE
+    longest = byte_encoding.encoder(definition, True).ids(long_space)
+    assert packing.token_ids(definition, long_space).tolist() == [*longest, packing.END_ID]
+    monkeypatch.setattr(byte_encoding.ByteEncoder, "ids", lambda *_: pytest.fail("a list of ids was made"))
+    for text, ids in zip(texts, wanted, strict=True):
+        got = packing.token_ids(definition, text)
+        assert got.dtype == np.dtype("<u4") and got.tolist() == [*ids, packing.END_ID]
