@@ -9,6 +9,7 @@ consolidation that is repeated after a failure writes the same partitions again.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from siftline.operators import learning
 from siftline.schemas import PATTERNS
+from siftline.session import checkpoint_dir
 
 #: Parts of the pattern table.
 BUCKETS = 64
@@ -46,6 +48,13 @@ class LearningStore:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._path(table)}/{part}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def _kept(self, df: DataFrame) -> DataFrame:
+        """The rows as a work table, computed once; the store's next one takes its place, so one is left at most."""
+        store = hashlib.sha256(self.root.encode()).hexdigest()[:16]
+        path = f"{checkpoint_dir(self.spark).rstrip('/')}/upserted-{store}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def last_epoch(self) -> int:
         """The last stream batch that is consolidated."""
         done = self._read("epochs")
@@ -95,7 +104,7 @@ class LearningStore:
             return {}
         stored = self.patterns()
         bucket = F.pmod(F.xxhash64("pattern_key"), F.lit(self.buckets)).cast("int")
-        upserted = learning.upsert_fresh(stored, fresh)
+        upserted = self._kept(learning.upsert_fresh(stored, fresh))
         # One number for each bucket.
         changed = upserted.filter("changed").select(bucket.alias("bucket")).distinct().collect()
         counts = learning.consolidation_summary(upserted, log, now).first().asDict()

@@ -60,6 +60,25 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     assert as_dict(store.log_patterns()) == grouped(live)
 
 
+def test_a_consolidation_merges_the_counts_once(spark, tmp_path, monkeypatch):
+    data = log(60, days=5)
+    store = LearningStore(spark, str(tmp_path / "store"), buckets=4)
+    store.record(spark.createDataFrame(data, OBS))
+    merged, seen = LearningStore.log_patterns, spark.sparkContext.accumulator(0)
+
+    def noted(key):
+        seen.add(1)
+        return key
+
+    counted = F.udf(noted, "string").asNondeterministic()
+    monkeypatch.setattr(
+        LearningStore, "log_patterns", lambda self: merged(self).withColumn("pattern_key", counted("pattern_key"))
+    )
+    summary = store.consolidate(str(START + timedelta(days=6)))
+    assert summary["new_patterns"] == seen.value == len(grouped(data))
+    assert as_dict(store.patterns()) == grouped(data)
+
+
 def test_nothing_is_left_when_all_is_old(spark, tmp_path):
     data = log(20, days=3)
     store = LearningStore(spark, str(tmp_path / "store"))
