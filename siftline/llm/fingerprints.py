@@ -10,7 +10,6 @@ that doubles with the text's, so that the finer sample holds the coarser one.
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,8 +28,12 @@ SAMPLES = 64
 PERIOD = 1 << 12
 #: Likeness from which two fingerprints count as near.
 NEAR = 0.8
-#: Classes of a band that are held against each other at once; more are told apart by a second band.
+#: Classes of a band that are held against each other at once; more are told apart by their rarest blocks.
 HOT_BAND = 64
+#: Cells of a block.
+BLOCK = 2
+#: Counters that put blocks in order of how often they are held; blocks that share one only meet more often.
+COUNTERS = 1 << 18
 #: Rows drawn for each range to find where the ranges end.
 CUT_SAMPLES = 64
 #: Rows that still walk side by side; fewer walk on one by one.
@@ -155,6 +158,7 @@ def likeness(a: str, b: str) -> float:
     return float((x[:n] == y[:n]).sum() / most) if most else 0.0
 
 
+@lru_cache(maxsize=1024)
 def _most_unlike(cells: int, near: float) -> int:
     """Cells in which near samples of so many cells differ at most."""
     return next(d for d in range(cells, -1, -1) if not d or (cells - d) / cells >= near)
@@ -200,29 +204,60 @@ def finer_sketch(fingerprint: str, above: int = 0) -> list[int]:
     return _bit_words(fingerprint, above, range(2, 8))[0]
 
 
-def bands(fingerprint: str, near: float = NEAR) -> list[np.ndarray]:
-    """Keys of the bands, an array for each level and class of sizes in which a near partner may be.
-
-    The cells of a class are dealt round to its bands, so that each reaches over the whole text. Two
-    fingerprints with a likeness of ``near`` (above one half) differ in fewer cells than there are
-    bands, so that at least two of their keys are equal. Neighbours across a level meet at the next.
+def _reaches(fingerprint: str, near: float) -> Iterator[tuple[int, np.ndarray, int, int, int, int]]:
+    """Each level and class of sizes in which a near partner may be: level, samples there, the class's largest size
+    and number of bands, and the sizes from and to which partners are that have at least as many samples.
     """
     level, own = _samples(fingerprint)
-    found = []
     for lv, samples, least in ((level, own, 1), (*coarser(level, own), SAMPLES)):
         n, before = len(samples), 0
         for most, count in _size_classes(near):
             low, high = max(before + 1, n, least), min(most, int(n / near + 1e-9))
             before = most
             if n and low <= high and count > 2:  # else near samples are equal
-                cells = np.arange(-(-most // count) * count, dtype=np.uint64)
-                cells[:n] += (samples.astype(np.uint64) + np.uint64(1)) << np.uint64(8)
-                sums = common.mixed(cells + np.uint64(1)).reshape(-1, count).sum(axis=0, dtype=np.uint64)
-                place = np.arange(count, dtype=np.uint64) + np.uint64(lv << 16 | most << 8)
-                found.append(_of_level(common.mixed(sums + common.mixed(place)), lv))
+                yield lv, samples, most, count, low, high
+
+
+def _dealt(level: int, samples: np.ndarray, most: int, count: int) -> np.ndarray:
+    """A key for each of ``count`` parts, to which the cells of a class of sizes are dealt round."""
+    cells = np.arange(-(-most // count) * count, dtype=np.uint64)
+    cells[: len(samples)] += (samples.astype(np.uint64) + np.uint64(1)) << np.uint64(8)
+    sums = common.mixed(cells + np.uint64(1)).reshape(-1, count).sum(axis=0, dtype=np.uint64)
+    place = np.arange(count, dtype=np.uint64) + np.uint64(level << 16 | most << 8)
+    return _of_level(common.mixed(sums + common.mixed(place)), level)
+
+
+def bands(fingerprint: str, near: float = NEAR) -> list[np.ndarray]:
+    """Keys of the bands, an array for each level and class of sizes in which a near partner may be.
+
+    The cells of a class are dealt round to its bands, so that each reaches over the whole text. Two
+    fingerprints with a likeness of ``near`` (above one half) differ in fewer cells than there are
+    bands, so that at least two of their keys are equal. Neighbours across a level meet at the next.
+    """
+    return [_dealt(lv, own, most, count) for lv, own, most, count, _, _ in _reaches(fingerprint, near)]
+
+
+def blocks(fingerprint: str, near: float = NEAR) -> list[tuple[int, np.ndarray]]:
+    """For each array of :func:`bands` the keys of its blocks of ``BLOCK`` cells, and how many of them are enough.
+
+    In any one order of all keys, near fingerprints have an equal key among so many of their first ones: the
+    others are fewer than the blocks they must share. Where all partners have more samples, the cells that
+    only they have differ for sure; their blocks are left out and so many fewer cells differ in the rest.
+    """
+    found = []
+    for lv, own, most, _, low, high in _reaches(fingerprint, near):
+        count = -(-most // BLOCK)
+        shared = np.ones(count, bool)
+        shared[np.arange(len(own), low) % count] = False
+        enough = _most_unlike(high, near) - (low - len(own)) + 1
+        found.append((max(0, enough), _dealt(lv, own, most, count)[shared]))
     return found
 
 
+def _counter(keys: np.ndarray) -> np.ndarray:
+    return keys >> 1 & COUNTERS - 1
+
+
 def band_keys(fingerprint: str, near: float = NEAR) -> list[int]:
     return [key for own in bands(fingerprint, near) for key in own.tolist()]
 
@@ -233,8 +268,10 @@ def near_names(prints: DataFrame, near: float = NEAR) -> DataFrame:
     ``prints`` has ``doc_id`` and ``fingerprint``. Equal fingerprints are one class. In each band the
     smallest class is held against the others first; then the classes of a band that are still apart
     are held against each other, until each pair of a band is verified or of one component. In bands
-    of more than ``HOT_BAND`` classes that takes equal keys in a second band, which near pairs have.
+    of more than ``HOT_BAND`` classes that takes an equal key among the rarest blocks, which near pairs
+    have: what a crowd shares is common, so its members and strangers meet only in what few others hold.
     """
+    spark = prints.sparkSession
 
     def verified(pairs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,19 +291,28 @@ def near_names(prints: DataFrame, near: float = NEAR) -> DataFrame:
             flat = np.array([key for own in found for key in own], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(flat)], names=["node", "key"])
 
-    def second_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hot_blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+        rows = (batch.column(c).to_pylist() for c in ("node", "open", "fingerprint"))
+        for node, open_, fingerprint in zip(*rows, strict=True):
+            for band, (enough, own) in zip(bands(fingerprint, near), blocks(fingerprint, near), strict=True):
+                if not set(open_).isdisjoint(band.tolist()):
+                    yield node, enough, own
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            own = [_counter(keys) for _, _, keys in hot_blocks(batch)]
+            held += np.bincount(np.concatenate([np.zeros(0, np.int64), *own]), minlength=COUNTERS)
+        often = np.flatnonzero(held > 1)  # what a task sees once is rare
+        yield pa.RecordBatch.from_arrays([pa.array(often), pa.array(held[often])], names=["counter", "held"])
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, found = [], []
-            rows = (batch.column(c).to_pylist() for c in ("node", "open", "fingerprint"))
-            for node, open_, fingerprint in zip(*rows, strict=True):
-                hot = {r["key"]: r["hot"] for r in open_}
-                for own in bands(fingerprint, near):
-                    mine = [key for key in own.tolist() if key in hot]
-                    two = [p for p in itertools.combinations(mine, 2) if hot[p[0]] or hot[p[1]]]
-                    if two:
-                        sums = np.array(two, np.int64).view(np.uint64).sum(axis=1, dtype=np.uint64)
-                        found += _of_level(common.mixed(sums), two[0][0] & 1).tolist()
-                        nodes += [node] * len(two)
+            for node, enough, own in hot_blocks(batch):
+                first = np.lexsort((own, often_held.value[_counter(own)]))[:enough]
+                found += own[first].tolist()
+                nodes += [node] * len(first)
             columns = [pa.array(nodes, pa.int64()), pa.array(found, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "key"])
 
@@ -307,9 +353,10 @@ def near_names(prints: DataFrame, near: float = NEAR) -> DataFrame:
     def apart(rows: DataFrame, found: DataFrame) -> DataFrame:
         """The rows of keys whose classes are of several components and not all held against the first yet."""
         rows = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        parts = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
-        parts = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.count("*").alias("parts"))
-        open_keys = parts.where("parts > 1").select("key", F.col("most.component").alias("main"))
+        parts = rows.groupBy("key", "component").agg(F.count("*").alias("c"), F.max(own_level("node")).alias("own"))
+        most = F.max(F.struct("c", "component")).alias("most")
+        parts = parts.groupBy("key").agg(most, F.count("*").alias("parts"), F.max("own").alias("own"))
+        open_keys = parts.where("parts > 1 and own").select("key", F.col("most.component").alias("main"))
         return rows.where("n > 2").join(common.stored(open_keys, "open-keys"), "key")
 
     sketched = ("low0", "low1", "high0", "high1", "cells", *(f"finer{i}" for i in range(12)))
@@ -351,10 +398,13 @@ def near_names(prints: DataFrame, near: float = NEAR) -> DataFrame:
     left = common.stored(apart(rows, components(links)), "near-apart")
     links = links.union(verified(across(left.where(F.col("n") <= HOT_BAND), 2)))
     # at most one key for each band, so the lists are short
-    open_ = F.collect_list(F.struct("key", (F.col("n") > HOT_BAND).alias("hot"))).alias("open")
-    hot = left.groupBy("node").agg(open_).where(F.exists("open", lambda o: o["hot"]))
-    hot = hot.join(classes.select("node", "fingerprint"), "node").select("node", "open", "fingerprint")
-    rows = met(hot.mapInArrow(second_keys, "node long, key long"))
+    hot = left.where(F.col("n") > HOT_BAND).groupBy("node").agg(F.collect_list("key").alias("open"))
+    hot = common.stored(hot.join(classes.select("node", "fingerprint"), "node"), "hot-classes")
+    often = hot.mapInArrow(counted, "counter long, held long").groupBy("counter").agg(F.sum("held").alias("held")).toArrow()
+    held = np.zeros(COUNTERS, np.int64)
+    held[often["counter"].to_numpy()] = often["held"].to_numpy()
+    often_held = spark.sparkContext.broadcast(held)
+    rows = met(hot.mapInArrow(rarest, "node long, key long"))
     links = links.union(to_first(rows))
     links = links.union(verified(across(common.stored(apart(rows, components(links)), "near-apart"), 1)))
     named = classes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -568,6 +568,62 @@ def test_fingerprint_query_has_near_groups(spark, docs, tmp_path):
     assert named[None] is None and named[43] == named[44] == 3 and named[7] == 7
 
 
+def test_near_fingerprints_share_one_of_their_first_blocks():
+    """In any order of the keys, at the limit, with partners of other sizes and of the next level."""
+    rng = np.random.default_rng(13)
+    met = 0
+    for _ in range(1_500):
+        n = int(rng.integers(3, 129))
+        x = rng.integers(0, 4, n).astype(np.uint8)
+        level, y = (0, x.copy()) if rng.random() < 0.6 else fingerprints.coarser(0, x)
+        longer = int(rng.integers(0, len(y) // 4 + 1))
+        y = np.concatenate([y, rng.integers(0, 4, longer).astype(np.uint8)])[:128]
+        y[rng.permutation(len(y))[: rng.integers(0, len(y) // 5 + 1)]] += 1
+        if level and len(y) < fingerprints.SAMPLES:
+            continue
+        a, b = "00" + x.tobytes().hex(), f"{level:02d}" + y.tobytes().hex()
+        if a == b or fingerprints.likeness(a, b) < fingerprints.NEAR:
+            continue
+        met += 1
+        for salt in range(1, 4):
+            first = [
+                {k for enough, own in fingerprints.blocks(f) for k in sorted(own.tolist(), key=lambda k: hash((salt, k)))[:enough]}
+                for f in (a, b)
+            ]
+            assert first[0] & first[1], (n, len(y), level)
+    assert met > 300
+
+
+def test_strangers_of_a_crowd_are_told_apart_by_few_keys(spark, monkeypatch):
+    """Keys of a class grow with the cells that may differ, not with the pairs of bands it shares with the crowd."""
+    rng = np.random.default_rng(14)
+    base = rng.integers(0, 256, 100).astype(np.uint8)
+    found = []
+    for differ in [3] * 150 + [26, 27, 28] * 20:
+        own = base.copy()
+        own[rng.permutation(100)[:differ]] ^= rng.integers(1, 256, differ).astype(np.uint8)
+        found.append("00" + own.tobytes().hex())
+    held = []
+    whole = common.stored
+
+    def stored(df, name):
+        out = whole(df, name)
+        if name == "near-apart":
+            held.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "stored", stored)
+    table = spark.createDataFrame(list(enumerate(found)), "doc_id long, fingerprint string")
+    got = {r.doc_id: r.near_id for r in fingerprints.near_groups(table).collect()}
+    group = list(range(len(found)))
+    for i, j in itertools.combinations(range(len(found)), 2):
+        if group[i] != group[j] and fingerprints.likeness(found[i], found[j]) >= fingerprints.NEAR:
+            low, high = sorted((group[i], group[j]))
+            group = [low if g == high else g for g in group]
+    assert got == dict(enumerate(group))
+    assert len(held) == 2 and held[0] > 0 and held[1] < held[0] / 2
+
+
 @pytest.mark.parametrize("hot", [64, 4])
 def test_near_groups_equal_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(fingerprints, "HOT_BAND", hot)
